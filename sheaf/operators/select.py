@@ -11,7 +11,7 @@ from sheaf.functions.text import ancestors, base_name, byte_view, col, lines, pa
 from sheaf.operators.joins import salted_lookup
 
 TOOL_NAME = "sheaf"
-MANIFEST_INLINE = 10_000
+MANIFEST_INLINE = 1_000
 
 
 def default_ignores(tool_name: str = TOOL_NAME) -> list[str]:
