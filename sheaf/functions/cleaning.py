@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sheaf import fixed_values as fv
-from sheaf.functions.text import STRINGS, col, count_text, file_ext, is_blank, lines, newlines_only, once, trim_space
+from sheaf.functions.text import STRINGS, col, count_text, file_ext, is_blank, lines, newlines_only, once
 
 _DOUBLE = r'"(?:[^"\\]|\\.)*+\\?+"?+'
 _SINGLE = r"'(?:[^'\\]|\\.)*+\\?+'?+"
@@ -83,21 +83,25 @@ def line_numbers(text: str | Column) -> Column:
     """``<n> | <line>`` with n right-aligned; an empty line after the last newline is not shown."""
     c = col(text)
     rows = lines(c)
-    total = F.size(rows)
-    width = F.char_length(total.cast("string"))
-    shown = F.when((c == "") | c.endswith("\n"), total - 1).otherwise(total)
-    return F.array_join(
-        F.transform(
-            F.slice(rows, F.lit(1), shown),
-            lambda x, i: F.concat(F.lpad((i + 1).cast("string"), width, F.lit(" ")), F.lit(" | "), x),
-        ),
-        "\n",
+    shown = F.when((c == "") | c.endswith("\n"), F.size(rows) - 1).otherwise(F.size(rows))
+    parts = F.struct(
+        F.slice(rows, F.lit(1), shown).alias("rows"), F.char_length(F.size(rows).cast("string")).alias("width")
     )
 
+    def numbered(p: Column) -> Column:
+        return F.array_join(
+            F.transform(
+                p["rows"], lambda x, i: F.concat(F.lpad((i + 1).cast("string"), p["width"], F.lit(" ")), F.lit(" | "), x)
+            ),
+            "\n",
+        )
+
+    return once(parts, numbered)
+
 
 def truncate_base64(text: str | Column) -> Column:
     c = col(text)
-    run = r"[A-Za-z0-9+/]{60,}+={0,2}+"
+    run = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{60,}+={0,2}+"  # a run always matches from its first byte
     pieces = F.split(c, run, -1)
     matches = F.regexp_extract_all(c, F.lit(run), F.lit(0))
 
@@ -124,7 +128,7 @@ def _compress_brace_lines(rows: Column, signature: Column) -> Column:
     """
 
     def facts(x: Column) -> Column:
-        comment = trim_space(x).rlike(r"\A(?:/[/*]|\*)")
+        comment = x.rlike(rf"\A[{fv.UNICODE_SPACE}]*+(?:/[/*]|\*)")
         return F.struct(
             (count_text(x, "{") - count_text(x, "}")).alias("net"),
             (~comment & F.rlike(x, signature)).alias("signature"),
@@ -198,7 +202,7 @@ def _compress_python_lines(rows: Column) -> Column:
         return F.struct(
             F.char_length(F.regexp_extract(x, rf"\A([{fv.ASCII_SPACE}]*+)", 1)).alias("indent"),
             header.alias("header"),
-            (header & trim_space(x).endswith(":")).alias("opens"),
+            (header & x.rlike(rf":[{fv.UNICODE_SPACE}]*+\z")).alias("opens"),
             is_blank(x).alias("blank"),
         )
 

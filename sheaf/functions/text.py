@@ -66,12 +66,15 @@ def byte_view(text: str | Column) -> Column:
 
 def ancestors(path: str | Column) -> Column:
     """Directories above a path, outermost first: ``a/b/c`` gives ``[a, a/b]``."""
-    parts = F.split(col(path), "/", -1)
-    depth = F.size(parts) - 1
-    return F.when(
-        depth > 0,
-        F.transform(F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice(parts, 1, n), "/")),
-    ).otherwise(F.array().cast(STRINGS))
+
+    def prefixes(parts: Column) -> Column:
+        depth = F.size(parts) - 1
+        return F.when(
+            depth > 0,
+            F.transform(F.sequence(F.lit(1), depth), lambda n: F.array_join(F.slice(parts, 1, n), "/")),
+        ).otherwise(F.array().cast(STRINGS))
+
+    return once(F.split(col(path), "/", -1), prefixes)
 
 
 def parent_dir(path: str | Column) -> Column:

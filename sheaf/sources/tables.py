@@ -28,9 +28,21 @@ def as_corpus(df: DataFrame, path: str | Column, content: str | Column, abs_path
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out to all cores when a scan has fewer splits than the cluster has cores.
+
+    Text work is bound by processors, and a small table may be a single row group. The
+    shuffle this adds is bounded by the number of cores times the size of a split; a table
+    with more splits is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scan_corpus_table(spark: SparkSession, location: str, path: str | Column, content: str | Column) -> DataFrame:
     """Read a Parquet table as a corpus; only the columns named reach the scan."""
-    return as_corpus(spark.read.parquet(location), path, content)
+    rows = spark.read.parquet(location).select(col(path).alias("path"), col(content).alias("content"))
+    return as_corpus(spread(rows), "path", "content")
 
 
 def scan_manifest(spark: SparkSession, location: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sheaf.sources.tables import as_corpus
+from sheaf.sources.tables import as_corpus, spread
 
 NL = "chr(10)"
 
@@ -67,7 +67,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, content: str = CONTENT, path: str = REL_PATH) -> DataFrame:
     """``rel_path, content`` of all documents."""
-    return table(spark, sf_dir, "documents").selectExpr("doc_id", f"{path} as rel_path", f"{content} as content")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    return docs.selectExpr("doc_id", f"{path} as rel_path", f"{content} as content")
 
 
 def corpus(spark: SparkSession, sf_dir: str, content: str = CONTENT, path: str = REL_PATH) -> DataFrame:
