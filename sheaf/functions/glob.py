@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import byte_view, col, trim_space
+from sheaf.functions.text import byte_view, col, once, trim_space
 
 NEVER = "(?!)"
 _TOKEN = r"\*\*/?|\*|\?|\[[!^]?[^\]]*\]?|\\.|."
@@ -147,16 +147,19 @@ def rule_regex_col(pattern: str | Column, anchored: str | Column) -> Column:
 
 def parse_rule_col(line: str | Column) -> Column:
     """``parse_rule`` as a struct column; null where the line holds no rule."""
-    text = trim_space(line)
-    body = F.regexp_replace(text, r"\A!", "")
-    pattern = F.regexp_replace(F.regexp_replace(body, r"/\z", ""), r"\A/", "")
-    rule = F.struct(
-        pattern.alias("pattern"),
-        text.startswith("!").alias("negate"),
-        body.endswith("/").alias("dir_only"),
-        F.regexp_replace(body, r"/\z", "").startswith("/").alias("anchored"),
-    )
-    return F.when((text != "") & ~text.startswith("#") & (pattern != ""), rule)
+
+    def parsed(text: Column) -> Column:
+        body = F.regexp_replace(text, r"\A!", "")
+        pattern = F.regexp_extract(text, r"(?s)\A!?/?(.*?)/?\z", 1)
+        rule = F.struct(
+            pattern.alias("pattern"),
+            text.startswith("!").alias("negate"),
+            body.endswith("/").alias("dir_only"),
+            body.rlike(r"(?s)\A/.").alias("anchored"),
+        )
+        return F.when((pattern != "") & ~text.startswith("#"), rule)
+
+    return once(trim_space(line), parsed)
 
 
 def last_match(path: Column, is_dir: bool, rules: list[Rule]) -> Column:

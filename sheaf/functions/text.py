@@ -21,6 +21,15 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def rows_of(array: str | Column) -> Column:
+    """``explode`` for arrays that cost something to compute.
+
+    The plain form makes Spark add a filter on the array's size, which computes the array
+    a second time. Callers drop the null row of an empty array where one can occur.
+    """
+    return F.explode_outer(array)
+
+
 def literal_array(values: list[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(STRINGS)
 
@@ -50,7 +59,7 @@ def count_text(text: Column, piece: str) -> Column:
 def trim_space(text: str | Column) -> Column:
     """Trim Unicode white space on both sides; Spark's own ``trim`` drops blanks only."""
     sp = fv.UNICODE_SPACE
-    return F.regexp_replace(col(text), rf"\A[{sp}]++|[{sp}]++\z", "")
+    return F.regexp_extract(col(text), rf"(?s)\A[{sp}]*+(.*[^{sp}])?", 1)
 
 
 def is_blank(text: Column) -> Column:

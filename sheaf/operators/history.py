@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf import fixed_values as fv
+from sheaf.functions.text import rows_of
 
 BROADCAST_COMMITS = 100_000
 
 
 def touched_files(commits: DataFrame) -> DataFrame:
-    return commits.select("hash", F.explode("files").alias("path"))
+    return commits.select("hash", rows_of("files").alias("path")).where("path is not null")
 
 
 def recent_commits(commits: DataFrame, n: int = fv.RECENT_COMMITS) -> DataFrame:

@@ -68,8 +68,12 @@ def _rows(df: DataFrame, place: int, body: Column, k_num: Column | int = 0, k_st
     )
 
 
+def _one_row(df: DataFrame) -> DataFrame:
+    return df.sparkSession.range(0, 1, 1, 1)
+
+
 def _stated(df: DataFrame, place: int, text: str) -> DataFrame:
-    return _rows(df.sparkSession.range(1), place, F.lit(text))
+    return _rows(_one_row(df), place, F.lit(text))
 
 
 def _if_any(df: DataFrame, place: int, text: str) -> DataFrame:
@@ -188,7 +192,7 @@ def _xml_sections(corpus, tree, totals, log, o: Options) -> list[DataFrame]:
         out.append(_rows(totals, SUMMARY, summary_body(o)))
     if o.header:
         header = text_concat("  <user_header>", markup.xml_text(F.lit(o.header)), "</user_header>\n")
-        out.append(_rows(corpus.sparkSession.range(1), HEADER, header))
+        out.append(_rows(_one_row(corpus), HEADER, header))
     if o.tree:
         out.append(_tree_rows(tree, TREE, "  <directory_structure>", "</directory_structure>\n", in_cdata=True))
     if o.files:
@@ -272,7 +276,7 @@ def _json_list(items: DataFrame, place: int, name: str) -> list[DataFrame]:
 
 
 def _json_sections(corpus, tree, totals, log, o: Options) -> list[DataFrame]:
-    one = corpus.sparkSession.range(1)
+    one = _one_row(corpus)
 
     def field_of(place: int, name: str, text: str) -> DataFrame:
         return _rows(one, place, text_concat(f',\n  "{name}": ', _json_text(text)))

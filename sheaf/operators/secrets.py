@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf import fixed_values as fv
+from sheaf.functions.text import rows_of
 from sheaf.functions.secrets import FINDINGS, SecretRule, builtin_rules, findings
 
 
@@ -18,7 +19,8 @@ def with_findings(corpus: DataFrame, extra_rules: list[SecretRule] = ()) -> Data
 
 def explode_findings(scanned: DataFrame) -> DataFrame:
     """One row per finding: ``rel_path, rule_ord, match_ord, line, rule, match``."""
-    return scanned.select("rel_path", F.explode("findings").alias("f")).select("rel_path", "f.*")
+    rows = scanned.select("rel_path", rows_of("findings").alias("f"))
+    return rows.where("f is not null").select("rel_path", "f.*")
 
 
 def secret_scan(corpus: DataFrame, extra_rules: list[SecretRule] = ()) -> DataFrame:

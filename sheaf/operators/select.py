@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sheaf import fixed_values as fv
 from sheaf.functions import glob
-from sheaf.functions.text import ancestors, base_name, byte_view, col, lines, parent_dir, trim_space
+from sheaf.functions.text import ancestors, base_name, byte_view, col, lines, parent_dir, rows_of, trim_space
 from sheaf.operators.joins import salted_lookup
 
 TOOL_NAME = "sheaf"
@@ -39,8 +39,10 @@ def scan_ignore_rules(corpus: DataFrame, tool_name: str = TOOL_NAME, **names: bo
         parent_dir("rel_path").alias("scope_dir"), file_ord.alias("file_ord"), "content"
     )
     parsed = files.select(
-        "scope_dir", "file_ord", F.posexplode(lines("content")).alias("pos", "line")
-    ).withColumn("rule", glob.parse_rule_col("line"))
+        "scope_dir",
+        "file_ord",
+        F.posexplode_outer(F.transform(lines("content"), glob.parse_rule_col)).alias("pos", "rule"),
+    )
     return parsed.where("rule is not null").select(
         "scope_dir",
         "file_ord",
@@ -112,7 +114,7 @@ def _effective_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
         F.concat(F.array(F.lit("")), ancestors("parent_dir"), F.array(F.col("parent_dir")))
     )
     reached = salted_lookup(
-        dirs.select("parent_dir", F.posexplode(chain).alias("depth", "scope_dir")),
+        dirs.select("parent_dir", F.posexplode_outer(chain).alias("depth", "scope_dir")),
         by_scope,
         on="scope_dir",
         how="inner",
@@ -193,7 +195,7 @@ def select_manifest(files: DataFrame, manifest: DataFrame, line: str = "line") -
     chain = F.concat(ancestors("rel_path"), F.array("rel_path"))
     if len(head) <= MANIFEST_INLINE:
         return files.where(F.arrays_overlap(chain, F.array(*[F.lit(e) for e in sorted(head)])))
-    reached = files.select("rel_path", F.explode(chain).alias("entry"))
+    reached = files.select("rel_path", rows_of(chain).alias("entry"))
     selected = salted_lookup(reached, entries, on="entry", how="left_semi", spread="rel_path")
     return files.join(selected.select("rel_path").distinct(), "rel_path", "left_semi")
 

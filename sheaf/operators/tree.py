@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sheaf.functions.text import ancestors, base_name, parent_dir
+from sheaf.functions.text import ancestors, base_name, parent_dir, rows_of
 
 
 def tree_nodes(files: DataFrame, path: str = "rel_path") -> DataFrame:
     """Distinct nodes ``path, parent, name, depth, is_dir``; a path that others pass through is a directory."""
     node = F.struct(F.col(path).alias("path"), F.lit(False).alias("is_dir"))
     above = F.transform(ancestors(path), lambda d: F.struct(d.alias("path"), F.lit(True).alias("is_dir")))
-    every = files.select(F.explode(F.concat(above, F.array(node))).alias("n"))
+    every = files.select(rows_of(F.concat(above, F.array(node))).alias("n"))
     nodes = every.groupBy(F.col("n.path").alias("path")).agg(F.bool_or("n.is_dir").alias("is_dir"))
     return nodes.select(
         "path",

@@ -22,6 +22,7 @@ from sheaf.session import cut_lineage
 from sheaf.sources.storage import list_dir, read_file
 
 _ENTRY = "root string, rel_path string, is_dir boolean, bytes bigint"
+_CONTENT = "abs_path string, rel_path string, bytes bigint, raw binary, read_error string"
 _READ_BATCH = 32 << 20
 
 
@@ -60,38 +61,43 @@ def walk(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("abs_path", pa.string()), ("raw", pa.binary()), ("read_error", pa.string())])
+    schema = pa.schema(
+        [("abs_path", pa.string()), ("rel_path", pa.string()), ("bytes", pa.int64()), ("raw", pa.binary()),
+         ("read_error", pa.string())]
+    )
     rows: list[tuple] = []
     held = 0
     for batch in batches:
-        for path in batch.column("abs_path").to_pylist():
-            raw, error = read_file(path)
+        for row in batch.to_pylist():
+            raw, error = read_file(row["abs_path"])
             if raw is None and error is None:
                 continue
-            rows.append((path, raw or b"", error))
+            rows.append((row["abs_path"], row["rel_path"], row["bytes"], raw or b"", error))
             held += len(raw or b"")
             if held >= _READ_BATCH:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                yield _batch(rows, schema)
                 rows, held = [], 0
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        yield _batch(rows, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def read_contents(files: DataFrame) -> DataFrame:
-    """Add ``raw`` and ``read_error`` to files with ``abs_path``; files that have vanished are dropped.
+    """Add ``raw`` and ``read_error`` to ``abs_path, rel_path, bytes``; files that have vanished are dropped.
 
-    Files are dealt out by path, so a directory of large files does not stay in one task.
-    Extensions that mean binary are never read.
+    Files are dealt out by path before they are read, so a directory of large files does
+    not stay in one task and contents never travel. Extensions that mean binary are not read.
     """
+    listed = files.select("abs_path", "rel_path", "bytes")
     by_ext = has_ext("rel_path", fv.BINARY_EXTENSIONS)
-    unread = files.where(by_ext).select(
+    unread = listed.where(by_ext).select(
         "*", F.lit(None).cast("binary").alias("raw"), F.lit(None).cast("string").alias("read_error")
     )
-    wanted = files.where(~by_ext)
-    contents = (
-        wanted.select("abs_path").repartition("abs_path").mapInArrow(_read, "abs_path string, raw binary, read_error string")
-    )
-    return wanted.join(contents, "abs_path").select(*unread.columns).unionByName(unread)
+    dealt = listed.where(~by_ext).repartition("abs_path")
+    return dealt.mapInArrow(_read, _CONTENT).unionByName(unread)
 
 
 def select_files(

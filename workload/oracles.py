@@ -355,6 +355,14 @@ TOTALS = """totals as (select count(*) as files, cast(sum(chars) as bigint) as c
 ORACLES["file_metrics"] = f"with {CORPUS}, {METRICS} select * from metrics"
 ORACLES["corpus_totals"] = f"with {CORPUS}, {METRICS}, {TOTALS} select * from totals"
 ORACLES["top_files"] = f"with {CORPUS}, {METRICS} select * from metrics order by tokens desc, chars desc, rel_path limit 20"
+ORACLES["run_report"] = f"""with {CORPUS}, {METRICS}, {TOTALS},
+t as (select *, row_number() over (order by tokens desc, chars desc, rel_path) as r from metrics)
+select 'top' as section, cast(r as int) as rank, printf('  %d. %s — %d tokens, %d chars', r, rel_path, tokens, chars) as line from t where r <= 10
+union all select 'totals', 1, concat('  files:   ', files) from totals
+union all select 'totals', 2, concat('  chars:   ', chars) from totals
+union all select 'totals', 3, concat('  tokens:  ~', tokens) from totals
+union all select 'totals', 4, concat('  bytes:   ', bytes, ' (', case when bytes >= 1048576 then printf('%.2f MB', bytes / 1048576)
+  when bytes >= 1024 then printf('%.2f KB', bytes / 1024) else concat(bytes, ' B') end, ')') from totals"""
 ORACLES["token_listing"] = f"with {CORPUS}, {METRICS} select rel_path, tokens from metrics where tokens >= 500"
 ORACLES["human_size"] = """
 with p as (select l_partkey, cast(sum(cast(round(l_extendedprice * l_quantity) as bigint)) as bigint) as size from lineitem group by 1),

@@ -113,7 +113,7 @@ def scan_commit_log(spark, sf_dir):
     record = F.concat(head, F.lit("\n"), F.array_join("paths", "\n \n"), F.lit("\n"))
     orders.select(record.alias("value")).write.option("lineSep", commit_log.MARKER).text(location)
     parsed = commit_log.scan_commit_log(spark, location)
-    return parsed.select("hash", "author", "date", "message", F.explode("files").alias("path"))
+    return parsed.select("hash", "author", "date", "message", F.explode_outer("files").alias("path"))
 
 
 # --- filters and classification ---------------------------------------------------------
@@ -214,7 +214,7 @@ def secret_entropy(spark, sf_dir):
         return F.transform(found, lambda m: F.struct(m["match_ord"].alias("match_ord"), m["text"].alias("text"), *facts))
 
     found = F.concat(*map(matches_of, asking))
-    rows = docs.select("rel_path", F.explode(found).alias("f")).select("rel_path", "f.*")
+    rows = docs.select("rel_path", F.explode_outer(found).alias("f")).where("f is not null").select("rel_path", "f.*")
     bits = secrets.shannon_entropy("text")
     return rows.select(
         "rel_path", "rule", "match_ord", F.round(bits, 6).alias("entropy"), (bits >= F.col("least") - 1e-9).alias("kept")
@@ -225,8 +225,8 @@ def secret_entropy(spark, sf_dir):
 def secret_line(spark, sf_dir):
     """Lines of all assignments of a word to a quoted or bare value, wherever they start."""
     docs = views.documents(spark, sf_dir)
-    found = F.explode(secrets.raw_matches("content", F.lit(r"[A-Za-z_]+\s*[:=]\s*\S+"))).alias("f")
-    return docs.select("rel_path", found).select("rel_path", "f.match_ord", "f.line", md5_of("f.text"))
+    found = F.explode_outer(secrets.raw_matches("content", F.lit(r"[A-Za-z_]+\s*[:=]\s*\S+"))).alias("f")
+    return docs.select("rel_path", found).where("f is not null").select("rel_path", "f.match_ord", "f.line", md5_of("f.text"))
 
 
 @query
@@ -330,6 +330,13 @@ def top_files(spark, sf_dir):
     return metrics.top_files(metrics.file_metrics(views.corpus(spark, sf_dir)), 20)
 
 
+@query
+def run_report(spark, sf_dir):
+    found = metrics.file_metrics(views.corpus(spark, sf_dir))
+    totals = metrics.totals_report(metrics.corpus_totals(found)).withColumn("section", F.lit("totals"))
+    return totals.unionByName(metrics.top_report(found, 10).withColumn("section", F.lit("top")))
+
+
 @query
 def token_listing(spark, sf_dir):
     return metrics.token_listing(metrics.file_metrics(views.corpus(spark, sf_dir)), 500)
