@@ -76,11 +76,11 @@ def redact(match: str | Column) -> Column:
     )
 
 
-def _may_match(content: Column, rule: SecretRule) -> Column:
+def _may_match(content: Column, lowered: Column, rule: SecretRule) -> Column:
     if not rule.anchors:
         return F.lit(True)
     folded = rule.pattern.startswith("(?i)")
-    haystack = F.lower(content) if folded else content
+    haystack = lowered if folded else content
     tests = [F.contains(haystack, F.lit(a)) for a in rule.anchors]
     if folded and re.search("[sk]", "".join(rule.anchors)):
         tests += [F.contains(content, F.lit(LONG_S)), F.contains(content, F.lit(KELVIN))]
@@ -135,22 +135,19 @@ def findings(content: str | Column, rules: list[SecretRule] | None = None) -> Co
     active = builtin_rules() if rules is None else rules
     if not active:
         return F.array().cast(FINDINGS)
-    candidates = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    _may_match(c, r),
-                    F.struct(
-                        F.lit(i).alias("ord"),
-                        F.lit(r.name).alias("name"),
-                        F.lit(java_pattern(r.pattern)).alias("pattern"),
-                        F.lit(float(r.min_entropy)).alias("least"),
-                    ),
-                )
-                for i, r in enumerate(active, 1)
-            ]
+
+    def rule_facts(i: int, r: SecretRule) -> Column:
+        return F.struct(
+            F.lit(i).alias("ord"),
+            F.lit(r.name).alias("name"),
+            F.lit(java_pattern(r.pattern)).alias("pattern"),
+            F.lit(float(r.min_entropy)).alias("least"),
         )
-    )
+
+    def candidates_of(lowered: Column) -> Column:
+        return F.array(*[F.when(_may_match(c, lowered, r), rule_facts(i, r)) for i, r in enumerate(active, 1)])
+
+    candidates = F.array_compact(once(F.lower(c), candidates_of))
 
     def found(rule: Column) -> Column:
         # the margin only absorbs rounding in the last digits of a sum of logarithms

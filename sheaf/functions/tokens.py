@@ -25,7 +25,7 @@ from sheaf import fixed_values as fv
 from sheaf.functions.text import col, once
 
 # leaves the first byte of every word and every counted non-word byte
-WORDS_AND_MARKS = r"(\w)\w*+|[ \t]++"
+WORDS_AND_MARKS = r"(\w)\w*+[ \t]*+|[ \t]++"
 # takes out stretches of marks and plain lower-case words, leaving the other words
 PLAIN_STRETCHES = r"\W++(?:[a-z_]++\W++)*+"
 # leaves one digit per started group of three that follows a word byte

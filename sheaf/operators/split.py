@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.operators.render import ORDER
-from sheaf.session import cut_lineage
+from sheaf.session import cut_lineage, task_count
 
 BROADCAST_STATES = 100_000
+BLOCK_BYTES = 128 << 20
 _PIECES_PER_BATCH = 32 << 20
 
 _TABLE = "pack string, block int, nbytes bigint, first_end bigint, last_end bigint, " \
@@ -300,14 +301,17 @@ def split_packs(
     """``pack, part_no, n_parts, content`` of the texts that ``body`` forms in ``order`` within each pack.
 
     ``content`` is BINARY because a hard cut may fall inside a character. ``blocks`` is the
-    number of ranges (default: the shuffle partitions); choose it so that one range fits a task.
+    number of ranges, so that one fits a task; left out, the bodies are measured first.
     """
     if max_bytes <= 0:
         raise ValueError("max_bytes must be positive")
     key = F.lit("") if pack is None else F.col(pack).cast("string")
     rows = sections.select(key.alias("pack"), *order, F.col(body).cast("binary").alias("body"))
     by = ["pack", *order]
-    ranged = rows.repartitionByRange(blocks, *by) if blocks else rows.repartitionByRange(*by)
+    if not blocks:
+        total = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
+        blocks = task_count(sections.sparkSession, total, BLOCK_BYTES)
+    ranged = rows.repartitionByRange(blocks, *by)
     stored = cut_lineage(
         ranged.sortWithinPartitions(*by).select(
             "pack", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("seq"), "body"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sheaf import fixed_values as fv
 from sheaf.functions.secrets import SecretRule
@@ -13,8 +14,8 @@ from sheaf.operators.history import change_freq, recent_commits, touched_files,
 from sheaf.operators.metrics import corpus_totals, file_metrics
 from sheaf.operators.render import Options, assemble_sections
 from sheaf.operators.secrets import explode_findings, secret_quarantine, with_findings
-from sheaf.operators.split import split_packs
-from sheaf.session import cut_lineage
+from sheaf.operators.split import BLOCK_BYTES, split_packs
+from sheaf.session import store_table, task_count
 
 
 @dataclass
@@ -60,7 +61,7 @@ def pack_corpus(
     if commits is not None and sort_by_changes:
         freq = change_freq(commits, touched_files(commits), sort_commits)
         marked = with_change_freq(marked, freq)
-    cleaned = cut_lineage(
+    cleaned = store_table(
         clean_documents(
             marked,
             remove_comments=remove_comments,
@@ -74,6 +75,10 @@ def pack_corpus(
     totals = corpus_totals(metrics)
     log = recent_commits(commits, log_commits) if commits is not None and include_log else None
     sections = assemble_sections(cleaned, totals, options, tree_files, log)
+    blocks = None
+    if split_bytes > 0:  # the sizes of the files stand in for those of the rendered text
+        size = cleaned.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        blocks = task_count(corpus.sparkSession, size, BLOCK_BYTES)
     empty = corpus.sparkSession.createDataFrame([], "rel_path string, rule_ord int, match_ord int, line int, rule string, match string")
     return Pack(
         corpus=cleaned,
@@ -81,5 +86,5 @@ def pack_corpus(
         metrics=metrics,
         totals=totals,
         sections=sections,
-        parts=split_packs(sections, split_bytes) if split_bytes > 0 else None,
+        parts=split_packs(sections, split_bytes, blocks=blocks) if split_bytes > 0 else None,
     )

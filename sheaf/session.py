@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,6 +47,22 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def task_count(spark: SparkSession, size: int, per_task: int) -> int:
+    """Tasks for ``size`` units of work: at least one per core, and more as the work grows."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // per_task))
+
+
+def store_table(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back.
+
+    Like a checkpoint it cuts the lineage; unlike one it is compressed and later readers
+    take only the columns they need.
+    """
+    location = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(location)
+    return df.sparkSession.read.schema(df.schema).parquet(location)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store ``df`` in the shared folder so that lost executors cannot change or repeat it."""
     shared_folder(df.sparkSession)

@@ -18,12 +18,15 @@ from sheaf import fixed_values as fv
 from sheaf.functions.text import base_name, has_ext
 from sheaf.operators import select
 from sheaf.operators.status import skip_status
-from sheaf.session import cut_lineage
+from sheaf.session import cut_lineage, store_table, task_count
 from sheaf.sources.storage import list_dir, read_file
 
 _ENTRY = "root string, rel_path string, is_dir boolean, bytes bigint"
 _CONTENT = "abs_path string, rel_path string, bytes bigint, raw binary, read_error string"
 _READ_BATCH = 32 << 20
+_BYTES_PER_TASK = 256 << 20
+_FILES_PER_TASK = 5000
+_DIRS_PER_TASK = 200
 
 
 def _join(root: str, rel_path: str) -> str:
@@ -50,14 +53,16 @@ def walk(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
     stated = list(patterns)
     frontier = spark.createDataFrame([(root, "")], "root string, rel_path string")
     files = None
-    while True:
-        spread = frontier.repartition("rel_path")
+    waiting = 1
+    while waiting:
+        # a stated number of tasks: by the size of its rows a listing looks too small to spread
+        spread = frontier.repartition(min(waiting, task_count(spark, waiting, _DIRS_PER_TASK)), "rel_path")
         level = cut_lineage(spread.mapInArrow(_list, _ENTRY))
         here = level.where("not is_dir")
         files = here if files is None else files.unionByName(here)
         frontier = level.where("is_dir").where(~select.is_ignored("rel_path", stated, True)).select("root", "rel_path")
-        if frontier.isEmpty():
-            return files
+        waiting = frontier.count()
+    return files
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,15 +93,20 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def read_contents(files: DataFrame) -> DataFrame:
     """Add ``raw`` and ``read_error`` to ``abs_path, rel_path, bytes``; files that have vanished are dropped.
 
-    Files are dealt out by path before they are read, so a directory of large files does
-    not stay in one task and contents never travel. Extensions that mean binary are not read.
+    The list is stored, measured and dealt out by path before any file is read: tasks
+    follow the bytes to read, a directory of large files does not stay in one task, and
+    contents never travel. Extensions that mean binary are not read.
     """
-    listed = files.select("abs_path", "rel_path", "bytes")
+    listed = store_table(files.select("abs_path", "rel_path", "bytes"))
+    work = listed.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("size"), F.count("*").alias("n")).first()
+    tasks = max(
+        task_count(files.sparkSession, work["size"], _BYTES_PER_TASK), task_count(files.sparkSession, work["n"], _FILES_PER_TASK)
+    )
     by_ext = has_ext("rel_path", fv.BINARY_EXTENSIONS)
     unread = listed.where(by_ext).select(
         "*", F.lit(None).cast("binary").alias("raw"), F.lit(None).cast("string").alias("read_error")
     )
-    dealt = listed.where(~by_ext).repartition("abs_path")
+    dealt = listed.where(~by_ext).repartition(min(tasks, max(1, work["n"])), "abs_path")
     return dealt.mapInArrow(_read, _CONTENT).unionByName(unread)
 
 
