@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from sheaf import fixed_values as fv
 from sheaf.functions import markup
 from sheaf.functions.markup import text_concat
+from sheaf.operators.history import touched_files
+from sheaf.operators.joins import salted_lookup
 from sheaf.operators.status import kept
 from sheaf.operators.tree import tree_lines, tree_nodes
 
@@ -137,39 +139,68 @@ def render_summary(totals: DataFrame, options: Options) -> DataFrame:
     return totals.select(F.lit(options.known_style).alias("style"), summary_body(options).alias("body"))
 
 
-def commit_body(style: str) -> Column:
-    """One commit of ``hash, author, date, message, files``; only XML and JSON name author and files."""
+HEAD, TOUCHED, TAIL = range(3)
+
+
+def commit_rows(commits: DataFrame, files: DataFrame, style: str) -> DataFrame:
+    """Rendered commits as rows ``ts, hash, step, path, body``: a head, its files by path, a tail.
+
+    ``commits`` has ``hash, author, date, message, ts`` and ``files`` has ``hash, path``. A commit is
+    never gathered into one value, so one that touches very many files is only many rows. XML and JSON
+    name author and files; Markdown and plain text are one row per commit.
+    """
+    where = ("ts", "hash")
+
+    def rows(df: DataFrame, step: int, body: Column, path: Column | None = None) -> DataFrame:
+        return df.select(
+            *where, F.lit(step).alias("step"), (F.lit("") if path is None else path).alias("path"), body.alias("body")
+        )
+
     first_line = F.substring_index("message", "\n", 1)
+    if style in ("markdown", "plain"):
+        parts = ("- `", F.col("hash"), "` ") if style == "markdown" else (F.col("hash"), " ")
+        return rows(commits, HEAD, text_concat(*parts, F.col("date"), " — ", first_line, "\n"))
+    first = files.groupBy("hash").agg(F.min("path").alias("first_path"))
+    known = commits.join(first, "hash", "left")
+    listed = files.groupBy("hash", "path").agg(F.count("*").cast("int").alias("times"))
+    touched = salted_lookup(listed, known.select(*where, "first_path"), on="hash", how="inner", spread="path")
+    is_first = F.col("path") == F.col("first_path")
+    has_files = F.col("first_path").isNotNull()
     if style == "json":
         text = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
-        touched = F.when(F.size("files") > 0, F.col("files")).alias("files")
-        return F.to_json(F.struct("hash", text("author"), text("date"), text("message"), touched))
-    if style == "markdown":
-        return text_concat("- `", F.col("hash"), "` ", F.col("date"), " — ", first_line, "\n")
-    if style == "plain":
-        return text_concat(F.col("hash"), " ", F.col("date"), " — ", first_line, "\n")
-    touched = F.array_join(
-        F.transform("files", lambda f: text_concat("        <file>", markup.xml_text(f), "</file>\n")), ""
-    )
-    return text_concat(
-        '    <commit hash="', markup.xml_attr("hash"), '">\n      <author>', markup.xml_text("author"),
-        "</author>\n      <date>", markup.xml_text("date"), "</date>\n      <message>", markup.xml_text("message"),
-        "</message>\n",
-        F.when(F.size("files") > 0, text_concat("      <files>\n", touched, "      </files>\n")).otherwise(""),
-        "    </commit>\n",
-    )
+        opened = F.regexp_replace(F.to_json(F.struct("hash", text("author"), text("date"), text("message"))), r"\}\z", "")
+        head = F.concat(opened, F.when(has_files, ',"files":[').otherwise(""))
+        names = F.array_join(F.array_repeat(_json_text(F.col("path")), F.col("times")), ",")
+        entry = F.concat(F.when(is_first, "").otherwise(","), names)
+        tail = F.when(has_files, "]}").otherwise("}")
+    else:
+        head = text_concat(
+            '    <commit hash="', markup.xml_attr("hash"), '">\n      <author>', markup.xml_text("author"),
+            "</author>\n      <date>", markup.xml_text("date"), "</date>\n      <message>", markup.xml_text("message"),
+            "</message>\n", F.when(has_files, "      <files>\n").otherwise(""),
+        )
+        entry = F.repeat(text_concat("        <file>", markup.xml_text("path"), "</file>\n"), F.col("times"))
+        tail = F.concat(F.when(has_files, "      </files>\n").otherwise(""), F.lit("    </commit>\n"))
+    return _union([rows(known, HEAD, head), rows(touched, TOUCHED, entry, F.col("path")), rows(known, TAIL, tail)])
 
 
-def render_commit_log(commits: DataFrame, style: str = "xml") -> DataFrame:
-    """``ts, hash, body``, latest commit first."""
-    return commits.select("ts", "hash", commit_body(style).alias("body")).orderBy(F.desc("ts"), "hash")
+def render_commit_log(commits: DataFrame, files: DataFrame, style: str = "xml") -> DataFrame:
+    """``commit_rows`` in the order of the document, latest commit first."""
+    return commit_rows(commits, files, style).orderBy(F.desc("ts"), "hash", "step", "path")
 
 
 # --- whole documents --------------------------------------------------------------------
 
 
-def _log_rows(commits: DataFrame, place: int, style: str) -> DataFrame:
-    return _rows(commits, place, commit_body(style), k_num=-F.unix_micros("ts"), k_str=F.col("hash"))
+def _log_rows(log: DataFrame, style: str) -> DataFrame:
+    """Commits with an array ``files`` as ``k_num, k_str, body, step``."""
+    rows = commit_rows(log.drop("files"), touched_files(log), style)
+    key = F.concat("hash", F.lit("\0"), F.col("step").cast("string"), F.lit("\0"), "path")
+    return rows.select((-F.unix_micros("ts")).alias("k_num"), key.alias("k_str"), "body", "step")
+
+
+def _log_section(log: DataFrame, style: str) -> DataFrame:
+    return _rows(_log_rows(log, style), LOG + 1, F.col("body"), F.col("k_num"), F.col("k_str"))
 
 
 def _tree_rows(tree: DataFrame, place: int, opening: str, closing: str, in_cdata: bool = False) -> DataFrame:
@@ -209,7 +240,7 @@ def _xml_sections(corpus, tree, totals, log, o: Options) -> list[DataFrame]:
     if log is not None:
         out += [
             _if_any(log, LOG, "  <git_log>\n"),
-            _log_rows(log, LOG + 1, "xml"),
+            _log_section(log, "xml"),
             _if_any(log, LOG + 2, "  </git_log>\n"),
         ]
     if o.instruction:
@@ -254,7 +285,7 @@ def _text_sections(corpus, tree, totals, log, o: Options) -> list[DataFrame]:
         out.append(_stated(corpus, DIFFS, body))
     if log is not None:
         out.append(_if_any(log, LOG, heading("Git Log")))
-        out.append(_log_rows(log, LOG + 1, o.known_style))
+        out.append(_log_section(log, o.known_style))
         out.append(_if_any(log, LOG + 2, "\n"))
     if o.instruction:
         out.append(_stated(corpus, INSTRUCTION, heading("Instruction") + o.instruction + "\n"))
@@ -268,10 +299,11 @@ def _json_text(text: str | Column) -> Column:
 
 
 def _json_list(items: DataFrame, place: int, name: str) -> list[DataFrame]:
-    """``"name": [...]`` from ``k_num, k_str, body``, or nothing without items."""
+    """``"name": [...]`` from rows ``k_num, k_str, body, begins, ends``, or nothing without rows."""
     keyed = _ends(items.withColumn("key", F.struct("k_num", "k_str")), "key")
-    comma = F.when(F.col("is_last"), "\n").otherwise(",\n")
-    rows = _rows(keyed, place + 1, text_concat("    ", F.col("body"), comma), F.col("k_num"), F.col("k_str"))
+    indent = F.when(F.col("begins"), "    ").otherwise("")
+    after = F.when(F.col("is_last"), "\n").when(F.col("ends"), ",\n").otherwise("")
+    rows = _rows(keyed, place + 1, text_concat(indent, F.col("body"), after), F.col("k_num"), F.col("k_str"))
     return [_if_any(items, place, f',\n  "{name}": [\n'), rows, _if_any(items, place + 2, "  ]")]
 
 
@@ -295,14 +327,14 @@ def _json_sections(corpus, tree, totals, log, o: Options) -> list[DataFrame]:
         out.append(_rows(lines, TREE, text_concat(first, inner, last), k_str=F.col("sort_key")))
     out.append(_rows(totals, JSON_STATS, text_concat(",\n", summary_body(o))))
     if o.files:
-        out += _json_list(render_files(corpus, "json"), FILES, "files")
+        whole = render_files(corpus, "json").withColumn("begins", F.lit(True)).withColumn("ends", F.lit(True))
+        out += _json_list(whole, FILES, "files")
     for place, kind, name in ((DIFFS, "work_tree", "git_diff_worktree"), (DIFFS + 1, "staged", "git_diff_staged")):
         if o.diffs.get(kind):
             out.append(field_of(place, name, o.diffs[kind]))
     if log is not None:
-        items = log.select(
-            (-F.unix_micros("ts")).alias("k_num"), F.col("hash").alias("k_str"), commit_body("json").alias("body")
-        )
+        items = _log_rows(log, "json")
+        items = items.withColumn("begins", F.col("step") == HEAD).withColumn("ends", F.col("step") == TAIL)
         out += _json_list(items, LOG, "git_log")
     if o.instruction:
         out.append(field_of(INSTRUCTION, "instruction", o.instruction))

@@ -19,7 +19,7 @@ from sheaf.functions.text import base_name, has_ext
 from sheaf.operators import select
 from sheaf.operators.status import skip_status
 from sheaf.session import cut_lineage, store_table, task_count
-from sheaf.sources.storage import list_dir, read_file
+from sheaf.sources.storage import file_size, list_dir, read_file
 
 _ENTRY = "root string, rel_path string, is_dir boolean, bytes bigint"
 _CONTENT = "abs_path string, rel_path string, bytes bigint, raw binary, read_error string"
@@ -126,8 +126,8 @@ def select_files(
 
     A root that is a file is that file, whatever the rules say.
     """
-    if not list_dir(root) and read_file(root)[0] is not None:
-        size = len(read_file(root)[0])
+    size = file_size(root)
+    if size is not None:
         row = [(root, root.rstrip("/").rsplit("/", 1)[-1], size)]
         return spark.createDataFrame(row, "abs_path string, rel_path string, bytes bigint")
     stated = (select.default_ignores(tool_name) if use_default_patterns else []) + list(custom_ignores)

@@ -51,6 +51,13 @@ def list_dir(location: str) -> list[tuple[str, bool, int]]:
     return [(i.base_name, i.type == fs.FileType.Directory, i.size or 0) for i in infos if i.type in kinds]
 
 
+def file_size(location: str) -> int | None:
+    """Size of a file; None for anything else."""
+    system, path = open_storage(location)
+    info = system.get_file_info(path)
+    return info.size if info.type == fs.FileType.File else None
+
+
 def read_file(location: str) -> tuple[bytes | None, str | None]:
     """``(bytes, error)``; both None when the file has vanished."""
     try:

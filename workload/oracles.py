@@ -460,14 +460,21 @@ union all select 'markdown', '# sheaf Output{NLS}{NLS}> Packed by **sheaf** v1.0
 union all select 'xml', '  <summary>{NLS}    <producer>sheaf v1.0.0</producer>{NLS}    <generated_at>2024-05-03T00:00:00Z</generated_at>{NLS}    <description>{fv.PACK_DESCRIPTION}</description>{NLS}    <stats files="' || files
   || '" chars="' || chars || '" tokens="' || tokens || '" bytes="' || bytes || '"/>{NLS}  </summary>' || chr(10) from totals"""
 
-COMMIT_XML = f"""'    <commit hash="' || o_orderkey || '">{NLS}      <author>' || o_custkey || '</author>{NLS}      <date>' || strftime(o_orderdate, '%Y-%m-%d')
-  || '</date>{NLS}      <message>' || o_orderpriority || ' &lt;' || o_orderstatus || '&gt;&#xA;body</message>' || chr(10)
-  || case when fs is null then '' else '      <files>' || chr(10) || fs || '      </files>' || chr(10) end || '    </commit>' || chr(10)"""
 ORACLES["render_commit_log"] = f"""
-with f as (select l_orderkey, string_agg('        <file>' || {views.COMMIT_PATH} || '</file>' || chr(10), '' order by {views.COMMIT_PATH}) as fs from lineitem group by 1),
-c as (select orders.*, fs from orders left join f on o_orderkey = l_orderkey)
-select 'xml' as style, cast(o_orderkey as varchar) as hash, md5({COMMIT_XML}) as digest from c
-union all select 'markdown', cast(o_orderkey as varchar), md5('- `' || o_orderkey || '` ' || strftime(o_orderdate, '%Y-%m-%d') || ' — ' || o_orderpriority || ' <' || o_orderstatus || '>' || chr(10)) from c"""
+with f as (select l_orderkey as k, {views.COMMIT_PATH} as path, cast(count(*) as int) as n from lineitem group by all),
+g as (select k, min(path) as first_path from f group by k),
+c as (select orders.*, first_path, cast(o_orderkey as varchar) as hash, strftime(o_orderdate, '%Y-%m-%d') as day from orders left join g on k = o_orderkey),
+t as (select hash, path, n, path = first_path as is_first from c join f on k = o_orderkey)
+select 'xml' as style, hash, 0 as step, '' as path, '    <commit hash="' || hash || '">{NLS}      <author>' || o_custkey || '</author>{NLS}      <date>' || day
+  || '</date>{NLS}      <message>' || o_orderpriority || ' &lt;' || o_orderstatus || '&gt;&#xA;body</message>' || chr(10)
+  || case when first_path is null then '' else '      <files>' || chr(10) end as body from c
+union all select 'xml', hash, 1, path, repeat('        <file>' || path || '</file>' || chr(10), n) from t
+union all select 'xml', hash, 2, '', case when first_path is null then '' else '      </files>' || chr(10) end || '    </commit>' || chr(10) from c
+union all select 'markdown', hash, 0, '', '- `' || hash || '` ' || day || ' — ' || o_orderpriority || ' <' || o_orderstatus || '>' || chr(10) from c
+union all select 'json', hash, 0, '', concat('{{"hash":"', hash, '","author":"', o_custkey, '","date":"', day, '","message":"', o_orderpriority, ' <', o_orderstatus, '>\\nbody"',
+  case when first_path is null then '' else ',"files":[' end) from c
+union all select 'json', hash, 1, path, case when is_first then '' else ',' end || array_to_string(list_transform(range(n), lambda i: '"' || path || '"'), ',') from t
+union all select 'json', hash, 2, '', case when first_path is null then '}}' else ']}}' end from c"""
 
 
 def heading(name: str) -> str:

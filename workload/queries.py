@@ -106,12 +106,14 @@ RULE_TEXT = "replace(replace(replace(text, '. ', concat(chr(10), '!')), ', ', co
 def scan_commit_log(spark, sf_dir):
     """Orders written as a commit log with their parts as touched files, and read back."""
     location = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
-    touched = views.commit_files(spark, sf_dir).groupBy("hash").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    orders = views.table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "hash").join(touched, "hash")
+    touched = views.commit_files(spark, sf_dir)
+    orders = views.table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "hash").join(touched, "hash", "left_semi")
     date = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     head = F.concat_ws(commit_log.FIELD, F.col("hash").cast("string"), F.col("o_custkey").cast("string"), date, "o_orderpriority")
-    record = F.concat(head, F.lit("\n"), F.array_join("paths", "\n \n"), F.lit("\n"))
-    orders.select(record.alias("value")).write.option("lineSep", commit_log.MARKER).text(location)
+    heads = orders.select("hash", F.lit(0).alias("step"), F.concat(F.lit(commit_log.MARKER), head).alias("value"))
+    names = touched.select("hash", F.lit(1).alias("step"), F.concat(F.lit(" "), "path", F.lit("\n")).alias("value"))
+    lines = heads.unionByName(names).repartitionByRange("hash").sortWithinPartitions("hash", "step", "value")
+    lines.select("value").write.text(location)
     parsed = commit_log.scan_commit_log(spark, location)
     return parsed.select("hash", "author", "date", "message", F.explode_outer("files").alias("path"))
 
@@ -449,23 +451,19 @@ def render_summary(spark, sf_dir):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-def full_commits(spark, sf_dir) -> DataFrame:
-    touched = views.commit_files(spark, sf_dir).groupBy("hash").agg(F.sort_array(F.collect_list("path")).alias("files"))
-    orders = views.table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey as hash", "cast(o_custkey as string) as author", "date_format(o_orderdate, 'yyyy-MM-dd') as date",
-        "concat(o_orderpriority, ' <', o_orderstatus, '>', chr(10), 'body') as message", "o_orderdate as ts",
-    )
-    return orders.join(touched, "hash", "left").select(
-        F.col("hash").cast("string").alias("hash"), "author", "date", "message", "ts",
-        F.coalesce("files", F.array().cast("array<string>")).alias("files"),
-    )
-
-
 @query
 def render_commit_log(spark, sf_dir):
-    commits = full_commits(spark, sf_dir)
-    out = [render.render_commit_log(commits, s).select(F.lit(s).alias("style"), "hash", md5_of("body")) for s in ("xml", "markdown")]
-    return out[0].unionByName(out[1])
+    commits = views.table(spark, sf_dir, "orders").selectExpr(
+        "cast(o_orderkey as string) as hash", "cast(o_custkey as string) as author",
+        "date_format(o_orderdate, 'yyyy-MM-dd') as date",
+        "concat(o_orderpriority, ' <', o_orderstatus, '>', chr(10), 'body') as message", "o_orderdate as ts",
+    )
+    touched = views.commit_files(spark, sf_dir).select(F.col("hash").cast("string").alias("hash"), "path")
+    out = [
+        render.render_commit_log(commits, touched, s).select(F.lit(s).alias("style"), "hash", "step", "path", "body")
+        for s in ("xml", "markdown", "json")
+    ]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 @query
