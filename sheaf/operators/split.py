@@ -8,11 +8,13 @@ computed in parallel, also inside one pack of any size:
 
 1. the pack is sorted into *blocks*, contiguous ranges of about one task's size, and
    stored, so that blocks cannot change under retries;
-2. every block tabulates, from its line ends alone, how it maps each possible start of
-   the part that is open when the block begins to the start of the part open when it
-   ends. Chains from different starts soon meet, so the table is short;
-3. those tables, a few numbers per block, are chained per pack;
-4. every block, now knowing its entry, cuts its own bytes, and the pieces of a part that
+2. running sums over one row per block place blocks and lines in their pack;
+3. every block tabulates how it maps each possible start of the part that is open when
+   the block begins to the start of the part open when it ends: a step function with
+   at most one step per line of a part;
+4. neighbouring tables are composed in a tree of bounded fan-in, and the start of the
+   pack is followed back down the tree to every block;
+5. every block, now knowing its entry, cuts its own bytes, and the pieces of a part that
    spans blocks are put together. A part is bounded by ``max_bytes``.
 
 A line belongs to the block that holds its newline.
@@ -26,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.operators.render import ORDER
@@ -34,12 +36,13 @@ from sheaf.session import cut_lineage, task_count
 
 BROADCAST_STATES = 100_000
 BLOCK_BYTES = 128 << 20
+FAN_IN = 64
 _PIECES_PER_BATCH = 32 << 20
 
-_TABLE = "pack string, block int, nbytes bigint, first_end bigint, last_end bigint, " \
-    "upto array<bigint>, leads_to array<bigint>, cuts array<bigint>"
-_STATE = "pack string, block int, offset bigint, line_start bigint, part_start bigint, part_no bigint, " \
-    "tail_end bigint, tail_closed boolean, total bigint, n_parts bigint"
+_SUMMARY = "pack string, block int, nbytes bigint, first_end bigint, last_end bigint"
+_TABLE = "pack string, node bigint, upto array<bigint>, leads_to array<bigint>, cuts array<bigint>"
+_ENTRY = "pack string, node bigint, part_start bigint, part_no bigint, exit_start bigint, exit_no bigint"
+_COUNT = "pack string, n_parts bigint"
 _PIECE = "pack string, part_no bigint, n_parts bigint, piece_offset bigint, piece binary"
 
 
@@ -72,22 +75,21 @@ class _Cutter:
 
 
 class _Lines:
-    """The line ends of one block, and how parts proceed through them."""
+    """The lines that end in one block, and how parts proceed through them. Positions are those of the pack."""
 
-    def __init__(self, ends: np.ndarray, limit: int):
-        self.ends, self.limit = ends, limit
+    def __init__(self, begin: int, ends: np.ndarray, limit: int):
+        self.begin, self.ends, self.limit = begin, ends, limit
         self.known: dict[int, tuple[int, int]] = {}
 
-    def first_beyond(self, start: int) -> int:
-        """The first line that does not fit into a part starting at ``start``."""
-        return int(np.searchsorted(self.ends, start + self.limit, "right"))
+    def start_of(self, j: int) -> int:
+        return int(self.ends[j - 1]) if j else self.begin
 
     def step(self, start: int) -> tuple[int, int] | None:
         """(next part start, cuts made) or None when the block ends first."""
-        j = self.first_beyond(start)
+        j = int(np.searchsorted(self.ends, start + self.limit, "right"))  # the first line that does not fit
         if j >= len(self.ends):
             return None
-        begin = int(self.ends[j - 1])
+        begin = self.start_of(j)
         if begin > start + 1:
             return begin, 1
         cutter = _Cutter(self.limit, start, 0)
@@ -111,36 +113,62 @@ class _Lines:
             self.known[at] = (exit_at, cuts)
         return exit_at, cuts
 
-    def table(self) -> tuple[list[int], list[int], list[int]]:
-        """Step function over part starts once the first line is taken; later starts never cut."""
-        ends, limit = self.ends, self.limit
-        first = int(ends[0])
-        last_cutting = int(ends[-1]) - limit - 1
-        upto: list[int] = []
-        leads: list[int] = []
-        cuts: list[int] = []
-
-        def add(bound: int, result: tuple[int, int]) -> None:
-            if upto and (leads[-1], cuts[-1]) == result:
-                upto[-1] = bound
-            else:
-                upto.append(bound)
-                leads.append(result[0])
-                cuts.append(result[1])
-
-        lowest, highest = first - limit, min(first - 2, last_cutting)
-        j = 1
-        while j < len(ends) and lowest <= highest:
-            bound = min(highest, int(ends[j]) - limit - 1)
+    def table(self, lowest: int) -> "_Table":
+        """The step function on part starts from ``lowest`` to the begin of the first line."""
+        found: list[tuple[int, int, int]] = []
+        if not len(self.ends):
+            return _Table.of(found)
+        last_cutting = int(self.ends[-1]) - self.limit - 1
+        lowest, highest = max(lowest, self.begin - self.limit), min(self.begin - 2, last_cutting)
+        j = int(np.searchsorted(self.ends, lowest + self.limit, "right"))
+        while lowest <= highest:
+            bound = min(highest, int(self.ends[j]) - self.limit - 1)
             if bound >= lowest:
-                exit_at, made = self.leave(int(ends[j - 1]))
-                add(bound, (exit_at, made + 1))
+                exit_at, made = self.leave(self.start_of(j))
+                found.append((bound, exit_at, made + 1))
                 lowest = bound + 1
             j += 1
-        for start in (first - 1, first):
-            if start <= last_cutting:
-                add(start, self.leave(start))
-        return upto, leads, cuts
+        for start in (self.begin - 1, self.begin):
+            if lowest <= start <= last_cutting:
+                found.append((start, *self.leave(start)))
+        return _Table.of(found)
+
+
+@dataclass
+class _Table:
+    """A step function on part starts: up to ``upto[k]`` it leads to ``leads_to[k]`` with ``cuts[k]`` cuts;
+    a later start stays as it is."""
+
+    upto: np.ndarray
+    leads_to: np.ndarray
+    cuts: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple[int, int, int]]) -> "_Table":
+        cells = np.array(rows, np.int64).reshape(-1, 3)
+        return _Table(cells[:, 0], cells[:, 1], cells[:, 2]).merged()
+
+    def merged(self) -> "_Table":
+        same = (self.leads_to[1:] == self.leads_to[:-1]) & (self.cuts[1:] == self.cuts[:-1])
+        keep = np.append(~same, True)[: len(self.upto)]
+        return _Table(self.upto[keep], self.leads_to[keep], self.cuts[keep])
+
+    def at(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.searchsorted(self.upto, starts, "left")
+        inside = k < len(self.upto)
+        k = np.where(inside, k, 0)
+        if not len(self.upto):
+            return starts, np.zeros(len(starts), np.int64)
+        return np.where(inside, self.leads_to[k], starts), np.where(inside, self.cuts[k], 0)
+
+    def then(self, later: "_Table") -> "_Table":
+        leads_to, cuts = later.at(self.leads_to)
+        beyond = later.upto > (self.upto[-1] if len(self.upto) else -1)
+        return _Table(
+            np.concatenate([self.upto, later.upto[beyond]]),
+            np.concatenate([leads_to, later.leads_to[beyond]]),
+            np.concatenate([self.cuts + cuts, later.cuts[beyond]]),
+        ).merged()
 
 
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -184,54 +212,131 @@ def _line_ends(data: bytes) -> np.ndarray:
     return np.flatnonzero(np.frombuffer(data, np.uint8) == 10).astype(np.int64) + 1
 
 
+def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for head, chunks in _stretches(batches):
+        data = b"".join(chunks)
+        has_line = b"\n" in data
+        yield pa.RecordBatch.from_pydict(
+            {
+                "pack": pa.array([head["pack"]], pa.string()),
+                "block": pa.array([head["block"]], pa.int32()),
+                "nbytes": pa.array([len(data)], pa.int64()),
+                "first_end": pa.array([data.find(b"\n") + 1 if has_line else None], pa.int64()),
+                "last_end": pa.array([data.rfind(b"\n") + 1 if has_line else None], pa.int64()),
+            }
+        )
+
+
+def _layout(summary: DataFrame) -> DataFrame:
+    """Where blocks and their lines lie in their pack; none of it depends on the cuts."""
+    pack = Window.partitionBy("pack")
+    order = pack.orderBy("block")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    behind = order.rowsBetween(1, Window.unboundedFollowing)
+    offset = F.coalesce(F.sum("nbytes").over(before), F.lit(0))
+    placed = summary.select(
+        "pack", "block", "nbytes", offset.alias("offset"),
+        (offset + F.col("first_end")).alias("first_end"), (offset + F.col("last_end")).alias("last_end"),
+    )
+    following = F.min("first_end").over(behind)
+    total = F.sum("nbytes").over(pack)
+    return placed.select(
+        "pack",
+        "block",
+        (F.row_number().over(order) - 1).cast("long").alias("node"),
+        F.count("*").over(pack).alias("n_nodes"),
+        "offset",
+        F.coalesce(F.max("last_end").over(before), F.lit(0)).alias("line_start"),
+        F.coalesce(following, total).alias("tail_end"),
+        following.isNotNull().alias("tail_closed"),
+        F.coalesce(F.max("last_end").over(pack), F.lit(0)).alias("last_line"),
+        total.alias("total"),
+    )
+
+
 def _tabulate(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for head, chunks in _stretches(batches):
-            data = b"".join(chunks)
-            ends = _line_ends(data)
-            upto, leads, cuts = _Lines(ends, limit).table() if len(ends) > 1 else ([], [], [])
+            ends = _line_ends(b"".join(chunks)) + head["offset"]
+            table = _Lines(head["line_start"], ends, limit).table(lowest=0)
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_pydict(
                 {
-                    "pack": [head["pack"]],
-                    "block": pa.array([head["block"]], pa.int32()),
-                    "nbytes": [len(data)],
-                    "first_end": [int(ends[0]) if len(ends) else -1],
-                    "last_end": [int(ends[-1]) if len(ends) else -1],
-                    "upto": pa.array([upto], pa.list_(pa.int64())),
-                    "leads_to": pa.array([leads], pa.list_(pa.int64())),
-                    "cuts": pa.array([cuts], pa.list_(pa.int64())),
+                    "pack": pa.array([head["pack"]], pa.string()),
+                    "node": pa.array([head["node"]], pa.int64()),
+                    "upto": pa.array([table.upto], longs),
+                    "leads_to": pa.array([table.leads_to], longs),
+                    "cuts": pa.array([table.cuts], longs),
                 }
             )
 
     return run
 
 
-def _chain(limit: int):
-    def run(tables: pd.DataFrame) -> pd.DataFrame:
-        tables = tables.sort_values("block")
-        open_part = _Cutter(limit, 0, 1)
-        offset = line_start = 0
-        states = []
-        waiting = 0
-        for t in tables.itertuples():
-            states.append([t.pack, t.block, offset, line_start, open_part.start, open_part.number, 0, True])
-            if t.first_end >= 0:
-                for i in range(waiting, len(states) - 1):  # the line that ends here began in these blocks
-                    states[i][6] = offset + t.first_end
-                waiting = len(states) - 1
-                open_part.take_line(line_start, offset + t.first_end)
-                k = int(np.searchsorted(t.upto, open_part.start - offset, "left"))
-                if k < len(t.upto):
-                    open_part = _Cutter(limit, offset + int(t.leads_to[k]), open_part.number + int(t.cuts[k]))
-                line_start = offset + t.last_end
-            offset += t.nbytes
-        for s in states[waiting:]:
-            s[6], s[7] = offset, False
-        if offset > line_start:
-            open_part.take_line(line_start, offset, closed=False)
-        parts = open_part.number - (open_part.start >= offset)
-        columns = [c.split()[0] for c in _STATE.split(", ")]
-        return pd.DataFrame([[*s, offset, parts] for s in states], columns=columns)
+def _tables(rows: pd.DataFrame) -> list[tuple[int, _Table]]:
+    rows = rows.sort_values("node")
+    return [
+        (int(t.node), _Table(*(np.asarray(c, np.int64) for c in (t.upto, t.leads_to, t.cuts)))) for t in rows.itertuples()
+    ]
+
+
+def _compose(fan: int):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        tables = _tables(rows)
+        whole = tables[0][1]
+        for _, t in tables[1:]:
+            whole = whole.then(t)
+        found = [[rows["pack"].iloc[0], tables[0][0] // fan, whole.upto, whole.leads_to, whole.cuts]]
+        return pd.DataFrame(found, columns=["pack", "node", "upto", "leads_to", "cuts"])
+
+    return run
+
+
+def _chain(rows: pd.DataFrame) -> pd.DataFrame:
+    """Follow the open part through neighbouring nodes from the entry that the rows carry."""
+    start, number = int(rows["entry_start"].iloc[0]), int(rows["entry_no"].iloc[0])
+    found = []
+    for node, table in _tables(rows):
+        leads_to, cuts = table.at(np.array([start], np.int64))
+        found.append([rows["pack"].iloc[0], node, start, number, int(leads_to[0]), number + int(cuts[0])])
+        start, number = found[-1][4:]
+    return pd.DataFrame(found, columns=[c.split()[0] for c in _ENTRY.split(", ")])
+
+
+def _entries(tables: DataFrame, most_nodes: int, fan: int) -> DataFrame:
+    """The open part at the begin of every block.
+
+    Neighbouring tables are composed ``fan`` at a time until a pack has no more than
+    ``fan`` of them; the known start of the pack is then followed back down. No task
+    sees more than ``fan`` tables.
+    """
+    levels = [tables]
+    while -(-most_nodes // fan ** (len(levels) - 1)) > fan:
+        parent = F.floor(F.col("node") / fan).alias("parent")
+        levels.append(cut_lineage(levels[-1].groupBy("pack", parent).applyInPandas(_compose(fan), _TABLE)))
+    entered = levels[-1].withColumn("entry_start", F.lit(0)).withColumn("entry_no", F.lit(1))
+    entries = entered.groupBy("pack").applyInPandas(_chain, _ENTRY)
+    for tables_below in reversed(levels[:-1]):
+        above = entries.select(
+            "pack", F.col("node").alias("parent"), F.col("part_start").alias("entry_start"), F.col("part_no").alias("entry_no")
+        )
+        below = tables_below.withColumn("parent", F.floor(F.col("node") / fan)).join(above, ["pack", "parent"])
+        entries = below.groupBy("pack", "parent").applyInPandas(_chain, _ENTRY)
+    return entries
+
+
+def _count_parts(limit: int):
+    """The number of parts, from the part that is open when the last block ends."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            found = []
+            for r in rows.itertuples():
+                open_part = _Cutter(limit, r.exit_start, r.exit_no)
+                if r.total > r.last_line:
+                    open_part.take_line(r.last_line, r.total, closed=False)
+                found.append([r.pack, open_part.number - (open_part.start >= r.total)])
+            yield pd.DataFrame(found, columns=["pack", "n_parts"])
 
     return run
 
@@ -290,6 +395,13 @@ def _pieces(head: dict, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
+def _beside(stored: DataFrame, facts: DataFrame) -> DataFrame:
+    """The stored rows with one row of facts per block, still in the order of the block."""
+    if facts.count() <= BROADCAST_STATES:
+        return stored.join(F.broadcast(facts), ["pack", "block"])
+    return stored.join(facts, ["pack", "block"]).sortWithinPartitions("pack", "block", "seq")
+
+
 def split_packs(
     sections: DataFrame,
     max_bytes: int,
@@ -297,6 +409,7 @@ def split_packs(
     order: tuple[str, ...] = ORDER,
     body: str = "body",
     blocks: int | None = None,
+    fan: int = FAN_IN,
 ) -> DataFrame:
     """``pack, part_no, n_parts, content`` of the texts that ``body`` forms in ``order`` within each pack.
 
@@ -305,7 +418,7 @@ def split_packs(
     """
     if max_bytes <= 0:
         raise ValueError("max_bytes must be positive")
-    key = F.lit("") if pack is None else F.col(pack).cast("string")
+    key = F.lit("") if pack is None else F.coalesce(F.col(pack).cast("string"), F.lit(""))
     rows = sections.select(key.alias("pack"), *order, F.col(body).cast("binary").alias("body"))
     by = ["pack", *order]
     if not blocks:
@@ -317,13 +430,14 @@ def split_packs(
             "pack", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("seq"), "body"
         )
     )
-    states = cut_lineage(
-        stored.mapInArrow(_tabulate(max_bytes), _TABLE).groupBy("pack").applyInPandas(_chain(max_bytes), _STATE)
-    )
-    if states.count() <= BROADCAST_STATES:
-        entered = stored.join(F.broadcast(states), ["pack", "block"])
-    else:
-        entered = stored.join(states, ["pack", "block"]).sortWithinPartitions("pack", "block", "seq")
+    layout = cut_lineage(_layout(stored.mapInArrow(_summarize, _SUMMARY)))
+    most_nodes = layout.agg(F.max("n_nodes")).first()[0] or 1
+    placed = _beside(stored, layout.select("pack", "block", "node", "offset", "line_start"))
+    tables = cut_lineage(placed.mapInArrow(_tabulate(max_bytes), _TABLE))
+    entries = layout.join(_entries(tables, most_nodes, fan), ["pack", "node"])
+    ends = entries.where("node = n_nodes - 1").select("pack", "exit_start", "exit_no", "last_line", "total")
+    states = cut_lineage(entries.join(ends.mapInPandas(_count_parts(max_bytes), _COUNT), "pack"))
+    entered = _beside(stored, states.drop("node", "n_nodes", "last_line", "exit_start", "exit_no"))
     pieces = entered.mapInArrow(_cut(max_bytes), _PIECE)
     in_order = F.sort_array(F.collect_list(F.struct("piece_offset", "piece")))
     whole = F.array_join(F.transform(in_order, lambda p: p["piece"].cast("string")), "").cast("binary")

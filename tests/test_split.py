@@ -6,12 +6,12 @@ import restated as py
 from sheaf.operators.split import split_packs
 
 
-def parts_of(spark, packs: dict[str, list[str]], limit: int, blocks: int):
+def parts_of(spark, packs: dict[str, list[str]], limit: int, blocks: int, fan: int = 64):
     rows = [(k, i, t) for k, texts in packs.items() for i, t in enumerate(texts)]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "pack string, i int, body string").repartition(3)
     got = {}
-    for r in split_packs(df, limit, "pack", ("i",), blocks=blocks).collect():
+    for r in split_packs(df, limit, "pack", ("i",), blocks=blocks, fan=fan).collect():
         got.setdefault(r.pack, {})[r.part_no] = bytes(r.content)
         got[r.pack]["n"] = r.n_parts
     return got
@@ -34,6 +34,18 @@ def test_split_matches_one_pass(spark, limit, blocks, seed):
         assert n == len(expected) and sorted(got[name]) == list(range(1, n + 1))
 
 
+@pytest.mark.parametrize("limit, blocks, fan, seed", [(30, 40, 2, 7), (9, 25, 3, 8), (300, 30, 2, 9), (5, 12, 2, 10)])
+def test_split_one_pack_in_many_blocks(spark, limit, blocks, fan, seed):
+    rng = random.Random(seed)
+    bits = ["a", "\n", "line\n", "é", "x" * 9 + "\n", "\n\n", "long " * 8 + "\n", "word ", "12345\n" * 6]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 6))) for _ in range(400)]
+    got = parts_of(spark, {"one": texts, "two": ["12345\n" * 50] * 9}, limit, blocks, fan)
+    for name, whole in (("one", "".join(texts)), ("two", "12345\n" * 450)):
+        expected = py.split_parts(whole.encode(), limit)
+        assert got[name].pop("n") == len(expected)
+        assert [got[name][i] for i in sorted(got[name])] == expected
+
+
 def test_known_case(spark):
     got = parts_of(spark, {"p": ["line1\nline2\nline3\n", "line4\nline5\n"]}, 12, 2)["p"]
     assert [got[i] for i in (1, 2, 3)] == [b"line1\nline2", b"line3\nline4", b"line5\n"]
