@@ -30,10 +30,6 @@ def rows_of(array: str | Column) -> Column:
     return F.explode_outer(array)
 
 
-def literal_array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(STRINGS)
-
-
 def file_ext(path: str | Column) -> Column:
     """Lower-cased extension with its dot; '' where the last path element has none."""
     return F.lower(F.regexp_extract(col(path), r"(\.[^./]*)\z", 1))

@@ -44,7 +44,7 @@ ORACLES["select_manifest"] = f"""
 with docs as (select doc_id, {views.REL_PATH} as rel_path from documents),
 labelled as (select docs.*, quality, toxic from docs join labels using (doc_id)),
 entries as (select rel_path as entry from labelled where quality = 1
-  union select regexp_extract(rel_path, '^(.*)/', 1) from labelled where toxic = 1 and doc_id % 7 = 0)
+  union select regexp_extract(rel_path, '^(.*)/', 1) from labelled where toxic = 1 and quality = 0)
 select rel_path from docs where exists (
   select 1 from entries where rel_path = entry or starts_with(rel_path, concat(entry, '/')))"""
 
@@ -73,10 +73,9 @@ from lineitem join orders on o_orderkey = l_orderkey"""
 # --- filters ----------------------------------------------------------------------------
 
 
-def re2(pattern: str, floating_ok: bool = True) -> str:
+def re2(pattern: str) -> str:
     """A stated glob for DuckDB; only classes that cannot hold a slash are used here."""
-    rule = glob.parse_rule(pattern)
-    return rule.regex.replace("(?!/)", "")
+    return glob.parse_rule(pattern).regex.replace("(?!/)", "")
 
 
 def full_match(path: str, pattern: str) -> str:

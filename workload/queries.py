@@ -15,7 +15,6 @@ from sheaf.operators import clean, history, metrics, render, select, split, stat
 from sheaf.operators import secrets as secret_ops
 from sheaf.session import shared_folder
 from sheaf.sources import commit_log, files, sinks, tables
-from sheaf.sources.tables import as_corpus
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,7 +74,7 @@ def select_manifest(spark, sf_dir):
     manifest = labelled.where("quality = 1").select(F.concat(F.lit("  "), "rel_path", F.lit(" ")).alias("line"))
     manifest = manifest.unionByName(labelled.select(F.concat(F.lit("# "), "rel_path").alias("line")))
     folder = F.regexp_extract("rel_path", "^(.*)/", 1).alias("line")
-    manifest = manifest.unionByName(labelled.where("toxic = 1 and doc_id % 7 = 0").select(folder))
+    manifest = manifest.unionByName(labelled.where("toxic = 1 and quality = 0").select(folder))
     return select.select_manifest(docs.select("rel_path"), manifest)
 
 
