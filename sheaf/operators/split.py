@@ -395,6 +395,12 @@ def _pieces(head: dict, rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     )
 
 
+def ranges_for(rows: DataFrame, body: str = "body") -> int:
+    """How many ranges of ``BLOCK_BYTES`` the bodies fill."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()[0]
+    return task_count(rows.sparkSession, total, BLOCK_BYTES)
+
+
 def _beside(stored: DataFrame, facts: DataFrame) -> DataFrame:
     """The stored rows with one row of facts per block, still in the order of the block."""
     if facts.count() <= BROADCAST_STATES:
@@ -421,9 +427,7 @@ def split_packs(
     key = F.lit("") if pack is None else F.coalesce(F.col(pack).cast("string"), F.lit(""))
     rows = sections.select(key.alias("pack"), *order, F.col(body).cast("binary").alias("body"))
     by = ["pack", *order]
-    if not blocks:
-        total = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
-        blocks = task_count(sections.sparkSession, total, BLOCK_BYTES)
+    blocks = blocks or ranges_for(rows)
     ranged = rows.repartitionByRange(blocks, *by)
     stored = cut_lineage(
         ranged.sortWithinPartitions(*by).select(
@@ -438,7 +442,7 @@ def split_packs(
     ends = entries.where("node = n_nodes - 1").select("pack", "exit_start", "exit_no", "last_line", "total")
     states = cut_lineage(entries.join(ends.mapInPandas(_count_parts(max_bytes), _COUNT), "pack"))
     entered = _beside(stored, states.drop("node", "n_nodes", "last_line", "exit_start", "exit_no"))
-    pieces = entered.mapInArrow(_cut(max_bytes), _PIECE)
+    pieces = entered.mapInArrow(_cut(max_bytes), _PIECE).repartition(blocks, "pack", "part_no")
     in_order = F.sort_array(F.collect_list(F.struct("piece_offset", "piece")))
     whole = F.array_join(F.transform(in_order, lambda p: p["piece"].cast("string")), "").cast("binary")
     return pieces.groupBy("pack", "part_no", "n_parts").agg(whole.alias("content"))

@@ -19,7 +19,7 @@ from sheaf.functions.text import base_name, has_ext
 from sheaf.operators import select
 from sheaf.operators.status import skip_status
 from sheaf.session import cut_lineage, store_table, task_count
-from sheaf.sources.storage import file_size, list_dir, read_file
+from sheaf.sources.storage import absolute, file_size, list_dir, read_file
 
 _ENTRY = "root string, rel_path string, is_dir boolean, bytes bigint"
 _CONTENT = "abs_path string, rel_path string, bytes bigint, raw binary, read_error string"
@@ -126,6 +126,7 @@ def select_files(
 
     A root that is a file is that file, whatever the rules say.
     """
+    root = absolute(root)
     size = file_size(root)
     if size is not None:
         row = [(root, root.rstrip("/").rsplit("/", 1)[-1], size)]
@@ -133,7 +134,7 @@ def select_files(
     stated = (select.default_ignores(tool_name) if use_default_patterns else []) + list(custom_ignores)
     listed = walk(spark, root, stated)
     files = listed.select(
-        F.concat(F.regexp_replace("root", r"/+\z", ""), F.lit("/"), "rel_path").alias("abs_path"), "rel_path", "bytes"
+        F.concat(F.regexp_replace("root", r"/\z", ""), F.lit("/"), "rel_path").alias("abs_path"), "rel_path", "bytes"
     )
     names = select.ignore_file_names(tool_name, use_gitignore, use_dot_ignore)
     if names:
@@ -150,3 +151,8 @@ def scan_corpus_files(spark: SparkSession, root: str, **options) -> DataFrame:
     """A directory tree in the corpus schema; the options are those of ``select_files``."""
     read = read_contents(select_files(spark, root, **options))
     return skip_status(read).select("abs_path", "rel_path", "bytes", "is_binary", "content", "skip_reason")
+
+
+def scan_roots(spark: SparkSession, roots: list[str], **options) -> DataFrame:
+    """Several roots as one corpus; a file reached from more than one root belongs to the first."""
+    return select.union_roots([scan_corpus_files(spark, root, **options) for root in roots or ["."]])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sheaf.functions.markup import part_filename
 from sheaf.operators.render import EXTENSIONS, ORDER
+from sheaf.operators.split import ranges_for
 from sheaf.sources.storage import StagedFile
 
 _WRITTEN = "file string, bytes bigint"
@@ -73,7 +74,7 @@ def _write_range(location: str):
 
 def write_document(sections: DataFrame, location: str, ranges: int | None = None) -> DataFrame:
     """Write a document unsplit: sorted ranges, one file each, whose concatenation is the document."""
-    ranged = sections.repartitionByRange(ranges, *ORDER) if ranges else sections.repartitionByRange(*ORDER)
+    ranged = sections.repartitionByRange(ranges or ranges_for(sections), *ORDER)
     bodies = ranged.sortWithinPartitions(*ORDER).select(
         F.spark_partition_id().alias("range"), F.col("body").cast("binary").alias("body")
     )

@@ -17,6 +17,11 @@ def local_path(location: str) -> str:
     return location.removeprefix("file://")
 
 
+def absolute(location: str) -> str:
+    """One name per place, so that overlapping roots are recognised."""
+    return os.path.abspath(local_path(location)) if is_local(location) else location.rstrip("/")
+
+
 def open_storage(location: str) -> tuple[fs.FileSystem, str]:
     """The file system of a location and the path inside it."""
     if is_local(location):
@@ -52,9 +57,11 @@ def list_dir(location: str) -> list[tuple[str, bool, int]]:
 
 
 def file_size(location: str) -> int | None:
-    """Size of a file; None for anything else."""
+    """Size of a file, None for a directory; a place that does not exist is an error."""
     system, path = open_storage(location)
     info = system.get_file_info(path)
+    if info.type == fs.FileType.NotFound:
+        raise FileNotFoundError(location)
     return info.size if info.type == fs.FileType.File else None
 
 

@@ -77,6 +77,14 @@ def test_scan_options(spark, root):
     assert (single.rel_path, single.content) == ("ignored.log", "x\n")
 
 
+def test_roots(spark, root):
+    with pytest.raises(FileNotFoundError):
+        files.scan_corpus_files(spark, f"{root}/nowhere")
+    twice = files.scan_roots(spark, [f"{root}/src", root, f"{root}/src/main.go"], include=["*.go"])
+    assert sorted((r.abs_path.removeprefix(root), r.rel_path) for r in twice.collect()) == [
+        ("/src/main.go", "main.go"), ("/src/util.go", "util.go")]
+
+
 def test_read_errors(spark, root, tmp_path):
     rows = [(f"{root}/README.md", "README.md", 1), (f"{root}/absent", "absent", 1), (f"{root}/src", "src", 1)]
     df = spark.createDataFrame(rows, "abs_path string, rel_path string, bytes bigint")
