@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import stat
 import uuid
 
@@ -10,11 +11,12 @@ from pyarrow import fs
 
 
 def is_local(location: str) -> bool:
-    return "://" not in location or location.startswith("file://")
+    """Plain paths and ``file:`` URIs, with or without an empty authority."""
+    return location.startswith("file:") or not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", location)
 
 
 def local_path(location: str) -> str:
-    return location.removeprefix("file://")
+    return re.sub(r"\Afile:(?://(?=/))?", "", location)
 
 
 def absolute(location: str) -> str:
@@ -26,7 +28,7 @@ def open_storage(location: str) -> tuple[fs.FileSystem, str]:
     """The file system of a location and the path inside it."""
     if is_local(location):
         return fs.LocalFileSystem(), local_path(location)
-    return fs.FileSystem.from_uri(location)
+    return fs.FileSystem.from_uri(re.sub(r"\As3[an]:", "s3:", location))  # Hadoop's names for S3
 
 
 def list_dir(location: str) -> list[tuple[str, bool, int]]:
