@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sheaf.llm.bpe import encode_digests
 from sheaf.llm.common import table
 from sheaf.llm.exact_dedup import exact_dedup
 from sheaf.llm.mixing import mix_sources
+from sheaf.llm.quality_fm import quality_scores
+from sheaf.llm.simhash import simhash_groups
 from sheaf.llm.warc import archive_pages
 
 
+def vocabulary_path() -> str:
+    """Where the vocabulary of the token queries is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -22,4 +36,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_mix_sources, op10_warc)}
+def op5_simhash_covering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_digests(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_machine, op3_exact_dedup, op4_mix_sources, op5_simhash_covering, op6_bpe, op10_warc)}
