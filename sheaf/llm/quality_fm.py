@@ -136,8 +136,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -35, 35)))
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, epochs: int = 8, rate: float = 0.15, seed: int = 7) -> Machine:
-    """Logistic loss, AdaGrad over batches of 64 rows. Labels of one kind only, or none, give their smoothed share as bias."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int, updates: int = 1500, rate: float = 0.15, seed: int = 7) -> Machine:
+    """Logistic loss, AdaGrad over about ``updates`` batches of 64 rows, at least 8 rounds over all of them. Labels of one kind only, or none, give their smoothed share as bias."""
     good, bad = int((labels == 1).sum()), int((labels == 0).sum())
     rng = np.random.default_rng(seed)
     bias = float(np.log((good + 1) / (bad + 1)))
@@ -146,7 +146,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size: int
         m.factors[:] = 0
         return m
     seen_w, seen_v, seen_b = np.full(size, 1e-3, np.float32), np.full((size, FACTORS), 1e-3, np.float32), 1e-3
-    for _ in range(epochs):
+    for _ in range(max(8, updates // -(-len(rows) // 64))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 64):
             part = order[at : at + 64]

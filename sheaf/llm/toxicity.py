@@ -96,7 +96,7 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "µ": "u",
 }
-STANDS, DROPPED, KEPT, TWICE_OF_MANY, ONCE_OF_MANY, ONCE_OF_TWO = -0.7, -0.4, -3.0, -1.2, -0.3, -2.0
+STANDS, DROPPED, KEPT, TWICE_OF_MANY, ONCE_OF_MANY, ONCE_OF_TWO, WORD_END = -0.7, -0.4, -3.0, -1.2, -0.3, -2.0, -0.5
 
 
 def lattice(text: str) -> list[list[tuple[str, float]]]:
@@ -117,12 +117,18 @@ def lattice(text: str) -> list[list[tuple[str, float]]]:
     return columns
 
 
-def decode(text: str, model: Letters) -> str:
-    """The likeliest original of ``text``: Viterbi over the lattice; a state is the last three symbols."""
+def decode(text: str, model: Letters, letters_apart: bool = False) -> str:
+    """The likeliest original of ``text``: Viterbi over the lattice; a state is the last three symbols.
+
+    Between letters that stood apart a word may end.
+    """
+    columns = lattice(text)
+    if letters_apart:
+        columns = [way for c in columns for way in (c, [("", 0.0), (" ", WORD_END)])]
     log = model.log
     start = (BOUND * SYMBOLS + BOUND) * SYMBOLS + BOUND
     states: dict[int, tuple[float, tuple]] = {start: (0.0, ())}
-    for ways in [*lattice(text), [(" ", 0.0)]]:
+    for ways in [*columns, [(" ", 0.0)]]:
         new: dict[int, tuple[float, tuple]] = {}
         for state, (score, back) in states.items():
             for written, cost in ways:
@@ -189,8 +195,8 @@ class Reader(dict):
     def select(self, features) -> tuple[int, ...]:
         return tuple(f for f in set(features) if self.wanted is None or f in self.wanted)
 
-    def restored(self, text: str) -> list[int]:
-        return [f for w in decode(text, self.letters).split() for f in word_features(w)]
+    def restored(self, text: str, letters_apart: bool = False) -> list[int]:
+        return [f for w in decode(text, self.letters, letters_apart).split() for f in word_features(w)]
 
     def __missing__(self, token: bytes) -> tuple[int, ...]:
         if len(self) >= self.most:
@@ -210,7 +216,7 @@ class Reader(dict):
             if f := self[w]:
                 found.update(f)
         for run in set(spaced(words)):
-            found.update(self.select(self.restored(run.lower())))
+            found.update(self.select(self.restored(run.lower(), True)))
         return found
 
 
