@@ -1,4 +1,4 @@
-"""Secret detection in one pass over a row: every rule is a literal regex in the plan.
+"""Secret detection in one pass over a row: a substring test picks the rules whose regex runs at all.
 
 Patterns are written as RE2 reads them and rewritten here for Java: RE2's ``\\s`` has
 no vertical tab, and ignoring case there also equates the long s with "s" and the

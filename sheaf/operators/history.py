@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from sheaf import fixed_values as fv
 from sheaf.functions.text import rows_of
 
-BROADCAST_COMMITS = 100_000
-
-
 def touched_files(commits: DataFrame) -> DataFrame:
     return commits.select("hash", rows_of("files").alias("path")).where("path is not null")
 
@@ -27,13 +24,9 @@ def recent_commits(commits: DataFrame, n: int = fv.RECENT_COMMITS) -> DataFrame:
 def recent_files(commits: DataFrame, files: DataFrame, n: int) -> DataFrame:
     """Files touched by the latest ``n`` commits.
 
-    At most ``n`` commit rows reach the join. Up to ``BROADCAST_COMMITS`` they are
-    broadcast and the file table is only filtered; beyond that Spark chooses.
+    At most ``n`` commit rows reach the join, which Spark plans from their measured size.
     """
-    recent = recent_commits(commits, n).select("hash")
-    if n <= BROADCAST_COMMITS:
-        recent = F.broadcast(recent)
-    return files.join(recent, "hash", "left_semi")
+    return files.join(recent_commits(commits, n).select("hash"), "hash", "left_semi")
 
 
 def change_freq(commits: DataFrame, files: DataFrame, n: int = fv.FREQUENCY_COMMITS) -> DataFrame:

@@ -14,8 +14,8 @@ def salted_lookup(
     """Join ``rows`` with a ``dimension`` that has few rows per key.
 
     The rows of a key are spread over ``salts`` partitions by the hash of ``spread``
-    and the dimension is repeated as often, so a hot key is split whatever its
-    size. No side is hinted for broadcast; adaptive execution may still choose it
+    and the dimension is repeated as often, so a hot key is dealt to that many tasks;
+    adaptive execution splits what is still skewed then. No side is hinted for broadcast; adaptive execution may still choose it
     from measured sizes.
     """
     salt = "_salt"

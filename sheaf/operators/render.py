@@ -2,9 +2,9 @@
 
 A document is a DataFrame of sections::
 
-    section_ord int, k_num bigint, k_str string, body string
+    section_ord int, k_num bigint, k_str string, k_tie string, body string
 
-Sorted by the first three columns, the bodies concatenate to the document. So a
+Sorted by the first four columns, the bodies concatenate to the document. So a
 document of any size stays distributed: it is sorted by range, written in order and
 split without ever being one string. Every body ends a line except where a section
 is a single value.
@@ -28,7 +28,7 @@ from sheaf.operators.tree import tree_lines, tree_nodes
 
 STYLES = ("xml", "markdown", "json", "plain")
 EXTENSIONS = {"xml": ".xml", "markdown": ".md", "json": ".json", "plain": ".txt"}
-ORDER = ("section_ord", "k_num", "k_str")
+ORDER = ("section_ord", "k_num", "k_str", "k_tie")
 
 # Places in the document. JSON states its tree before its totals.
 OPEN, SUMMARY, HEADER, TREE, JSON_STATS, FILES, DIFFS, LOG, INSTRUCTION, CLOSE = range(0, 100, 10)
@@ -62,11 +62,18 @@ class Options:
         return self.generated_at.replace("T", " ").replace("Z", " UTC")
 
 
-def _rows(df: DataFrame, place: int, body: Column, k_num: Column | int = 0, k_str: Column | str = "") -> DataFrame:
+def _rows(
+    df: DataFrame, place: int, body: Column, k_num: Column | int = 0, k_str: Column | str = "", k_tie: Column | str = ""
+) -> DataFrame:
     num = k_num if isinstance(k_num, Column) else F.lit(k_num)
     key = k_str if isinstance(k_str, Column) else F.lit(k_str)
+    tie = k_tie if isinstance(k_tie, Column) else F.lit(k_tie)
     return df.select(
-        F.lit(place).alias("section_ord"), num.cast("long").alias("k_num"), key.alias("k_str"), body.alias("body")
+        F.lit(place).alias("section_ord"),
+        num.cast("long").alias("k_num"),
+        key.alias("k_str"),
+        tie.alias("k_tie"),
+        body.alias("body"),
     )
 
 
@@ -107,7 +114,7 @@ def render_files(corpus: DataFrame, style: str = "xml") -> DataFrame:
 
 def _file_keys(corpus: DataFrame) -> list[Column]:
     changes = -F.col("n_changes") if "n_changes" in corpus.columns else F.lit(0)
-    return [changes.cast("long").alias("k_num"), F.col("rel_path").alias("k_str")]
+    return [changes.cast("long").alias("k_num"), F.col("rel_path").alias("k_str"), F.col("abs_path").alias("k_tie")]
 
 
 def summary_body(options: Options) -> Column:
@@ -193,10 +200,10 @@ def render_commit_log(commits: DataFrame, files: DataFrame, style: str = "xml")
 
 
 def _log_rows(log: DataFrame, style: str) -> DataFrame:
-    """Commits with an array ``files`` as ``k_num, k_str, body, step``."""
+    """Commits with an array ``files`` as ``k_num, k_str, k_tie, body, step``."""
     rows = commit_rows(log.drop("files"), touched_files(log), style)
     key = F.concat("hash", F.lit("\0"), F.col("step").cast("string"), F.lit("\0"), "path")
-    return rows.select((-F.unix_micros("ts")).alias("k_num"), key.alias("k_str"), "body", "step")
+    return rows.select((-F.unix_micros("ts")).alias("k_num"), key.alias("k_str"), F.lit("").alias("k_tie"), "body", "step")
 
 
 def _log_section(log: DataFrame, style: str) -> DataFrame:
@@ -299,11 +306,14 @@ def _json_text(text: str | Column) -> Column:
 
 
 def _json_list(items: DataFrame, place: int, name: str) -> list[DataFrame]:
-    """``"name": [...]`` from rows ``k_num, k_str, body, begins, ends``, or nothing without rows."""
-    keyed = _ends(items.withColumn("key", F.struct("k_num", "k_str")), "key")
+    """``"name": [...]`` from rows ``k_num, k_str, k_tie, body, begins, ends``, or nothing without rows.
+
+    The three keys must name an item: paths may repeat over several roots, absolute paths do not.
+    """
+    keyed = _ends(items.withColumn("key", F.struct("k_num", "k_str", "k_tie")), "key")
     indent = F.when(F.col("begins"), "    ").otherwise("")
     after = F.when(F.col("is_last"), "\n").when(F.col("ends"), ",\n").otherwise("")
-    rows = _rows(keyed, place + 1, text_concat(indent, F.col("body"), after), F.col("k_num"), F.col("k_str"))
+    rows = _rows(keyed, place + 1, text_concat(indent, F.col("body"), after), F.col("k_num"), F.col("k_str"), F.col("k_tie"))
     return [_if_any(items, place, f',\n  "{name}": [\n'), rows, _if_any(items, place + 2, "  ]")]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheaf import fixed_values as fv
 from sheaf.functions.text import rows_of
 from sheaf.functions.secrets import FINDINGS, SecretRule, builtin_rules, findings
+from sheaf.session import store_table
 
 
 def with_findings(corpus: DataFrame, extra_rules: list[SecretRule] = ()) -> DataFrame:
@@ -27,16 +28,17 @@ def secret_scan(corpus: DataFrame, extra_rules: list[SecretRule] = ()) -> DataFr
     return explode_findings(with_findings(corpus, extra_rules))
 
 
-def secret_quarantine(scanned: DataFrame, unique_paths: bool = True) -> DataFrame:
+def secret_quarantine(scanned: DataFrame, unique_paths: bool = False) -> DataFrame:
     """Mark files with findings as removed; they stay in trees and lists, without content.
 
-    A finding condemns a path. Where paths are unique that is a test on the row itself;
-    with several roots (``unique_paths=False``) every row of a flagged path falls, by a
-    join that adaptive execution plans from measured sizes.
+    A finding condemns a path: every row of a flagged path falls, whichever root it came from. The
+    flagged paths are stored first, so that Spark plans the join from their size and usually
+    leaves the contents where they are. ``unique_paths`` promises that no path repeats, which makes it
+    a test on the row itself.
     """
     marked = scanned.withColumn("_flagged", F.size("findings") > 0)
     if not unique_paths:
-        flagged = marked.where("_flagged").select("rel_path").distinct().withColumn("_hit", F.lit(True))
+        flagged = store_table(marked.where("_flagged").select("rel_path").distinct().withColumn("_hit", F.lit(True)))
         marked = marked.drop("_flagged").join(flagged, "rel_path", "left").withColumnRenamed("_hit", "_flagged")
     flagged = F.coalesce("_flagged", F.lit(False))
     return (

@@ -11,7 +11,6 @@ from sheaf.functions.text import ancestors, base_name, byte_view, col, lines, pa
 from sheaf.operators.joins import salted_lookup
 
 TOOL_NAME = "sheaf"
-MANIFEST_INLINE = 1_000
 
 
 def default_ignores(tool_name: str = TOOL_NAME) -> list[str]:
@@ -184,17 +183,13 @@ def manifest_paths(manifest: DataFrame, line: str = "line") -> DataFrame:
 def select_manifest(files: DataFrame, manifest: DataFrame, line: str = "line") -> DataFrame:
     """Files that a manifest names, or that lie below a directory it names.
 
-    A list of at most ``MANIFEST_INLINE`` entries (checked) becomes a literal. A longer
-    one is joined with every path's ancestors on narrow rows, and only the paths that
-    survive meet the contents again.
+    The list is joined with every path's ancestors on narrow rows, and only the paths
+    that survive meet the contents again.
     """
     entries = manifest_paths(manifest, line)
-    head = [r.entry for r in entries.limit(MANIFEST_INLINE + 1).collect()]
-    if not head:
+    if entries.isEmpty():
         raise ValueError("the manifest names no paths")
     chain = F.concat(ancestors("rel_path"), F.array("rel_path"))
-    if len(head) <= MANIFEST_INLINE:
-        return files.where(F.arrays_overlap(chain, F.array(*[F.lit(e) for e in sorted(head)])))
     reached = files.select("rel_path", rows_of(chain).alias("entry"))
     selected = salted_lookup(reached, entries, on="entry", how="left_semi", spread="rel_path")
     return files.join(selected.select("rel_path").distinct(), "rel_path", "left_semi")

@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheaf.operators.render import ORDER
-from sheaf.session import cut_lineage, task_count
+from sheaf.session import cut_lineage, store_table, task_count
 
-BROADCAST_STATES = 100_000
 BLOCK_BYTES = 128 << 20
 FAN_IN = 64
+GROUP = 512
 _PIECES_PER_BATCH = 32 << 20
 
 _SUMMARY = "pack string, block int, nbytes bigint, first_end bigint, last_end bigint"
@@ -227,30 +227,54 @@ def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _layout(summary: DataFrame) -> DataFrame:
-    """Where blocks and their lines lie in their pack; none of it depends on the cuts."""
-    pack = Window.partitionBy("pack")
-    order = pack.orderBy("block")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    behind = order.rowsBetween(1, Window.unboundedFollowing)
-    offset = F.coalesce(F.sum("nbytes").over(before), F.lit(0))
+def _layout(summary: DataFrame, group: int = GROUP) -> DataFrame:
+    """Where blocks and their lines lie in their pack; none of it depends on the cuts.
+
+    Sums and extremes are taken over ``group`` neighbouring blocks, then over one row per group, so
+    no task sees all blocks of a pack. Every frame grows from one end, which keeps it linear.
+    """
+    summary = summary.withColumn("grp", F.floor(F.col("block") / group))
+    inside = Window.partitionBy("pack", "grp")
+    forth, back = inside.orderBy("block"), inside.orderBy(F.desc("block"))
+    past = (Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum("nbytes").over(forth.rowsBetween(*past)), F.lit(0))
     placed = summary.select(
-        "pack", "block", "nbytes", offset.alias("offset"),
-        (offset + F.col("first_end")).alias("first_end"), (offset + F.col("last_end")).alias("last_end"),
+        "pack", "grp", "block", "nbytes", at.alias("at"),
+        (at + F.col("first_end")).alias("first_end"), (at + F.col("last_end")).alias("last_end"),
+    )
+    placed = placed.select(
+        "*",
+        (F.row_number().over(forth) - 1).alias("nth"),
+        F.max("last_end").over(forth.rowsBetween(*past)).alias("line_before"),
+        F.min("first_end").over(back.rowsBetween(*past)).alias("end_behind"),
+    )
+    groups = placed.groupBy("pack", "grp").agg(
+        F.sum("nbytes").alias("g_bytes"), F.count("*").alias("g_nodes"), F.min("first_end").alias("g_first"), F.max("last_end").alias("g_last")
     )
-    following = F.min("first_end").over(behind)
-    total = F.sum("nbytes").over(pack)
-    return placed.select(
+    pack = Window.partitionBy("pack")
+    forth, back = pack.orderBy("grp"), pack.orderBy(F.desc("grp"))
+    g_at = F.coalesce(F.sum("g_bytes").over(forth.rowsBetween(*past)), F.lit(0))
+    groups = groups.select("*", g_at.alias("g_at"), F.coalesce(F.sum("g_nodes").over(forth.rowsBetween(*past)), F.lit(0)).alias("g_node"))
+    groups = groups.select(
+        "pack", "grp", "g_at", "g_node",
+        F.max(F.col("g_at") + F.col("g_last")).over(forth.rowsBetween(*past)).alias("g_line_before"),
+        F.min(F.col("g_at") + F.col("g_first")).over(back.rowsBetween(*past)).alias("g_end_behind"),
+        F.sum("g_nodes").over(pack).alias("n_nodes"),
+        F.coalesce(F.max(F.col("g_at") + F.col("g_last")).over(pack), F.lit(0)).alias("last_line"),
+        F.sum("g_bytes").over(pack).alias("total"),
+    )
+    following = F.coalesce(F.col("g_at") + F.col("end_behind"), F.col("g_end_behind"))
+    return placed.join(groups, ["pack", "grp"]).select(
         "pack",
         "block",
-        (F.row_number().over(order) - 1).cast("long").alias("node"),
-        F.count("*").over(pack).alias("n_nodes"),
-        "offset",
-        F.coalesce(F.max("last_end").over(before), F.lit(0)).alias("line_start"),
-        F.coalesce(following, total).alias("tail_end"),
+        (F.col("g_node") + F.col("nth")).cast("long").alias("node"),
+        "n_nodes",
+        (F.col("g_at") + F.col("at")).alias("offset"),
+        F.coalesce(F.col("g_at") + F.col("line_before"), F.col("g_line_before"), F.lit(0)).alias("line_start"),
+        F.coalesce(following, F.col("total")).alias("tail_end"),
         following.isNotNull().alias("tail_closed"),
-        F.coalesce(F.max("last_end").over(pack), F.lit(0)).alias("last_line"),
-        total.alias("total"),
+        "last_line",
+        "total",
     )
 
 
@@ -402,9 +426,12 @@ def ranges_for(rows: DataFrame, body: str = "body") -> int:
 
 
 def _beside(stored: DataFrame, facts: DataFrame) -> DataFrame:
-    """The stored rows with one row of facts per block, still in the order of the block."""
-    if facts.count() <= BROADCAST_STATES:
-        return stored.join(F.broadcast(facts), ["pack", "block"])
+    """The stored rows with one row of facts per block, in the order of the block.
+
+    Facts are a stored table, so Spark plans the join from their measured size: as long as that is under
+    its broadcast threshold the text stays where it is. Beyond, both sides are hashed by pack and block; a block is
+    one map task's output, so also then it comes whole to one task.
+    """
     return stored.join(facts, ["pack", "block"]).sortWithinPartitions("pack", "block", "seq")
 
 
@@ -434,13 +461,13 @@ def split_packs(
             "pack", F.spark_partition_id().alias("block"), F.monotonically_increasing_id().alias("seq"), "body"
         )
     )
-    layout = cut_lineage(_layout(stored.mapInArrow(_summarize, _SUMMARY)))
+    layout = store_table(_layout(stored.mapInArrow(_summarize, _SUMMARY)))
     most_nodes = layout.agg(F.max("n_nodes")).first()[0] or 1
     placed = _beside(stored, layout.select("pack", "block", "node", "offset", "line_start"))
     tables = cut_lineage(placed.mapInArrow(_tabulate(max_bytes), _TABLE))
     entries = layout.join(_entries(tables, most_nodes, fan), ["pack", "node"])
     ends = entries.where("node = n_nodes - 1").select("pack", "exit_start", "exit_no", "last_line", "total")
-    states = cut_lineage(entries.join(ends.mapInPandas(_count_parts(max_bytes), _COUNT), "pack"))
+    states = store_table(entries.join(ends.mapInPandas(_count_parts(max_bytes), _COUNT), "pack"))
     entered = _beside(stored, states.drop("node", "n_nodes", "last_line", "exit_start", "exit_no"))
     pieces = entered.mapInArrow(_cut(max_bytes), _PIECE).repartition(blocks, "pack", "part_no")
     in_order = F.sort_array(F.collect_list(F.struct("piece_offset", "piece")))

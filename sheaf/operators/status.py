@@ -21,7 +21,11 @@ def skip_status(files: DataFrame, raw: str = "raw", error: str = "read_error") -
     """From ``rel_path``, raw bytes and a read error to the corpus columns.
 
     Contents are only looked at where the extension and the read leave the question open.
+    Text that is not UTF-8 is read as ISO-8859-1, one character per byte, so that characters and lines
+    are counted as bytes are and ``encode(content, 'ISO-8859-1')`` gives the bytes back.
     """
+    text = F.col(raw).cast("string")
+    text = F.when(F.is_valid_utf8(text), text).otherwise(F.decode(raw, "ISO-8859-1"))
     by_ext = has_ext("rel_path", fv.BINARY_EXTENSIONS)
     reason = (
         F.when(by_ext, fv.REASON_EXTENSION)
@@ -31,7 +35,7 @@ def skip_status(files: DataFrame, raw: str = "raw", error: str = "read_error") -
     return (
         files.withColumn("skip_reason", reason)
         .withColumn("is_binary", F.coalesce(F.col("skip_reason").isin(fv.REASON_EXTENSION, fv.REASON_CONTENT), F.lit(False)))
-        .withColumn("content", F.when(F.col("skip_reason").isNull(), F.col(raw).cast("string")).otherwise(""))
+        .withColumn("content", F.when(F.col("skip_reason").isNull(), text).otherwise(""))
         .drop(raw, error)
     )
 

@@ -15,7 +15,7 @@ from sheaf.operators.metrics import corpus_totals, file_metrics
 from sheaf.operators.render import Options, assemble_sections
 from sheaf.operators.secrets import explode_findings, secret_quarantine, with_findings
 from sheaf.operators.split import BLOCK_BYTES, split_packs
-from sheaf.session import store_table, task_count
+from sheaf.session import drop_table, store_table, task_count
 
 
 @dataclass
@@ -36,7 +36,7 @@ def pack_corpus(
     *,
     scan_secrets: bool = True,
     extra_rules: list[SecretRule] = (),
-    unique_paths: bool = True,
+    unique_paths: bool = False,
     remove_comments: bool = False,
     truncate_base64: bool = False,
     compress: bool = False,
@@ -52,11 +52,14 @@ def pack_corpus(
 ) -> Pack:
     """Scan, order, clean, measure and render a corpus, in that order.
 
-    Secrets are looked for in the original text. The cleaned corpus is stored once in
-    the shared folder, since totals, tree and document all read it. ``commits`` has
-    ``hash, author, date, message, files, ts``.
+    Secrets are looked for in the original text. The scanned corpus is stored, so that every file
+    is read and scanned once and findings and quarantine agree; findings and the cleaned corpus
+    are stored too, since totals, tree and document all read it, and the scanned one is deleted.
+    ``commits`` has ``hash, author, date, message, files, ts``.
     """
-    scanned = with_findings(corpus, list(extra_rules)) if scan_secrets else None
+    empty = corpus.sparkSession.createDataFrame([], "rel_path string, rule_ord int, match_ord int, line int, rule string, match string")
+    scanned = store_table(with_findings(corpus, list(extra_rules))) if scan_secrets else None
+    found = store_table(explode_findings(scanned)) if scan_secrets else empty
     marked = secret_quarantine(scanned, unique_paths) if scan_secrets else corpus
     if commits is not None and sort_by_changes:
         freq = change_freq(commits, touched_files(commits), sort_commits)
@@ -71,6 +74,8 @@ def pack_corpus(
             show_line_numbers=show_line_numbers,
         )
     )
+    if scanned is not None:
+        drop_table(scanned)
     metrics = file_metrics(cleaned)
     totals = corpus_totals(metrics)
     log = recent_commits(commits, log_commits) if commits is not None and include_log else None
@@ -79,10 +84,9 @@ def pack_corpus(
     if split_bytes > 0:  # the sizes of the files stand in for those of the rendered text
         size = cleaned.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
         blocks = task_count(corpus.sparkSession, size, BLOCK_BYTES)
-    empty = corpus.sparkSession.createDataFrame([], "rel_path string, rule_ord int, match_ord int, line int, rule string, match string")
     return Pack(
         corpus=cleaned,
-        findings=explode_findings(scanned) if scan_secrets else empty,
+        findings=found,
         metrics=metrics,
         totals=totals,
         sections=sections,

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,6 +65,44 @@ def store_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(location)
 
 
+def drop_table(stored: DataFrame) -> None:
+    """Delete the files of a table that ``store_table`` wrote and nothing reads any more."""
+    spark = stored.sparkSession
+    shared = hadoop_path(spark, shared_folder(spark)).toString()
+    for folder in {f.rsplit("/", 1)[0] for f in stored.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if place.getName().startswith("table-") and hadoop_path(spark, place.getParent().toString()).toString() == shared:
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def hadoop_path(spark: SparkSession, location: str):
+    """The path with scheme and authority: without a scheme it is on the default file system, as for Spark's readers."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(location)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
+
+
+def qualified(spark: SparkSession, location: str) -> str:
+    return hadoop_path(spark, location).toString()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per application, for clusters where it is not installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():  # else it already runs from an archive
+        target = Path(tempfile.mkdtemp(prefix="sheaf-package-")) / "sheaf-package.zip"
+        with zipfile.ZipFile(target, "w") as archive:
+            for source in sorted(package.rglob("*.py")):
+                archive.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Store ``df`` in the shared folder so that lost executors cannot change or repeat it."""
     shared_folder(df.sparkSession)

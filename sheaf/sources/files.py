@@ -18,7 +18,7 @@ from sheaf import fixed_values as fv
 from sheaf.functions.text import base_name, has_ext
 from sheaf.operators import select
 from sheaf.operators.status import skip_status
-from sheaf.session import cut_lineage, store_table, task_count
+from sheaf.session import cut_lineage, qualified, store_table, task_count
 from sheaf.sources.storage import absolute, file_size, list_dir, read_file
 
 _ENTRY = "root string, rel_path string, is_dir boolean, bytes bigint"
@@ -126,7 +126,7 @@ def select_files(
 
     A root that is a file is that file, whatever the rules say.
     """
-    root = absolute(root)
+    root = absolute(qualified(spark, root))
     size = file_size(root)
     if size is not None:
         row = [(root, root.rstrip("/").rsplit("/", 1)[-1], size)]
@@ -154,5 +154,9 @@ def scan_corpus_files(spark: SparkSession, root: str, **options) -> DataFrame:
 
 
 def scan_roots(spark: SparkSession, roots: list[str], **options) -> DataFrame:
-    """Several roots as one corpus; a file reached from more than one root belongs to the first."""
-    return select.union_roots([scan_corpus_files(spark, root, **options) for root in roots or ["."]])
+    """Several roots as one corpus; a file reached from more than one root belongs to the first.
+
+    The lists are united before any content is read, so every file is read once.
+    """
+    listed = select.union_roots([select_files(spark, root, **options) for root in roots or ["."]])
+    return skip_status(read_contents(listed)).select("abs_path", "rel_path", "bytes", "is_binary", "content", "skip_reason")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from sheaf.functions.markup import part_filename
 from sheaf.operators.render import EXTENSIONS, ORDER
 from sheaf.operators.split import ranges_for
-from sheaf.sources.storage import StagedFile
+from sheaf.session import drop_table, hadoop_path, qualified, store_table
+from sheaf.sources.storage import StagedFile, remove_file
 
 _WRITTEN = "file string, bytes bigint"
 
@@ -44,15 +45,42 @@ def _write_named(location: str):
     return run
 
 
+def _delete(location: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column("file").to_pylist():
+                remove_file(f"{location}/{name}")
+            yield batch
+
+    return run
+
+
+def _replace(written: DataFrame, location: str) -> DataFrame:
+    """Run the job behind ``written`` and store its list; files of an earlier list that are not in it are deleted."""
+    spark = written.sparkSession
+    listing = hadoop_path(spark, f"{location}/_written")
+    before = None
+    if listing.getFileSystem(spark._jsc.hadoopConfiguration()).exists(listing):
+        before = store_table(spark.read.schema(_WRITTEN).parquet(listing.toString()))
+    written.write.mode("overwrite").parquet(listing.toString())
+    now = spark.read.parquet(listing.toString())
+    if before is not None:
+        stale = before.join(now, "file", "left_anti").select("file")
+        stale.mapInArrow(_delete(location), "file string").write.format("noop").mode("overwrite").save()
+        drop_table(before)
+    return now
+
+
 def write_packs(parts: DataFrame, location: str, base: str) -> DataFrame:
     """Write the result of ``split_packs``; returns ``file, bytes`` of what was written.
 
     Every part is one file written by the task that holds it. The list is stored beside
-    the parts (``_written``), which is also what runs the job.
+    the parts (``_written``), which is also what runs the job. Parts that an earlier run wrote here
+    and this one did not are deleted; a location without a scheme is on the default file system.
     """
+    location = qualified(parts.sparkSession, location)
     named = named_parts(parts, base).select("file", "content")
-    named.mapInArrow(_write_named(location), _WRITTEN).write.mode("overwrite").parquet(f"{location}/_written")
-    return parts.sparkSession.read.parquet(f"{location}/_written")
+    return _replace(named.mapInArrow(_write_named(location), _WRITTEN), location)
 
 
 def _write_range(location: str):
@@ -74,9 +102,9 @@ def _write_range(location: str):
 
 def write_document(sections: DataFrame, location: str, ranges: int | None = None) -> DataFrame:
     """Write a document unsplit: sorted ranges, one file each, whose concatenation is the document."""
+    location = qualified(sections.sparkSession, location)
     ranged = sections.repartitionByRange(ranges or ranges_for(sections), *ORDER)
     bodies = ranged.sortWithinPartitions(*ORDER).select(
         F.spark_partition_id().alias("range"), F.col("body").cast("binary").alias("body")
     )
-    bodies.mapInArrow(_write_range(location), _WRITTEN).write.mode("overwrite").parquet(f"{location}/_written")
-    return sections.sparkSession.read.parquet(f"{location}/_written")
+    return _replace(bodies.mapInArrow(_write_range(location), _WRITTEN), location)

@@ -79,6 +79,13 @@ def read_file(location: str) -> tuple[bytes | None, str | None]:
         return None, str(e)
 
 
+def remove_file(location: str) -> None:
+    """Delete a file; one that is not there is no error, so that a task may be repeated."""
+    system, path = open_storage(location)
+    if system.get_file_info(path).type == fs.FileType.File:
+        system.delete_file(path)
+
+
 class StagedFile:
     """Write under a passing name, then rename: a repeated or lost task leaves no half file."""
 

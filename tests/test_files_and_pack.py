@@ -122,15 +122,13 @@ def test_default_patterns(spark):
     assert {r.rel_path for r in kept.collect()} == {"src/main.go", "docs/readme.md"}
 
 
-def test_manifest(spark, tmp_path, monkeypatch):
+def test_manifest(spark, tmp_path):
     listing = tmp_path / "list.txt"
     listing.write_text("# files\n  src \n\nREADME.md\nabsent\n")
     corpus = corpus_of(spark, TREE)
     manifest = scan_manifest(spark, str(listing))
     expected = {"src/main.go", "src/util.go", "README.md"}
     assert {r.rel_path for r in select.select_manifest(corpus, manifest).collect()} == expected
-    monkeypatch.setattr(select, "MANIFEST_INLINE", 1)
-    assert {r.rel_path for r in select.select_manifest(corpus, manifest).collect()} == expected
     listing.write_text("# nothing\n")
     with pytest.raises(ValueError):
         select.select_manifest(corpus, scan_manifest(spark, str(listing)))
@@ -147,7 +145,7 @@ def test_quarantine_over_roots(spark):
     a = corpus_of(spark, {"k": TREE["secrets.txt"], "y": "fine"}).withColumn("abs_path", F.concat(F.lit("/a/"), "rel_path"))
     b = corpus_of(spark, {"k": "clean twin"}).withColumn("abs_path", F.concat(F.lit("/b/"), "rel_path"))
     both = select.union_roots([a, b])
-    result = pack_corpus(both, unique_paths=False).corpus.collect()
+    result = pack_corpus(both).corpus.collect()
     assert {r.abs_path: r.skip_reason for r in result} == {
         "/a/k": "removed by security scanner", "/b/k": "removed by security scanner", "/a/y": None}
 
@@ -273,3 +271,41 @@ def test_clean_runs_on_a_stream(spark, tmp_path):
     query.awaitTermination(120)
     batch = file_metrics(clean_documents(corpus_of(spark, TREE), remove_comments=True, compress=True))
     assert sorted(spark.table("streamed").collect()) == sorted(batch.collect())
+
+
+def test_json_with_a_path_of_two_roots(spark):
+    a = corpus_of(spark, {"k": "one", "z": "two"}).withColumn("abs_path", F.concat(F.lit("/a/"), "rel_path"))
+    b = corpus_of(spark, {"z": "three"}).withColumn("abs_path", F.concat(F.lit("/b/"), "rel_path"))
+    sections = pack_corpus(select.union_roots([a, b]), Options(style="json", instruction="go")).sections
+    doc = json.loads("".join(r.body for r in in_order(sections).collect()))
+    assert [(f["path"], f["content"]) for f in doc["files"]] == [("k", "one"), ("z", "two"), ("z", "three")]
+
+
+def test_text_that_is_not_utf8(spark, tmp_path):
+    latin = ("# caf\u00e9 au lait\n" + "plain words and more of them " * 9 + "\n# \u00fcber\n").encode("latin-1")
+    (tmp_path / "a.py").write_bytes(latin)
+    (tmp_path / "b.py").write_bytes("# caf\u00e9\n".encode())
+    corpus = files.scan_corpus_files(spark, str(tmp_path))
+    rows = {r.rel_path: r for r in corpus.selectExpr("rel_path", "content", "encode(content, 'ISO-8859-1') as raw").collect()}
+    assert bytes(rows["a.py"].raw) == latin and rows["b.py"].content == "# caf\u00e9\n"
+    counts = {r.rel_path: r for r in pack_corpus(corpus).metrics.collect()}
+    assert counts["a.py"].chars == len(latin) and counts["a.py"].lines == 3
+    assert counts["b.py"].chars == 7
+
+
+def test_a_shorter_run_leaves_no_old_parts(spark, tmp_path):
+    corpus = corpus_of(spark, {f"f{i}": "some text\n" * 30 for i in range(6)})
+    for size in (500, 2000):
+        parts = pack_corpus(corpus, Options(style="plain"), split_bytes=size).parts
+        listed = {r.file for r in sinks.write_packs(parts, str(tmp_path / "out"), "p.txt").collect()}
+        on_disk = {p.name for p in (tmp_path / "out").iterdir() if p.is_file() and not p.name.startswith(".")}
+        assert on_disk == listed
+
+
+def test_the_scanned_corpus_is_stored_once_and_deleted(spark):
+    from sheaf.session import drop_table, store_table
+
+    kept = store_table(spark.range(5))
+    gone = store_table(spark.range(7))
+    drop_table(gone)
+    assert kept.count() == 5 and not any(os.path.exists(f.removeprefix("file:").replace("//", "/")) for f in gone.inputFiles())

@@ -1,9 +1,10 @@
 import random
+import time
 
 import pytest
 import restated as py
 
-from sheaf.operators.split import split_packs
+from sheaf.operators.split import _layout, split_packs
 
 
 def parts_of(spark, packs: dict[str, list[str]], limit: int, blocks: int, fan: int = 64):
@@ -49,3 +50,26 @@ def test_split_one_pack_in_many_blocks(spark, limit, blocks, fan, seed):
 def test_known_case(spark):
     got = parts_of(spark, {"p": ["line1\nline2\nline3\n", "line4\nline5\n"]}, 12, 2)["p"]
     assert [got[i] for i in (1, 2, 3)] == [b"line1\nline2", b"line3\nline4", b"line5\n"]
+
+
+def test_layout_of_many_blocks_is_linear(spark):
+    n = 200_000
+    rows = spark.range(n).selectExpr(
+        "'p' as pack", "cast(id as int) as block", "cast(100 + id % 7 as bigint) as nbytes",
+        "if(id % 5 = 0, null, cast(10 as bigint)) as first_end", "if(id % 5 = 0, null, cast(90 as bigint)) as last_end",
+    )
+    began = time.time()
+    got = [tuple(r) for r in _layout(rows).orderBy("node").collect()]
+    assert time.time() - began < 60
+    sizes = [100 + i % 7 for i in range(n)]
+    at, line, want = 0, 0, []
+    for i, size in enumerate(sizes):
+        want.append((i, at, line))
+        line = at + 90 if i % 5 else line
+        at += size
+    assert [(r[2], r[4], r[5]) for r in got] == want
+    assert {(r[3], r[8], r[9]) for r in got} == {(n, line, at)}
+    following = None
+    for i in range(n - 1, -1, -1):
+        assert got[i][6:8] == ((following, True) if following else (at, False))
+        following = want[i][1] + 10 if i % 5 else following
