@@ -203,7 +203,7 @@ def _log_rows(log: DataFrame, style: str) -> DataFrame:
     """Commits with an array ``files`` as ``k_num, k_str, k_tie, body, step``."""
     rows = commit_rows(log.drop("files"), touched_files(log), style)
     key = F.concat("hash", F.lit("\0"), F.col("step").cast("string"), F.lit("\0"), "path")
-    return rows.select((-F.unix_micros("ts")).alias("k_num"), key.alias("k_str"), F.lit("").alias("k_tie"), "body", "step")
+    return rows.select((-F.unix_micros(F.col("ts").cast("timestamp"))).alias("k_num"), key.alias("k_str"), F.lit("").alias("k_tie"), "body", "step")
 
 
 def _log_section(log: DataFrame, style: str) -> DataFrame:

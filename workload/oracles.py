@@ -452,19 +452,22 @@ NLS = "' || chr(10) || '"
 SPOKEN = "2024-05-03 00:00:00 UTC"
 PLAIN_SUMMARY = f"""'{'=' * 64}{NLS}SUMMARY{NLS}{'=' * 64}{NLS}Producer:     sheaf v1.0.0{NLS}Generated at: {SPOKEN}{NLS}Files:        ' || files
   || '{NLS}Characters:   ' || chars || '{NLS}Tokens (~):   ' || tokens || '{NLS}Bytes:        ' || bytes || chr(10) || chr(10)"""
+MARKDOWN_SUMMARY = f"""'# sheaf Output{NLS}{NLS}> Packed by **sheaf** v1.0.0 at {SPOKEN}{NLS}{NLS}| Metric | Value |{NLS}|---|---|{NLS}| Files | ' || files
+  || ' |{NLS}| Characters | ' || chars || ' |{NLS}| Tokens (approx) | ' || tokens || ' |{NLS}| Bytes | ' || bytes || ' |' || chr(10) || chr(10)"""
+XML_SUMMARY = f"""'  <summary>{NLS}    <producer>sheaf v1.0.0</producer>{NLS}    <generated_at>2024-05-03T00:00:00Z</generated_at>{NLS}    <description>{fv.PACK_DESCRIPTION}</description>{NLS}    <stats files="' || files
+  || '" chars="' || chars || '" tokens="' || tokens || '" bytes="' || bytes || '"/>{NLS}  </summary>' || chr(10)"""
+JSON_STATS = """'  "stats": {"files":' || files || ',"chars":' || chars || ',"tokens":' || tokens || ',"bytes":' || bytes || '}'"""
 ORACLES["render_summary"] = f"""with {CORPUS}, {METRICS}, {TOTALS}
 select 'plain' as style, {PLAIN_SUMMARY} as body from totals
-union all select 'markdown', '# sheaf Output{NLS}{NLS}> Packed by **sheaf** v1.0.0 at {SPOKEN}{NLS}{NLS}| Metric | Value |{NLS}|---|---|{NLS}| Files | ' || files
-  || ' |{NLS}| Characters | ' || chars || ' |{NLS}| Tokens (approx) | ' || tokens || ' |{NLS}| Bytes | ' || bytes || ' |' || chr(10) || chr(10) from totals
-union all select 'xml', '  <summary>{NLS}    <producer>sheaf v1.0.0</producer>{NLS}    <generated_at>2024-05-03T00:00:00Z</generated_at>{NLS}    <description>{fv.PACK_DESCRIPTION}</description>{NLS}    <stats files="' || files
-  || '" chars="' || chars || '" tokens="' || tokens || '" bytes="' || bytes || '"/>{NLS}  </summary>' || chr(10) from totals"""
+union all select 'markdown', {MARKDOWN_SUMMARY} from totals
+union all select 'json', {JSON_STATS} from totals
+union all select 'xml', {XML_SUMMARY} from totals"""
 
-ORACLES["render_commit_log"] = f"""
-with f as (select l_orderkey as k, {views.COMMIT_PATH} as path, cast(count(*) as int) as n from lineitem group by all),
+COMMITS = f"""f as (select l_orderkey as k, {views.COMMIT_PATH} as path, cast(count(*) as int) as n from lineitem group by all),
 g as (select k, min(path) as first_path from f group by k),
 c as (select orders.*, first_path, cast(o_orderkey as varchar) as hash, strftime(o_orderdate, '%Y-%m-%d') as day from orders left join g on k = o_orderkey),
-t as (select hash, path, n, path = first_path as is_first from c join f on k = o_orderkey)
-select 'xml' as style, hash, 0 as step, '' as path, '    <commit hash="' || hash || '">{NLS}      <author>' || o_custkey || '</author>{NLS}      <date>' || day
+t as (select hash, path, n, path = first_path as is_first from c join f on k = o_orderkey),
+told(style, hash, step, path, body) as (select 'xml' as style, hash, 0 as step, '' as path, '    <commit hash="' || hash || '">{NLS}      <author>' || o_custkey || '</author>{NLS}      <date>' || day
   || '</date>{NLS}      <message>' || o_orderpriority || ' &lt;' || o_orderstatus || '&gt;&#xA;body</message>' || chr(10)
   || case when first_path is null then '' else '      <files>' || chr(10) end as body from c
 union all select 'xml', hash, 1, path, repeat('        <file>' || path || '</file>' || chr(10), n) from t
@@ -473,7 +476,9 @@ union all select 'markdown', hash, 0, '', '- `' || hash || '` ' || day || ' —
 union all select 'json', hash, 0, '', concat('{{"hash":"', hash, '","author":"', o_custkey, '","date":"', day, '","message":"', o_orderpriority, ' <', o_orderstatus, '>\\nbody"',
   case when first_path is null then '' else ',"files":[' end) from c
 union all select 'json', hash, 1, path, case when is_first then '' else ',' end || array_to_string(list_transform(range(n), lambda i: '"' || path || '"'), ',') from t
-union all select 'json', hash, 2, '', case when first_path is null then '}}' else ']}}' end from c"""
+union all select 'json', hash, 2, '', case when first_path is null then '}}' else ']}}' end from c
+union all select 'plain', hash, 0, '', hash || ' ' || day || ' — ' || o_orderpriority || ' <' || o_orderstatus || '>' || chr(10) from c)"""
+ORACLES["render_commit_log"] = f"with {COMMITS} select * from told"
 
 
 def heading(name: str) -> str:
@@ -492,6 +497,67 @@ s(section_ord, k_str, body) as (
   union all select 51, rel_path, {PLAIN} from shown)
 select cast(section_ord as bigint) as section_ord, k_str, md5(body) as digest from s"""
 
+def document_sql(style: str) -> str:
+    """A whole document over two roots: the sections' places, keys and bodies."""
+    diff = q.DIFF.replace("]]>", "]]]]><![CDATA[>]]><![CDATA[").replace(chr(10), NLS)
+    plain_diff = q.DIFF.replace(chr(10), NLS)
+    tree_body = {
+        "xml": "case when sort_key = (select min(sort_key) from lines) then '<![CDATA[' else '' end || replace(line, ']]>', ']]]]><![CDATA[>]]><![CDATA[') || case when sort_key = (select max(sort_key) from lines) then ']]>' else chr(10) end",
+        "markdown": "line || case when sort_key = (select max(sort_key) from lines) then '' else chr(10) end",
+        "json": """case when sort_key = (select min(sort_key) from lines) then ',' || chr(10) || '  "directory_tree": "' else '' end || line || case when sort_key = (select max(sort_key) from lines) then '"' else '\\n' end""",
+    }[style]
+    fixed = {
+        "xml": f"""select 0, '', false, '<?xml version="1.0" encoding="UTF-8"?>{NLS}<sheaf>' || chr(10)
+  union all select 10, '', false, {XML_SUMMARY} from totals
+  union all select 20, '', false, '  <user_header>a &lt; b</user_header>' || chr(10)
+  union all select 30, '', false, '  <directory_structure>' union all select 32, '', false, '</directory_structure>' || chr(10)
+  union all select 50, '', false, '  <files>' || chr(10) union all select 52, '', false, '  </files>' || chr(10)
+  union all select 60, '', false, '  <git_diffs>{NLS}    <work_tree><![CDATA[{diff}]]></work_tree>{NLS}  </git_diffs>' || chr(10)
+  union all select 70, '', false, '  <git_log>' || chr(10) union all select 72, '', false, '  </git_log>' || chr(10)
+  union all select 80, '', false, '  <instruction><![CDATA[do it]]></instruction>' || chr(10)
+  union all select 90, '', false, '</sheaf>' || chr(10)""",
+        "markdown": f"""select 10, '', false, {MARKDOWN_SUMMARY} from totals
+  union all select 20, '', false, '## User Header{NLS}{NLS}a < b' || chr(10) || chr(10)
+  union all select 30, '', false, '## Directory Structure{NLS}{NLS}```' || chr(10)
+  union all select 32, '', false, chr(10) || '```' || chr(10) || chr(10)
+  union all select 50, '', false, '## Files' || chr(10) || chr(10)
+  union all select 60, '', false, '## Git Diffs{NLS}{NLS}### Working Tree{NLS}{NLS}```diff{NLS}{plain_diff}{NLS}```' || chr(10) || chr(10)
+  union all select 70, '', false, '## Git Log' || chr(10) || chr(10) union all select 72, '', false, chr(10)
+  union all select 80, '', false, '## Instruction{NLS}{NLS}do it' || chr(10)""",
+        "json": f"""select 0, '', false, '{{{NLS}  "producer": "sheaf v1.0.0"'
+  union all select 1, '', false, ',{NLS}  "generated_at": "2024-05-03T00:00:00Z"'
+  union all select 20, '', false, ',{NLS}  "header_text": "a < b"'
+  union all select 40, '', false, ',' || chr(10) || {JSON_STATS} from totals
+  union all select 50, '', false, ',{NLS}  "files": [' || chr(10) union all select 52, '', false, '  ]'
+  union all select 60, '', false, ',{NLS}  "git_diff_worktree": "- a]]>\\n+ b"'
+  union all select 70, '', false, ',{NLS}  "git_log": [' || chr(10) union all select 72, '', false, '  ]'
+  union all select 80, '', false, ',{NLS}  "instruction": "do it"'
+  union all select 90, '', false, chr(10) || '}}' || chr(10)""",
+    }[style]
+    if style == "json":
+        files = """select 51, rel_path, second, concat_ws('|', rel_path, case when skipped = '' then content else '-' end, nullif(skipped, ''), bytes,
+    cast(is_binary and skipped <> '' as varchar), cast(row_number() over (order by rel_path desc, second) > 1 as varchar)) from both_roots"""
+        log = """select 71, hash || '|' || step || '|' || path, false, case when step = 0 then '    ' else '' end || body
+    || case when step < 2 then '' when row_number() over (order by ts, hash desc, step desc) = 1 then chr(10) else ',' || chr(10) end
+    from told join (select hash, o_orderdate as ts from c) using (hash) where style = 'json'"""
+    else:
+        files = f"select 51, rel_path, second, {BODIES[style]} from both_roots where skipped = ''"
+        log = f"select 71, hash || '|' || step || '|' || path, false, body from told where style = '{style}'"
+    place = 30 if style == "json" else 31
+    return f"""
+with {MARKED}, both_roots as (select *, false as second from marked
+  union all select *, true from marked where md5(rel_path)[1] in ('0', '1')),
+mm as (select rel_path, content from both_roots where skipped = ''), {METRICS.replace('from corpus', 'from mm')}, {TOTALS},
+{tree_sql('both_roots')}, {COMMITS},
+s(section_ord, k_str, second, body) as ({fixed}
+  union all select {place}, sort_key, false, {tree_body} from lines
+  union all {files} union all {log})
+select cast(section_ord as bigint) as section_ord, k_str, second, md5(body) as digest from s"""
+
+
+for _style in ("xml", "markdown", "json"):
+    ORACLES[f"assemble_{_style}"] = document_sql(_style)
+
 # The greedy walk itself, one part per step and pack, over the byte positions of newlines.
 SPLIT = f"""
 recursive docs as (select source, {views.REL_PATH} as rel_path, text as content from documents),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -446,23 +447,27 @@ def language_hint(spark, sf_dir):
 @query
 def render_summary(spark, sf_dir):
     totals = metrics.corpus_totals(metrics.file_metrics(views.corpus(spark, sf_dir)))
-    out = [render.render_summary(totals, render.Options(style=s, generated_at=GENERATED)) for s in ("xml", "markdown", "plain")]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    out = [render.render_summary(totals, render.Options(style=s, generated_at=GENERATED)) for s in ("xml", "markdown", "plain", "json")]
+    return reduce(DataFrame.unionByName, out)
 
 
-@query
-def render_commit_log(spark, sf_dir):
+def told_commits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     commits = views.table(spark, sf_dir, "orders").selectExpr(
         "cast(o_orderkey as string) as hash", "cast(o_custkey as string) as author",
         "date_format(o_orderdate, 'yyyy-MM-dd') as date",
         "concat(o_orderpriority, ' <', o_orderstatus, '>', chr(10), 'body') as message", "o_orderdate as ts",
     )
-    touched = views.commit_files(spark, sf_dir).select(F.col("hash").cast("string").alias("hash"), "path")
+    return commits, views.commit_files(spark, sf_dir).select(F.col("hash").cast("string").alias("hash"), "path")
+
+
+@query
+def render_commit_log(spark, sf_dir):
+    commits, touched = told_commits(spark, sf_dir)
     out = [
         render.render_commit_log(commits, touched, s).select(F.lit(s).alias("style"), "hash", "step", "path", "body")
-        for s in ("xml", "markdown", "json")
+        for s in ("xml", "markdown", "json", "plain")
     ]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    return reduce(DataFrame.unionByName, out)
 
 
 @query
@@ -475,6 +480,45 @@ def assemble_sections(spark, sf_dir):
     )
 
 
+DIFF = "- a]]>\n+ b"
+
+
+def two_roots(spark, sf_dir) -> DataFrame:
+    """The marked corpus with a second root, in which some paths occur again."""
+    corpus = marked_corpus(spark, sf_dir)
+    again = corpus.where("left(md5(rel_path), 1) in ('0', '1')").withColumn("abs_path", F.concat(F.lit("/second/"), "rel_path"))
+    return corpus.unionByName(again)
+
+
+def assembled(style: str) -> None:
+    """A whole document with header, diff, log and instruction, over paths that repeat."""
+
+    def run(spark, sf_dir):
+        corpus = two_roots(spark, sf_dir)
+        totals = metrics.corpus_totals(metrics.file_metrics(corpus))
+        commits, touched = told_commits(spark, sf_dir)
+        log = commits.join(touched.groupBy("hash").agg(F.collect_list("path").alias("files")), "hash", "left")
+        options = render.Options(style=style, generated_at=GENERATED, header="a < b", instruction="do it", diffs={"work_tree": DIFF})
+        body = F.col("body")
+        if style == "json":  # files are compared as parsed values, with what stands around them
+            j = F.from_json(F.regexp_extract(body, r"(?s)^    (\{.*\}),?\n$", 1), "path string, content string, binary boolean, skipped string, bytes bigint")
+            parsed = F.concat_ws(
+                "|", j["path"], F.coalesce(j["content"], F.lit("-")), j["skipped"], j["bytes"].cast("string"),
+                F.coalesce(j["binary"], F.lit(False)).cast("string"), F.endswith(body, F.lit(",\n")).cast("string"),
+            )
+            body = F.when(F.col("section_ord") == 51, parsed).otherwise(body)
+        sections = render.assemble_sections(corpus, totals, options, log=log)
+        key = F.replace("k_str", F.lit("\0"), F.lit("|")).alias("k_str")
+        return sections.select(long(F.col("section_ord"), "section_ord"), key, F.startswith("k_tie", F.lit("/second/")).alias("second"), F.md5(body.cast("binary")).alias("digest"))
+
+    run.__name__ = f"assemble_{style}"
+    query(run)
+
+
+for _style in ("xml", "markdown", "json"):
+    assembled(_style)
+
+
 def split_documents(spark, sf_dir) -> DataFrame:
     """All documents of a source, rendered as plain text by path, as one pack."""
     docs = views.table(spark, sf_dir, "documents").selectExpr("source", f"{views.REL_PATH} as rel_path", "text")
