@@ -171,6 +171,18 @@ def nested_ignores(files: DataFrame, rules: DataFrame, patterns: list[str] = ())
     return with_rules.where(~(ignored(F.col("rel_path"), False) | pruned)).drop("parent_dir", "rules")
 
 
+def unignored_dirs(dirs: DataFrame, rules: DataFrame, patterns: list[str] = ()) -> DataFrame:
+    """The directories that neither ``rules`` of ignore files above them nor stated ``patterns`` ignore.
+
+    What lies above a directory is not looked at: a walk only comes to directories whose own were kept.
+    """
+    placed = dirs.withColumn("parent_dir", parent_dir("rel_path"))
+    with_rules = salted_lookup(placed, _effective_rules(dirs, rules), on="parent_dir", spread="rel_path")
+    found = _scoped_verdict(F.col("rel_path"), True, F.coalesce("rules", F.array().cast(_RULES)))
+    ignored = F.coalesce(found, is_ignored("rel_path", list(patterns), True))
+    return with_rules.where(~ignored).select(*dirs.columns)
+
+
 # --- lists of paths and several roots ---------------------------------------------------
 
 

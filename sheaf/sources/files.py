@@ -2,13 +2,14 @@
 
 Directories are listed by executors, one level per round, so neither the driver nor
 one task ever holds a whole tree, and a lopsided tree is spread anew on every level.
-Ignored directories are dropped before they are listed and file contents are read
+Directories that stated patterns or the ignore files above them exclude are not listed, and file contents are read
 last, only for files that every other rule has let through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ _READ_BATCH = 32 << 20
 _BYTES_PER_TASK = 256 << 20
 _FILES_PER_TASK = 5000
 _DIRS_PER_TASK = 200
+_ENTRIES_PER_BATCH = 20_000
 
 
 def _join(root: str, rel_path: str) -> str:
@@ -36,23 +38,28 @@ def _join(root: str, rel_path: str) -> str:
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            found = list_dir(_join(row["root"], row["rel_path"]))
             prefix = f"{row['rel_path']}/" if row["rel_path"] else ""
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "root": pa.array([row["root"]] * len(found), pa.string()),
-                    "rel_path": pa.array([prefix + name for name, _, _ in found], pa.string()),
-                    "is_dir": pa.array([d for _, d, _ in found], pa.bool_()),
-                    "bytes": pa.array([size for _, _, size in found], pa.int64()),
-                }
-            )
-
-
-def walk(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
-    """All files below a directory: ``root, rel_path, is_dir, bytes``. Stated patterns prune directories."""
-    stated = list(patterns)
+            listed = list_dir(_join(row["root"], row["rel_path"]))
+            while found := list(islice(listed, _ENTRIES_PER_BATCH)):
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "root": pa.array([row["root"]] * len(found), pa.string()),
+                        "rel_path": pa.array([prefix + name for name, _, _ in found], pa.string()),
+                        "is_dir": pa.array([d for _, d, _ in found], pa.bool_()),
+                        "bytes": pa.array([size for _, _, size in found], pa.int64()),
+                    }
+                )
+
+
+def walk(spark: SparkSession, root: str, patterns: list[str] = (), tool_name: str = select.TOOL_NAME, **names: bool) -> tuple[DataFrame, DataFrame | None]:
+    """All files below a directory, ``root, rel_path, is_dir, bytes``, and the rules of the ignore files among them.
+
+    Directories that stated patterns or rules found on the way ignore are not listed, so nothing below them
+    is seen. ``names`` says which ignore files count; no rules are read, and None is returned, where there are none.
+    """
+    stated, wanted = list(patterns), select.ignore_file_names(tool_name, **names)
     frontier = spark.createDataFrame([(root, "")], "root string, rel_path string")
-    files = None
+    files = rules = None
     waiting = 1
     while waiting:
         # a stated number of tasks: by the size of its rows a listing looks too small to spread
@@ -60,9 +67,22 @@ def walk(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
         level = cut_lineage(spread.mapInArrow(_list, _ENTRY))
         here = level.where("not is_dir")
         files = here if files is None else files.unionByName(here)
-        frontier = level.where("is_dir").where(~select.is_ignored("rel_path", stated, True)).select("root", "rel_path")
+        found = _located(here.where(base_name("rel_path").isin(wanted)))
+        if wanted and not found.isEmpty():
+            texts = read_contents(found).select("rel_path", F.col("raw").cast("string").alias("content"))
+            own = store_table(select.scan_ignore_rules(texts, tool_name, **names))
+            rules = own if rules is None else rules.unionByName(own)
+        frontier = level.where("is_dir").select("root", "rel_path")
+        if rules is None:
+            frontier = frontier.where(~select.is_ignored("rel_path", stated, True))
+        else:
+            frontier = cut_lineage(select.unignored_dirs(frontier, rules, stated))
         waiting = frontier.count()
-    return files
+    return files, rules
+
+
+def _located(listed: DataFrame) -> DataFrame:
+    return listed.select(F.concat(F.regexp_replace("root", r"/\z", ""), F.lit("/"), "rel_path").alias("abs_path"), "rel_path", "bytes")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,18 +152,12 @@ def select_files(
         row = [(root, root.rstrip("/").rsplit("/", 1)[-1], size)]
         return spark.createDataFrame(row, "abs_path string, rel_path string, bytes bigint")
     stated = (select.default_ignores(tool_name) if use_default_patterns else []) + list(custom_ignores)
-    listed = walk(spark, root, stated)
-    files = listed.select(
-        F.concat(F.regexp_replace("root", r"/\z", ""), F.lit("/"), "rel_path").alias("abs_path"), "rel_path", "bytes"
-    )
-    names = select.ignore_file_names(tool_name, use_gitignore, use_dot_ignore)
-    if names:
-        rule_files = read_contents(files.where(base_name("rel_path").isin(names)))
-        texts = rule_files.select("rel_path", F.col("raw").cast("string").alias("content"))
-        rules = select.scan_ignore_rules(texts, tool_name, gitignore=use_gitignore, dot_ignore=use_dot_ignore)
-        files = select.nested_ignores(files, rules, stated)
+    listed, rules = walk(spark, root, stated, tool_name, gitignore=use_gitignore, dot_ignore=use_dot_ignore)
+    files = _located(listed)
+    if rules is None:  # ignored directories were not listed
+        files = select.ignore_filter(files, stated)
     else:
-        files = select.ignored_dir_prune(select.ignore_filter(files, stated), stated)
+        files = select.nested_ignores(files, rules, stated)
     return select.max_size_filter(select.include_filter(files, list(include)), max_file_bytes)
 
 

@@ -6,6 +6,7 @@ import os
 import re
 import stat
 import uuid
+from collections.abc import Iterator
 
 from pyarrow import fs
 
@@ -31,11 +32,10 @@ def open_storage(location: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub(r"\As3[an]:", "s3:", location))  # Hadoop's names for S3
 
 
-def list_dir(location: str) -> list[tuple[str, bool, int]]:
-    """``(name, is_dir, size)`` of directories and regular files; links and unreadable places are left out."""
+def list_dir(location: str) -> Iterator[tuple[str, bool, int]]:
+    """``(name, is_dir, size)`` of directories and regular files, one by one; links and unreadable places are left out."""
     if is_local(location):
         try:
-            found = []
             with os.scandir(local_path(location)) as entries:
                 for e in entries:
                     try:
@@ -43,19 +43,20 @@ def list_dir(location: str) -> list[tuple[str, bool, int]]:
                     except OSError:
                         continue
                     if stat.S_ISDIR(info.st_mode):
-                        found.append((e.name, True, 0))
+                        yield e.name, True, 0
                     elif stat.S_ISREG(info.st_mode):
-                        found.append((e.name, False, info.st_size))
-            return found
+                        yield e.name, False, info.st_size
         except OSError:
-            return []
+            pass
+        return
     system, path = open_storage(location)
     try:
         infos = system.get_file_info(fs.FileSelector(path, recursive=False))
     except OSError:
-        return []
-    kinds = (fs.FileType.Directory, fs.FileType.File)
-    return [(i.base_name, i.type == fs.FileType.Directory, i.size or 0) for i in infos if i.type in kinds]
+        return
+    for i in infos:
+        if i.type in (fs.FileType.Directory, fs.FileType.File):
+            yield i.base_name, i.type == fs.FileType.Directory, i.size or 0
 
 
 def file_size(location: str) -> int | None:

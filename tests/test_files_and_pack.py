@@ -273,6 +273,18 @@ def test_clean_runs_on_a_stream(spark, tmp_path):
     assert sorted(spark.table("streamed").collect()) == sorted(batch.collect())
 
 
+def test_ignored_directories_are_not_listed(spark, tmp_path, monkeypatch):
+    for name in ("a/keep/x.py", "a/out/deep/y.py", "a/out/z.py", "b/out/w.py", "c/d/e/f.py"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x\n")
+    (tmp_path / ".gitignore").write_text("/c/d/\n")
+    (tmp_path / "a" / ".gitignore").write_text("out/\n")
+    listed, rules = files.walk(spark, str(tmp_path), [], gitignore=True, dot_ignore=True)
+    seen = {r.rel_path for r in listed.collect()}
+    assert seen == {".gitignore", "a/.gitignore", "a/keep/x.py", "b/out/w.py"} and rules.count() == 2
+    assert {r.rel_path for r in files.select_files(spark, str(tmp_path)).collect()} == seen
+
+
 def test_json_with_a_path_of_two_roots(spark):
     a = corpus_of(spark, {"k": "one", "z": "two"}).withColumn("abs_path", F.concat(F.lit("/a/"), "rel_path"))
     b = corpus_of(spark, {"z": "three"}).withColumn("abs_path", F.concat(F.lit("/b/"), "rel_path"))

@@ -10,7 +10,7 @@ def test_local_names(tmp_path):
     for name in ("s3://bucket/a", "hdfs:/a", "gs://b/c"):
         assert not storage.is_local(name)
     assert storage.file_size(str(tmp_path)) is None
-    assert storage.list_dir(str(tmp_path)) == [("a", False, 3)]
+    assert list(storage.list_dir(str(tmp_path))) == [("a", False, 3)]
 
 
 def test_staged_file(tmp_path):
