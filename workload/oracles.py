@@ -362,6 +362,10 @@ TOTALS = """totals as (select count(*) as files, cast(sum(chars) as bigint) as c
   cast(sum(bytes) as bigint) as bytes from metrics)"""
 ORACLES["file_metrics"] = f"with {CORPUS}, {METRICS} select * from metrics"
 ORACLES["corpus_totals"] = f"with {CORPUS}, {METRICS}, {TOTALS} select * from totals"
+ORACLES["pack_corpus"] = f"""{scan(BUILTIN)}, flagged as (select distinct rel_path from kept),
+clean as (select * from corpus where rel_path not in (from flagged)), {METRICS.replace('from corpus', 'from clean')}
+select 'file' as kind, rel_path, chars, tokens, lines, bytes from metrics
+union all select 'finding', rel_path, count(*), 0, 0, 0 from kept group by rel_path"""
 ORACLES["top_files"] = f"with {CORPUS}, {METRICS} select * from metrics order by tokens desc, chars desc, rel_path limit 20"
 ORACLES["run_report"] = f"""with {CORPUS}, {METRICS}, {TOTALS},
 t as (select *, row_number() over (order by tokens desc, chars desc, rel_path) as r from metrics)

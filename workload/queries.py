@@ -14,6 +14,7 @@ from sheaf.functions import cleaning, glob, markup, secrets, text, tokens, urls
 from sheaf.functions.secrets import SecretRule
 from sheaf.operators import clean, history, metrics, render, select, split, status, tree
 from sheaf.operators import secrets as secret_ops
+from sheaf.plans import pack
 from sheaf.session import shared_folder
 from sheaf.sources import commit_log, files, sinks, tables
 from workload import views
@@ -519,6 +520,16 @@ for _style in ("xml", "markdown", "json"):
     assembled(_style)
 
 
+@query
+def pack_corpus(spark, sf_dir):
+    """A whole run: what it measures of the files it keeps, and how many secrets it found in the others."""
+    packed = pack.pack_corpus(views.corpus(spark, sf_dir), render.Options(style="plain", generated_at=GENERATED))
+    files = packed.metrics.select(F.lit("file").alias("kind"), "rel_path", "chars", "tokens", "lines", "bytes")
+    none = [long(F.lit(0), c) for c in ("tokens", "lines", "bytes")]
+    found = packed.findings.groupBy("rel_path").agg(F.count("*").alias("chars"))
+    return files.unionByName(found.select(F.lit("finding").alias("kind"), "rel_path", "chars", *none))
+
+
 def split_documents(spark, sf_dir) -> DataFrame:
     """All documents of a source, rendered as plain text by path, as one pack."""
     docs = views.table(spark, sf_dir, "documents").selectExpr("source", f"{views.REL_PATH} as rel_path", "text")
