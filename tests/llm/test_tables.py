@@ -272,6 +272,10 @@ def test_banded_distance_and_complete_candidates(limit):
         index.setdefault(k, set()).add(o)
     found = {tuple(sorted((o, p))) for k, o in zip(key[side == 1], owner[side == 1]) for p in index.get(k, ())}
     number = {x: i for i, x in enumerate(lines)}
+    marks = line_dedup.signatures(lines)
+    for (a, b), near in zip(pairs, want):
+        if near and a in number and b in number:
+            assert int(marks[number[a]] ^ marks[number[b]]).bit_count() <= 4 * limit
     assert all(tuple(sorted((number[a], number[b]))) in found for (a, b), near in zip(pairs, want) if near and a in number and b in number)
 
 
@@ -357,8 +361,8 @@ def test_vector_groups_equal_brute_force(spark, block):
     centres = rng.normal(size=(12, 6))
     rows = [(int(i), [float(x) for x in centres[i % 12] * rng.uniform(0.01, 50) + rng.normal(size=6) * [0.02, 0.2, 0.6][i % 3]]) for i in range(150)]
     rows += [(200 + i, rows[5][1]) for i in range(20)] + [(300 + i, [2 * x for x in rows[5][1]]) for i in range(3)]
-    rows += [(400, None), (401, [0.0] * 6), (402, [1.0, None, 0, 0, 0, 0]), (403, [float("nan")] * 6), (404, [float("inf"), 0.0, 0, 0, 0, 0]), (405, [])]
-    rows += [(None, rows[7][1]), (None, [1e200, 0.0, 0.0, 0, 0, 0]), (406, [1e-200, 0.0, 0.0, 0, 0, 0]), (7, rows[7][1]), (407, [1.0, 2.0]), (408, [1.0, 2.1])]
+    rows += [(400, None), (401, [0.0] * 6), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (403, [float("nan")] * 6), (404, [float("inf"), 0.0, 0.0, 0.0, 0.0, 0.0]), (405, [])]
+    rows += [(None, rows[7][1]), (None, [1e200, 0.0, 0.0, 0.0, 0.0, 0.0]), (406, [1e-200, 0.0, 0.0, 0.0, 0.0, 0.0]), (7, rows[7][1]), (407, [1.0, 2.0]), (408, [1.0, 2.1])]
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], "vec_id bigint, embedding array<double>, label int, _node string")
     assert collected(cover_tree.embedding_groups(df, block=block)) == brute_vectors(rows)
     assert cover_tree.embedding_groups(df.limit(0)).count() == 0
