@@ -179,16 +179,17 @@ def spaced(words: list[bytes]) -> list[str]:
 
 
 def word_features(word: str) -> list[int]:
-    """Names, as numbers of 32 bits, of a word and of its beginnings, which inflected words share."""
+    """Names, as numbers of 32 bits, of a word (odd) and of its beginnings (even), which inflected words share."""
     if len(word) < 3:
         return []
-    return [zlib.crc32(f"w{word}".encode()), *(zlib.crc32(f"{n}{word[:n]}".encode()) for n in (4, 5, 6) if len(word) >= n)]
+    beginnings = (word[:n] for n in (4, 5, 6) if len(word) >= n)
+    return [zlib.crc32(word.encode()) | 1, *(zlib.crc32(f"{b}-".encode()) & ~1 for b in beginnings)]
 
 
 class Reader(dict):
     """Features of tokens, as written and as restored. Maps a token to those in ``wanted`` (None: all)."""
 
-    def __init__(self, letters: Letters, wanted: dict[int, float] | None = None, most: int = 400_000):
+    def __init__(self, letters: Letters, wanted: dict[int, tuple[float, float]] | None = None, most: int = 400_000):
         super().__init__()
         self.letters, self.wanted, self.most = letters, wanted, most
 
@@ -225,20 +226,28 @@ class Reader(dict):
 TRAIN_ROWS = 8_000
 #: A feature enters the lexicon when chance gives its split between toxic and other rows with odds below about e^-13.
 EVIDENCE = 26.0
+CAUTION = 20
 
 
 @dataclass
 class Lexicon:
+    """``words`` has a feature's weight in the regression and what it says where it stands alone; beginnings say nothing alone."""
+
     bias: float
-    weights: dict[int, float]
+    words: dict[int, tuple[float, float]]
 
     def score(self, found: set[int]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.bias + sum(self.weights[f] for f in found), -35, 35))))
+        z = self.bias + sum(self.words[f][0] for f in found)
+        together = float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+        return max([together, *(self.words[f][1] for f in found)])
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 300) -> Lexicon:
     """Features that toxic rows hold clearly more often, then a logistic regression on them.
 
+    Toxic rows mostly hold several such features, which leaves each a small weight; so each word also has the
+    share of toxic rows among those that hold it, drawn towards the share of all by ``CAUTION`` rows.
+
     Labels of one kind only, or none, give their smoothed share and no lexicon.
     """
     toxic = int((labels == 1).sum())
@@ -268,7 +277,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 300) -> Lexico
         mean_w, mean_b = mean_w + gw * gw, mean_b + gb * gb
         w = np.maximum(w - 0.3 * gw / np.sqrt(mean_w), 0)  # toxic words never speak for a text
         bias -= 0.3 * gb / np.sqrt(mean_b)
-    return Lexicon(float(bias), {int(names[k]): float(x) for k, x in zip(kept, w) if x > 0})
+    alone = (n1[kept] + CAUTION * expect) / (n1[kept] + n0[kept] + CAUTION) * (names[kept] % 2)
+    return Lexicon(float(bias), {int(names[k]): (float(x), float(p)) for k, x, p in zip(kept, w, alone)})
 
 
 def train(docs: DataFrame, labels: DataFrame, usable, letters: Letters, id_col="doc_id", text_col="text", label_col="toxic", limit: int = TRAIN_ROWS) -> Lexicon:
@@ -307,7 +317,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
 
     def run(batches):
         letters, lexicon = held.value
-        reader = Reader(letters, lexicon.weights)
+        reader = Reader(letters, lexicon.words)
         for b in batches:
             found = [lexicon.score(reader.read(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=schema.names)
