@@ -14,10 +14,12 @@ COSINE = 0.9
 #: Vectors of one tree, about; and the most pivots that vectors are dealt by.
 BLOCK, PIVOTS = 4096, 512
 #: Radii of the levels, each half of the one above; the root holds everything.
-RADII = (1.0, 0.5, 0.25)
+RADII = (0.5, 0.25, 0.125)
 #: Distances come from cosines, whose rounding the bounds allow for; pairs themselves are decided by the cosine.
 SLACK = 1e-6
 PAIRS = 1 << 20
+#: Cosines in single precision are off by less than this; and the radii that nodes are seen together by.
+ROUNDING, BANDS = 1e-5, (0.01, 0.15, 0.35)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -116,11 +118,22 @@ class Traversal:
 
     def run(self):
         a, b = self.a, self.b
-        for at in range(0, len(a.nodes[0]), 512):
-            rows = np.arange(at, min(at + 512, len(a.nodes[0])))
-            d = distance(a.points[a.nodes[0][rows]] @ b.points[b.nodes[0]].T)
-            x, y = np.nonzero(d <= self.reach + SLACK + a.radius[0][rows][:, None] + b.radius[0][None, :])
-            self._nodes(0, rows[x], y, d[x, y])
+        ra, rb = a.radius[0], b.radius[0]
+        order = np.argsort(rb, kind="stable")
+        ahead = a.points[a.nodes[0]].astype(np.float32)
+        # Nodes of like radius are seen together, so that one bound per row drops nearly all pairs in single precision.
+        for columns in np.split(order, np.searchsorted(rb[order], BANDS)):
+            if not len(columns):
+                continue
+            across = np.ascontiguousarray(b.points[b.nodes[0][columns]].astype(np.float32).T)
+            widest = np.minimum(self.reach + 2 * SLACK + ra + rb[columns].max(), 2)
+            least = (1 - widest * widest / 2 - ROUNDING).astype(np.float32)
+            for at in range(0, len(ahead), 512):
+                hits = np.flatnonzero(ahead[at : at + 512] @ across >= least[at : at + 512, None])
+                x, y = hits // len(columns) + at, columns[hits % len(columns)]
+                d = distance(_cosines(a.points[a.nodes[0][x]], b.points[b.nodes[0][y]]))
+                near = d <= self.reach + SLACK + ra[x] + rb[y]
+                self._nodes(0, x[near], y[near], d[near])
         first, second, _ = self.edges
         if not first:
             return np.empty(0, np.int64), np.empty(0, np.int64)
