@@ -8,9 +8,9 @@ from sheaf.llm.bpe import encode_digests
 from sheaf.llm.common import table
 from sheaf.llm.exact_dedup import drop_copies
 from sheaf.llm.mixing import mixed_documents
+from sheaf.llm.near_texts import drop_near_texts
 from sheaf.llm.quality_fm import keep_good
 from sheaf.llm.queries import vocabulary_path
-from sheaf.llm.simhash import drop_near_copies
 from sheaf.session import store_table
 
 
@@ -32,8 +32,12 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by fingerprints that differ in at most 4 bits, that with the smallest id stays."""
-    return drop_near_copies(docs)
+    """Of connected documents that with the smallest id stays.
+
+    Documents are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, found exactly,
+    or whose fingerprints (those of op5) differ in at most 4 bits.
+    """
+    return drop_near_texts(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -146,19 +146,21 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
     return dealt.mapInPandas(run, "a bigint, b bigint")
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, links: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: ``<id>, text_hash, fingerprint, component_id, first_hash``.
 
     ``fingerprint`` is 16 hex digits; fingerprints link at ``radius`` or fewer differing bits and
     ``component_id`` is the smallest id reachable (null only if no row of the component has an id).
     Texts without words, null among them, have fingerprint zero and link like any others. Repeated
     rows share a fingerprint. No rows give no rows; other columns are ignored.
-    ``first_hash`` is the ``text_hash`` of the row that stands for the component.
+    ``first_hash`` is the ``text_hash`` of the row that stands for the component. ``links`` (``a, b``) connects
+    further fingerprints.
     """
     prints = store_table(fingerprints(docs, id_col, text_col))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
     distinct = store_table(prints.groupBy("_fp").agg(F.min(order).alias("_first")))
-    roots = components(near_edges(distinct, radius))
+    edges = near_edges(distinct, radius)
+    roots = components(edges if links is None else edges.union(links))
     rooted = distinct.join(roots, distinct["_fp"] == roots["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
     groups = rooted.groupBy("_root").agg(F.min("_first").alias("_least"))
     named = rooted.join(groups, "_root").select(F.col("_fp").alias("_of"), "_least")
@@ -171,9 +173,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, links: DataFrame | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one row of each component, that with the smallest id."""
-    found = simhash_groups(docs, id_col, text_col, radius)
+    found = simhash_groups(docs, id_col, text_col, radius, links)
     stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("first_hash")))
     stay = stay.select(F.col(id_col).alias("_keep"), F.col("first_hash").alias("_keep_hash")).distinct()
     rows = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_hash"))

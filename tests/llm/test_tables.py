@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sheaf.llm import common, cover_tree, exact_dedup, line_dedup, mixing, simhash
+from sheaf.llm import common, cover_tree, exact_dedup, line_dedup, mixing, near_texts, simhash
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 CLASH = ", _id string, _row string, _text string, _hash string, size string, component_id string, keep_id string"
@@ -378,3 +378,38 @@ def test_tree_levels_nest_and_cover():
         assert (under[under[:, level], level] == under[:, level]).all()
         if level:
             assert all(len(set(under[under[:, level] == n, level - 1])) == 1 for n in set(under[:, level]))
+
+
+def test_near_texts_equal_brute_force(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(30):
+        words = rng.choices(vocabulary, k=rng.choice([0, 2, 5, 6, 30, 80, 200, 600]))
+        rows.append((100 * i, " ".join(words)))
+        for k in range(rng.choice([0, 2, 6])):
+            other = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 40))):
+                other.insert(rng.randint(0, len(other)), "changed")
+            rows.append((100 * i + k + 1, "\n".join(other).upper()))
+    rows += [(9000 + i, " ".join(["the same passage of some common words", *rng.choices(vocabulary, k=9)])) for i in range(40)]
+
+    def parts(text):
+        words = text.lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    sets = [parts(t) for _, t in rows]
+    prints = [plain_fingerprint(t) for _, t in rows]
+    near = [(i, j) for j in range(len(rows)) for i in range(j) if sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    far = [(i, j) for i, j in near if (prints[i] ^ prints[j]).bit_count() > 4]
+    assert far  # pairs that fingerprints alone miss
+    links = near + [(i, j) for j in range(len(rows)) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    of = groups(links, set(range(len(rows))))
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[of[i]] = min(doc, least.get(of[i], doc))
+    docs = documents(spark, [(*r, "s") for r in rows])
+    for block in (3, near_texts.BLOCK):
+        kept = simhash.drop_near_copies(docs, links=near_texts.near_text_edges(docs, block=block))
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
+    assert near_texts.drop_near_texts(documents(spark, [])).count() == 0
