@@ -150,6 +150,8 @@ def decode(text: str, model: Letters, letters_apart: bool = False) -> str:
 
 
 _AROUND = ".,;:?\"'()[]{}<>-_*#%&~^=/\\`!"
+#: Of these the signs that stand for no letter.
+_EDGES = "".join(c for c in _AROUND if c not in LEET)
 
 
 def _core(word: str) -> str:
@@ -204,9 +206,10 @@ class Reader(dict):
             self.clear()
         word = token.decode("utf-8", "replace").lower()
         found = word_features(re.sub(r"^[\W_]+|[\W_]+$", "", word))
-        core = _core(word)
-        if _hidden(core):
-            found += self.restored(core)
+        # With and without the signs at its ends that may be letters.
+        for core in {_core(word), word.strip(_EDGES)}:
+            if _hidden(core):
+                found += self.restored(core)
         self[token] = kept = self.select(found)
         return kept
 

@@ -130,6 +130,27 @@ def test_hidden_words_are_found(spark):
     assert found == {1000: 1, 1001: 1, 1002: 1, 1003: 1, 1004: 0, 1005: 1}
 
 
+def scored(spark, planted):
+    rng = random.Random(1)
+    clean = "the story of a small house and its garden where nothing much was ever said to anyone at all".split()
+    rows, labels = [], []
+    for i in range(400):
+        words = rng.choices(clean, k=40)
+        if i % 3 == 0:
+            words[rng.randrange(40)] = rng.choice(["idiot", "clown", "worthless", "scum", "loser"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    docs = documents(spark, [*rows, *((1000 + i, f"the house {x} garden") for i, x in enumerate(planted))])
+    got = toxicity.toxicity_scores(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    found = {r.doc_id: r.predicted for r in got.where("doc_id >= 1000").collect()}
+    return [found[1000 + i] for i in range(len(planted))]
+
+
+def test_signs_at_the_ends_of_a_word_may_be_letters(spark):
+    planted = ["worthle$$", "w0rthle$$", "!diot", "!d10t", "(lown", "(l0wn", "(idiot)", "garden$$$", "house!"]
+    assert scored(spark, planted) == [1] * 7 + [0] * 2
+
+
 # BPE --------------------------------------------------------------------------------------
 
 
