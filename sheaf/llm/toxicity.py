@@ -160,21 +160,62 @@ def _core(word: str) -> str:
 
 
 def _hidden(core: str) -> bool:
-    """Letters among signs, a letter three times in a row, or several letters twice."""
+    """Letters among signs, or a letter several times in a row."""
     if not re.search(r"[^\W\d_]", core):
         return False
-    if re.search(r"[^\w']|[\d_]|([^\W\d_])\1\1", core):
-        return True
-    return len(re.findall(r"([^\W\d_])\1", core)) > 1
+    return bool(re.search(r"[^\w']|[\d_]|([^\W\d_])\1", core))
 
 
 def spaced(words: list[bytes]) -> list[str]:
-    """Letters written one by one: runs of three or more words of a single byte, a repeated letter counting once."""
-    if len(words) < 3:
-        return []
-    single = np.fromiter(map(len, words), np.int64, len(words)) == 1
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
-    return ["".join(w.decode("ascii", "replace") for w in words[a:b]) for a, b in zip(edges[::2], edges[1::2]) if b - a >= 3]
+    """Letters written one by one: runs of three or more words of one character, whatever stands around it.
+
+    In a run whose words are all one letter repeated equally often, it counts once.
+    """
+    found = []
+    for run in _short(words, 12, 3):
+        chunks: list[str] = []
+        for w in [*run, b"  "]:
+            c = _bare(w)
+            if c and c == c[0] * len(c) and len(c) <= 3 and (not chunks or len(c) == len(chunks[0])):
+                chunks.append(c)
+                continue
+            if len(chunks) >= 3:
+                found.append("".join(x[0] for x in chunks))
+            chunks = [c] if c and c == c[0] * len(c) and len(c) <= 3 else []
+    return found
+
+
+def _bare(word: bytes) -> str:
+    """A word without the signs around it, which stay where nothing else is."""
+    text = word.decode("utf-8", "replace")
+    return (text.strip(_EDGES) or text)[:4] if len(text) > 1 else text
+
+
+def _short(words: list[bytes], most: int, least: int):
+    """Runs of ``least`` or more words of at most ``most`` bytes."""
+    if len(words) < least:
+        return
+    short = np.fromiter(map(len, words), np.int64, len(words)) <= most
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], short, [False]]).astype(np.int8)))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        if b - a >= least:
+            yield words[a:b]
+
+
+_PLAIN = str.maketrans({c: x[0] for c, x in LEET.items()})
+
+
+def chunked(words: list[bytes]):
+    """What two to five neighbouring words of one to three characters spell together."""
+    for run in _short(words, 9, 2):
+        chunks = [c.translate(_PLAIN) if len(c) < 4 else "" for c in map(_bare, run)]
+        for at, c in enumerate(chunks):
+            for more in chunks[at + 1 : at + 5]:
+                if not c or not more:
+                    break
+                c += more
+                if len(c) > 3:
+                    yield c.lower()
 
 
 # Features ---------------------------------------------------------------------------------
@@ -221,6 +262,8 @@ class Reader(dict):
                 found.update(f)
         for run in set(spaced(words)):
             found.update(self.select(self.restored(run.lower(), True)))
+        if self.wanted:  # as words alone, once it is known which ones count
+            found.update(f for c in chunked(words) if (f := zlib.crc32(c.encode()) | 1) in self.wanted)
         return found
 
 

@@ -151,6 +151,13 @@ def test_signs_at_the_ends_of_a_word_may_be_letters(spark):
     assert scored(spark, planted) == [1] * 7 + [0] * 2
 
 
+def test_repeats_and_spacing_of_every_kind(spark):
+    planted = ["iddiot", "scumm", "lloser", "i d i o t.", '"i d i o t"', "id iot", "ii dd ii oo tt", "the sea", "a b c"]
+    got = scored(spark, planted)
+    assert got[:7] == [1] * 7 and got[7:] == [0] * 2
+    assert toxicity.spaced("id\u00ef \u20ac i \u00e9 t".encode().split()) == ["\u20aci\u00e9t"]
+
+
 # BPE --------------------------------------------------------------------------------------
 
 
