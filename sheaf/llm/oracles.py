@@ -61,4 +61,20 @@ ways as (select doc_id, list(beside order by level) as way from steps group by d
 r as (select l.doc_id, l.leaf, s.subroot, (select h from tv where n = 1) as root, coalesce(way, []) as way, l.second from l join s on s.tree = l.tree left join ways w on w.doc_id = l.doc_id),
 f as (select *, list_reduce(list_prepend(second, way), lambda a, x: sha256(split_part(x, '|', 1) || a || split_part(x, '|', 2))) as folded_root from r)
 select doc_id, leaf, subroot, root, sha256(replace(array_to_string(way, ''), '|', '')) as proof_sha256, folded_root, folded_root = root as verified from f""",
+    "op12_periodic_runs": rf"""
+with c as (select doc_id, {crc32("(doc_id::varchar)")} as h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+k as (select *, len(w) as n, case when len(w) > 0 then (h // 10) % len(w) end as a from c),
+o as (select *, case when n > 0 then 1 + (n - a) // (3 + (h // 10) % 8) end as p from k),
+d as (select doc_id, n, case when h % 10 = 0 and n > 0 then list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) else w end as w from o),
+g as (select doc_id, n, i, array_to_string(w[i + 1:i + 5], ' ') as gram from (select *, unnest(range(n - 4)) as i from d where n > 4)),
+m as (select x.doc_id, x.i, y.i - x.i as q from g x join g y on x.doc_id = y.doc_id and x.gram = y.gram and y.i > x.i and 4 * (y.i - x.i) <= x.n),
+e as (select *, i - row_number() over (partition by doc_id, q order by i) as island from m),
+l as (select doc_id, q, min(i) as s, count(*) + 4 + q as len from e group by doc_id, q, island having count(*) + 4 + q >= greatest(6, 4 * q)),
+r as (select * from l where not exists (select 1 from l z where z.doc_id = l.doc_id and z.q < l.q and l.q % z.q = 0 and z.s <= l.s and z.s + z.len >= l.s + l.len)),
+f as (select doc_id, count(*) as n_runs, arg_min(struct_pack(s := s, len := len, q := q), (-len, s, q)) as best, string_agg(s || ',' || len || ',' || q || chr(10), '' order by s, q) as told from r group by doc_id),
+x as (select distinct doc_id, unnest(range(s + q, s + len)) as i from r),
+y as (select t.doc_id, string_agg(t.word, ' ' order by t.i) as rest from (select doc_id, unnest(w) as word, unnest(range(n)) as i from d) t anti join x on x.doc_id = t.doc_id and x.i = t.i group by t.doc_id)
+select d.doc_id, coalesce(f.n_runs, 0) as n_runs, best.s as start, best.len as length, best.q as period, best.len * 1000 // best.q as exponent_milli,
+  sha256(coalesce(told, '')) as runs_sha256, sha256(coalesce(rest, '')) as collapsed_sha256
+from d left join f on f.doc_id = d.doc_id left join y on y.doc_id = d.doc_id""",
 }

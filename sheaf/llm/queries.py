@@ -12,6 +12,7 @@ from sheaf.llm.exact_dedup import exact_dedup
 from sheaf.llm.line_dedup import line_dedup
 from sheaf.llm.merkle import merkle_manifest, without_line_feeds
 from sheaf.llm.mixing import mix_sources
+from sheaf.llm.periodic import periodic_runs, planted_period
 from sheaf.llm.quality_fm import quality_scores
 from sheaf.llm.simhash import simhash_groups
 from sheaf.llm.toxicity import toxicity_scores
@@ -68,11 +69,15 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"), text=planted_period(), digests=True)
+
+
 def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(without_line_feeds(table(spark, sf_dir, "documents"))).withColumnRenamed("proof", "proof_sha256")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_machine, op2_toxicity_channel, op3_exact_dedup, op4_mix_sources, op5_simhash_covering, op6_bpe, op7_chat_rendering, op8_line_join, op9_cover_tree, op10_warc, op13_merkle_climb)
+    for f in (op1_quality_machine, op2_toxicity_channel, op3_exact_dedup, op4_mix_sources, op5_simhash_covering, op6_bpe, op7_chat_rendering, op8_line_join, op9_cover_tree, op10_warc, op12_periodic_runs, op13_merkle_climb)
 }
