@@ -12,6 +12,7 @@ from sheaf.llm.exact_dedup import exact_dedup
 from sheaf.llm.line_dedup import line_dedup
 from sheaf.llm.merkle import merkle_manifest, without_line_feeds
 from sheaf.llm.mixing import mix_sources
+from sheaf.llm.packing import pack_documents, with_crc
 from sheaf.llm.periodic import periodic_runs, planted_period
 from sheaf.llm.quality_fm import quality_scores
 from sheaf.llm.simhash import simhash_groups
@@ -19,11 +20,11 @@ from sheaf.llm.toxicity import toxicity_scores
 from sheaf.llm.warc import archive_pages
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     """Where the vocabulary of the token queries is installed."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_quality_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,11 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op11_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = with_crc(pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json")))
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"), text=planted_period(), digests=True)
 
@@ -79,5 +85,5 @@ def op13_merkle_climb(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_machine, op2_toxicity_channel, op3_exact_dedup, op4_mix_sources, op5_simhash_covering, op6_bpe, op7_chat_rendering, op8_line_join, op9_cover_tree, op10_warc, op12_periodic_runs, op13_merkle_climb)
+    for f in (op1_quality_machine, op2_toxicity_channel, op3_exact_dedup, op4_mix_sources, op5_simhash_covering, op6_bpe, op7_chat_rendering, op8_line_join, op9_cover_tree, op10_warc, op11_bin_slack, op12_periodic_runs, op13_merkle_climb)
 }
