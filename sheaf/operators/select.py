@@ -9,6 +9,8 @@ from sheaf import fixed_values as fv
 from sheaf.functions import glob
 from sheaf.functions.text import ancestors, base_name, byte_view, col, lines, parent_dir, rows_of, trim_space
 from sheaf.operators.joins import salted_lookup
+from sheaf.operators.rule_index import found_verdicts, self_and_above
+from sheaf.session import drop_table, store_table
 
 TOOL_NAME = "sheaf"
 
@@ -95,58 +97,13 @@ def max_size_filter(files: DataFrame, limit: int = fv.MAX_FILE_BYTES) -> DataFra
 
 # --- rules found in the corpus ----------------------------------------------------------
 
-_RULES = "array<struct<scope:string,negate:boolean,dir_only:boolean,regex:string>>"
 
 
-def _effective_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """``(parent_dir, rules)``: per directory the rules of all directories at or above it.
-
-    Works on distinct directories. The rules of one directory are at most the lines
-    of its few ignore files.
-    """
-    rule = F.struct(
-        "file_ord", "line_no", F.col("scope_dir").alias("scope"), "negate", "dir_only", "regex"
-    )
-    by_scope = rules.groupBy("scope_dir").agg(F.sort_array(F.collect_list(rule)).alias("scoped"))
-    dirs = files.select(parent_dir("rel_path").alias("parent_dir")).distinct()
-    chain = F.when(F.col("parent_dir") == "", F.array(F.lit(""))).otherwise(
-        F.concat(F.array(F.lit("")), ancestors("parent_dir"), F.array(F.col("parent_dir")))
-    )
-    reached = salted_lookup(
-        dirs.select("parent_dir", F.posexplode_outer(chain).alias("depth", "scope_dir")),
-        by_scope,
-        on="scope_dir",
-        how="inner",
-        spread="parent_dir",
-    )
-    per_dir = reached.groupBy("parent_dir").agg(
-        F.sort_array(F.collect_list(F.struct("depth", "scoped"))).alias("chain")
-    )
-    flat = F.flatten(F.col("chain.scoped"))
-    return per_dir.select(
-        "parent_dir",
-        F.transform(
-            flat,
-            lambda r: F.struct(
-                r["scope"].alias("scope"), r["negate"].alias("negate"),
-                r["dir_only"].alias("dir_only"), r["regex"].alias("regex"),
-            ),
-        ).cast(_RULES).alias("rules"),
-    )
-
-
-def _scoped_verdict(path: Column, is_dir: bool, rules: Column) -> Column:
-    """Last matching rule among those whose directory lies above ``path``; null if none."""
-
-    def hits(r: Column) -> Column:
-        inside = (r["scope"] == "") | F.startswith(path, F.concat(r["scope"], F.lit("/")))
-        below = F.when(r["scope"] == "", path).otherwise(
-            F.substring(path, F.char_length(r["scope"]) + 2, F.char_length(path))
-        )
-        kind = F.lit(True) if is_dir else ~r["dir_only"]
-        return kind & inside & F.rlike(byte_view(below), r["regex"])
-
-    return ~F.try_element_at(F.filter(rules, hits), F.lit(-1))["negate"]
+def _ignored_paths(paths: DataFrame, rules: DataFrame, patterns: list[str], is_dir: bool) -> DataFrame:
+    """Those of the distinct ``path``s that rules from files or, where none has a say, stated patterns ignore."""
+    # The verdicts carry the path on, so only paths without one are looked at again.
+    judged = paths.join(found_verdicts(paths, rules, is_dir), "path", "left")
+    return judged.where(F.coalesce("ignored", is_ignored("path", patterns, is_dir))).select("path")
 
 
 def nested_ignores(files: DataFrame, rules: DataFrame, patterns: list[str] = ()) -> DataFrame:
@@ -154,21 +111,22 @@ def nested_ignores(files: DataFrame, rules: DataFrame, patterns: list[str] = ())
 
     A rule acts on what lies below its own directory and is matched against the path
     from there. Stated patterns come first, so any rule from a file outranks them.
+    Every distinct directory is judged once. Verdicts are made on paths alone; files meet the paths to drop at the end.
     """
-    with_rules = salted_lookup(
-        files.withColumn("parent_dir", parent_dir("rel_path")),
-        _effective_rules(files, rules),
-        on="parent_dir",
-        spread="rel_path",
-    )
-    found = F.coalesce("rules", F.array().cast(_RULES))
     stated = list(patterns)
-
-    def ignored(path: Column, is_dir: bool) -> Column:
-        return F.coalesce(_scoped_verdict(path, is_dir, found), is_ignored(path, stated, is_dir))
-
-    pruned = F.exists(ancestors("rel_path"), lambda d: ignored(d, True))
-    return with_rules.where(~(ignored(F.col("rel_path"), False) | pruned)).drop("parent_dir", "rules")
+    paths = store_table(files.select(F.col("rel_path").alias("path")).distinct())
+    dirs = paths.select(parent_dir("path").alias("dir")).distinct()
+    chain = store_table(dirs.select("dir", F.explode(F.slice(self_and_above("dir"), F.lit(2), F.size(self_and_above("dir")))).alias("path")))
+    gone = _ignored_paths(chain.select("path").distinct(), rules, stated, True)
+    gone = salted_lookup(chain, gone, on="path", how="left_semi", spread="dir").select("dir").distinct()
+    placed = paths.withColumn("dir", parent_dir("path"))
+    pruned = salted_lookup(placed, gone.withColumn("_gone", F.lit(True)), on="dir", spread="path")
+    pruned = store_table(pruned.select("path", F.col("_gone").isNotNull().alias("gone")))
+    ignored = _ignored_paths(pruned.where("not gone").select("path"), rules, stated, False)
+    dropped = store_table(pruned.where("gone").select("path").unionByName(ignored))
+    for used in (paths, chain, pruned):
+        drop_table(used)
+    return files.join(dropped.withColumnRenamed("path", "rel_path"), "rel_path", "left_anti").select(*files.columns)
 
 
 def unignored_dirs(dirs: DataFrame, rules: DataFrame, patterns: list[str] = ()) -> DataFrame:
@@ -176,11 +134,8 @@ def unignored_dirs(dirs: DataFrame, rules: DataFrame, patterns: list[str] = ())
 
     What lies above a directory is not looked at: a walk only comes to directories whose own were kept.
     """
-    placed = dirs.withColumn("parent_dir", parent_dir("rel_path"))
-    with_rules = salted_lookup(placed, _effective_rules(dirs, rules), on="parent_dir", spread="rel_path")
-    found = _scoped_verdict(F.col("rel_path"), True, F.coalesce("rules", F.array().cast(_RULES)))
-    ignored = F.coalesce(found, is_ignored("rel_path", list(patterns), True))
-    return with_rules.where(~ignored).select(*dirs.columns)
+    ignored = _ignored_paths(dirs.select(F.col("rel_path").alias("path")).distinct(), rules, list(patterns), True)
+    return dirs.join(ignored.withColumnRenamed("path", "rel_path"), "rel_path", "left_anti").select(*dirs.columns)
 
 
 # --- lists of paths and several roots ---------------------------------------------------
