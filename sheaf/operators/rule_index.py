@@ -44,6 +44,11 @@ def rule_key() -> Column:
     )
 
 
+def indexed(rules: DataFrame) -> DataFrame:
+    """Rules of ``scan_ignore_rules`` with their key."""
+    return rules.select("scope_dir", rule_key().alias(KEY), "file_ord", "line_no", "negate", "dir_only", "regex")
+
+
 def path_keys(scope: Column, below: Column) -> Column:
     """The keys under which rules of directory ``scope`` are found that may match the path ``below`` it."""
     name = base_name(below)
@@ -62,27 +67,26 @@ def self_and_above(directory: str | Column) -> Column:
     return F.when(d == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), ancestors(d), F.array(d)))
 
 
-def _scopes(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """``parent_dir, scopes``: per distinct directory the directories at or above it that have rules."""
-    dirs = paths.select("parent_dir").distinct()
-    chain = dirs.select("parent_dir", F.posexplode(self_and_above("parent_dir")).alias("depth", "scope_dir"))
-    met = salted_lookup(chain, rules.select("scope_dir").distinct(), on="scope_dir", how="left_semi", spread="parent_dir")
-    return met.groupBy("parent_dir").agg(F.collect_list(F.struct("depth", "scope_dir")).alias("scopes"))
+def asked_keys(scoped: DataFrame) -> DataFrame:
+    """``path, depth, _below, _key`` for each key of each ``path, depth, scope_dir``."""
+    scoped = scoped.withColumn("_below", below_scope(F.col("path"), F.col("scope_dir")))
+    return scoped.select("path", "depth", "_below", F.explode(path_keys(F.col("scope_dir"), F.col("_below"))).alias(KEY))
+
+
+def all_scopes(paths: DataFrame) -> DataFrame:
+    """``path, depth, scope_dir`` for every directory above a path, with rules or not."""
+    return paths.select("path", F.posexplode(self_and_above(parent_dir("path"))).alias("depth", "scope_dir"))
 
 
-def found_verdicts(paths: DataFrame, rules: DataFrame, is_dir: bool) -> DataFrame:
-    """``path, ignored`` of the distinct ``path``s on which some rule has a say.
+def ignored_paths(paths: DataFrame, scoped: DataFrame, rules: DataFrame, stated: Column, is_dir: bool) -> DataFrame:
+    """The distinct ones of ``paths`` (``path``) that are ignored by rules from files or else as ``stated`` says.
 
-    ``rules`` are those of ``scan_ignore_rules``. Work is by distinct directory and by path, key and rule; hot keys are
-    dealt to several tasks, and the verdict is an aggregate, not a list.
+    ``rules`` have their ``rule_key``; ``scoped`` has the directories whose rules may have a say on a path. Hot keys are dealt to several tasks, and the
+    verdict is a maximum over single rules: the stated verdict stands below the outermost directory.
     """
-    placed = paths.select("path", parent_dir("path").alias("parent_dir"))
-    placed = salted_lookup(placed, _scopes(placed, rules), on="parent_dir", how="inner", spread="path")
-    scoped = placed.select("path", F.explode("scopes").alias("_s")).select("path", "_s.*")
-    scoped = scoped.withColumn("_below", below_scope(F.col("path"), F.col("scope_dir")))
-    asked = scoped.select("path", "depth", "_below", F.explode(path_keys(F.col("scope_dir"), F.col("_below"))).alias(KEY))
     usable = rules if is_dir else rules.where("not dir_only")
-    index = usable.select(rule_key().alias(KEY), "file_ord", "line_no", "negate", "regex")
-    matched = salted_lookup(asked, index, on=KEY, how="inner", spread="path").where(F.rlike(byte_view("_below"), F.col("regex")))
-    place = F.struct("depth", "file_ord", "line_no", "negate")
-    return matched.groupBy("path").agg(F.max(place).alias("_last")).select("path", (~F.col("_last.negate")).alias("ignored"))
+    index = usable.select(KEY, "file_ord", "line_no", "negate", "regex")
+    matched = salted_lookup(asked_keys(scoped), index, on=KEY, how="inner", spread="path").where(F.rlike(byte_view("_below"), F.col("regex")))
+    places = matched.select("path", F.struct("depth", "file_ord", F.col("line_no").cast("int").alias("line_no"), (~F.col("negate")).alias("ignored")).alias("_last"))
+    before = paths.select("path", F.struct(F.lit(-1).alias("depth"), F.lit(0).alias("file_ord"), F.lit(0).alias("line_no"), stated.alias("ignored")).alias("_last"))
+    return places.unionByName(before).groupBy("path").agg(F.max("_last").alias("_last")).where("_last.ignored").select("path")

@@ -9,7 +9,7 @@ from sheaf import fixed_values as fv
 from sheaf.functions import glob
 from sheaf.functions.text import ancestors, base_name, byte_view, col, lines, parent_dir, rows_of, trim_space
 from sheaf.operators.joins import salted_lookup
-from sheaf.operators.rule_index import found_verdicts, self_and_above
+from sheaf.operators.rule_index import all_scopes, ignored_paths, indexed, self_and_above
 from sheaf.session import drop_table, store_table
 
 TOOL_NAME = "sheaf"
@@ -99,13 +99,6 @@ def max_size_filter(files: DataFrame, limit: int = fv.MAX_FILE_BYTES) -> DataFra
 
 
 
-def _ignored_paths(paths: DataFrame, rules: DataFrame, patterns: list[str], is_dir: bool) -> DataFrame:
-    """Those of the distinct ``path``s that rules from files or, where none has a say, stated patterns ignore."""
-    # The verdicts carry the path on, so only paths without one are looked at again.
-    judged = paths.join(found_verdicts(paths, rules, is_dir), "path", "left")
-    return judged.where(F.coalesce("ignored", is_ignored("path", patterns, is_dir))).select("path")
-
-
 def nested_ignores(files: DataFrame, rules: DataFrame, patterns: list[str] = ()) -> DataFrame:
     """Apply stated ``patterns`` and the ``rules`` of ``scan_ignore_rules`` together.
 
@@ -114,17 +107,24 @@ def nested_ignores(files: DataFrame, rules: DataFrame, patterns: list[str] = ())
     Every distinct directory is judged once. Verdicts are made on paths alone; files meet the paths to drop at the end.
     """
     stated = list(patterns)
-    paths = store_table(files.select(F.col("rel_path").alias("path")).distinct())
-    dirs = paths.select(parent_dir("path").alias("dir")).distinct()
-    chain = store_table(dirs.select("dir", F.explode(F.slice(self_and_above("dir"), F.lit(2), F.size(self_and_above("dir")))).alias("path")))
-    gone = _ignored_paths(chain.select("path").distinct(), rules, stated, True)
-    gone = salted_lookup(chain, gone, on="path", how="left_semi", spread="dir").select("dir").distinct()
-    placed = paths.withColumn("dir", parent_dir("path"))
-    pruned = salted_lookup(placed, gone.withColumn("_gone", F.lit(True)), on="dir", spread="path")
-    pruned = store_table(pruned.select("path", F.col("_gone").isNotNull().alias("gone")))
-    ignored = _ignored_paths(pruned.where("not gone").select("path"), rules, stated, False)
-    dropped = store_table(pruned.where("gone").select("path").unionByName(ignored))
-    for used in (paths, chain, pruned):
+    rules = store_table(indexed(rules))
+    paths = files.select(F.col("rel_path").alias("path"), parent_dir("rel_path").alias("dir"))
+    chain = store_table(paths.select("dir").distinct().select("dir", F.posexplode(self_and_above("dir")).alias("depth", "scope_dir")))
+    dirs = chain.where("scope_dir <> ''").select(F.col("scope_dir").alias("path")).distinct()
+    gone = ignored_paths(dirs, all_scopes(dirs), rules, is_ignored("path", stated, True), True)
+    # What is known of a directory, for all below it: that it goes, that it has rules.
+    facts = gone.select(F.col("path").alias("scope_dir"), F.lit(True).alias("goes"), F.lit(False).alias("rules"))
+    facts = facts.unionByName(rules.select("scope_dir", F.lit(False).alias("goes"), F.lit(True).alias("rules")))
+    facts = facts.groupBy("scope_dir").agg(F.max("goes").alias("goes"), F.max("rules").alias("rules"))
+    known = salted_lookup(chain, facts, on="scope_dir", how="inner", spread="dir").groupBy("dir").agg(
+        F.max("goes").alias("gone"), F.array_compact(F.collect_list(F.when(F.col("rules"), F.struct("depth", "scope_dir")))).alias("scopes")
+    )
+    placed = store_table(salted_lookup(paths, known, on="dir", spread="path").select("path", F.coalesce("gone", F.lit(False)).alias("gone"), "scopes"))
+    kept = placed.where("not gone")
+    scoped = kept.select("path", F.explode("scopes").alias("_s")).select("path", "_s.*")
+    ignored = ignored_paths(kept, scoped, rules, is_ignored("path", stated), False)
+    dropped = store_table(placed.where("gone").select("path").unionByName(ignored))
+    for used in (rules, chain, placed):
         drop_table(used)
     return files.join(dropped.withColumnRenamed("path", "rel_path"), "rel_path", "left_anti").select(*files.columns)
 
@@ -134,7 +134,8 @@ def unignored_dirs(dirs: DataFrame, rules: DataFrame, patterns: list[str] = ())
 
     What lies above a directory is not looked at: a walk only comes to directories whose own were kept.
     """
-    ignored = _ignored_paths(dirs.select(F.col("rel_path").alias("path")).distinct(), rules, list(patterns), True)
+    paths = dirs.select(F.col("rel_path").alias("path")).distinct()
+    ignored = ignored_paths(paths, all_scopes(paths), indexed(rules), is_ignored("path", list(patterns), True), True)
     return dirs.join(ignored.withColumnRenamed("path", "rel_path"), "rel_path", "left_anti").select(*dirs.columns)
 
 
