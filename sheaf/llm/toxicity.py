@@ -357,13 +357,13 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
     counts = gram_counts(docs, text_col).toArrow()  # at most GRAMS rows
     letters = Letters(counts.column("gram").to_numpy(), counts.column("n").to_numpy())
     lexicon = train(docs, labels, ~held_out(id_col, parts, part), letters, id_col, text_col, label_col)
-    held = docs.sparkSession.sparkContext.broadcast((letters, lexicon))  # of bounded size
+    # Of bounded size; what a reader has decoded stays with its worker process from task to task.
+    held = docs.sparkSession.sparkContext.broadcast((Reader(letters, lexicon.words), lexicon))
     sent = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).cast("binary").alias("_text"))
     schema = T.StructType([sent.schema["_id"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
-        letters, lexicon = held.value
-        reader = Reader(letters, lexicon.words)
+        reader, lexicon = held.value
         for b in batches:
             found = [lexicon.score(reader.read(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.float64())], names=schema.names)
