@@ -70,12 +70,12 @@ def self_and_above(directory: str | Column) -> Column:
 def asked_keys(scoped: DataFrame) -> DataFrame:
     """``path, depth, _below, _key`` for each key of each ``path, depth, scope_dir``."""
     scoped = scoped.withColumn("_below", below_scope(F.col("path"), F.col("scope_dir")))
-    return scoped.select("path", "depth", "_below", F.explode(path_keys(F.col("scope_dir"), F.col("_below"))).alias(KEY))
+    return scoped.select("path", "depth", "_below", F.explode_outer(path_keys(F.col("scope_dir"), F.col("_below"))).alias(KEY))
 
 
 def all_scopes(paths: DataFrame) -> DataFrame:
     """``path, depth, scope_dir`` for every directory above a path, with rules or not."""
-    return paths.select("path", F.posexplode(self_and_above(parent_dir("path"))).alias("depth", "scope_dir"))
+    return paths.select("path", F.posexplode_outer(self_and_above(parent_dir("path"))).alias("depth", "scope_dir"))
 
 
 def ignored_paths(paths: DataFrame, scoped: DataFrame, rules: DataFrame, stated: Column, is_dir: bool) -> DataFrame:

@@ -109,7 +109,7 @@ def nested_ignores(files: DataFrame, rules: DataFrame, patterns: list[str] = ())
     stated = list(patterns)
     rules = store_table(indexed(rules))
     paths = files.select(F.col("rel_path").alias("path"), parent_dir("rel_path").alias("dir"))
-    chain = store_table(paths.select("dir").distinct().select("dir", F.posexplode(self_and_above("dir")).alias("depth", "scope_dir")))
+    chain = store_table(paths.select("dir").distinct().select("dir", F.posexplode_outer(self_and_above("dir")).alias("depth", "scope_dir")))
     dirs = chain.where("scope_dir <> ''").select(F.col("scope_dir").alias("path")).distinct()
     gone = ignored_paths(dirs, all_scopes(dirs), rules, is_ignored("path", stated, True), True)
     # What is known of a directory, for all below it: that it goes, that it has rules.
