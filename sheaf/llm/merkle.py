@@ -1,7 +1,7 @@
 """Merkle manifest of a dataset: trees of three per source, a tree over the sources, and proofs by a recursive query.
 
-Levels are built four at a time (a *band*): the nodes of ``WIDTH`` neighbours meet in one group, which is never
-larger. What is stored is one row per node at a band's foot: what stands beside it and its ancestors on the four
+Levels are built ``LEVELS`` at a time (a *band*): the nodes of ``WIDTH`` neighbours meet in one group, which is never
+larger. What is stored is one row per node at a band's foot: what stands beside it and its ancestors on these
 levels, and, by its key, the link to the node a band higher. A recursive query then climbs from every leaf, one
 band a step, appending the siblings and folding the leaf's hash.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import contextlib
 import functools
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +21,12 @@ from pyspark.sql import functions as F
 from sheaf.llm.common import running_total
 from sheaf.session import drop_table, store_table
 
-LEVELS = 4
+LEVELS = 6
 WIDTH = 3**LEVELS
-CHUNK = WIDTH * WIDTH
+CHUNK = WIDTH
 #: Name of the tree over the sources; those of sources start with another letter.
 TOP = "t"
+NO_STEP = "cast(array() as array<struct<l: binary, r: binary>>)"
 
 
 def field(value: Column) -> Column:
@@ -42,7 +44,7 @@ def _up(hashes: str) -> Column:
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
-    """One row per ``WIDTH`` neighbours of ``nodes`` (``tree, pos, h, leaves``) with the levels above them as ``h0`` to ``h4``.
+    """One row per ``WIDTH`` neighbours of ``nodes`` (``tree, pos, h, leaves``) with the levels above them as ``h0``, ``h1``, and so on.
 
     A tree's only block ends where one node is left; every other block has all its levels.
     """
@@ -67,42 +69,48 @@ def _steps(blocks: DataFrame, band: int) -> DataFrame:
     """
     levels = ", ".join(f"h{i}" for i in range(LEVELS))
     beside = f"""
-      transform(sequence(0, size(h0) - 1), s -> transform(slice(array(0, 1, 2, 3), 1, depth), k -> named_struct(
-        'l', array_join(slice(lv[k], (s div powers[k]) div 3 * 3 + 1, (s div powers[k]) % 3), ''),
-        'r', array_join(slice(lv[k], s div powers[k] + 2, 2 - (s div powers[k]) % 3), ''))))"""
-    wide = blocks.selectExpr("*", f"array({levels}) as lv", f"array({', '.join(str(3**i) for i in range(LEVELS))}) as powers")
-    wide = wide.select("tree", "block", F.posexplode(F.expr(beside)).alias("slot", "path"))
+      transform(sequence(0, size(h0) - 1), s -> transform(slice(levels, 1, depth), k -> named_struct(
+        'l', unhex(array_join(slice(lv[k], (s div powers[k]) div 3 * 3 + 1, (s div powers[k]) % 3), '')),
+        'r', unhex(array_join(slice(lv[k], s div powers[k] + 2, 2 - (s div powers[k]) % 3), '')))))"""
+    powers, numbers = ", ".join(str(3**i) for i in range(LEVELS)), ", ".join(map(str, range(LEVELS)))
+    wide = blocks.selectExpr("*", f"array({levels}) as lv", f"array({powers}) as powers", f"array({numbers}) as levels")
+    wide = wide.select("tree", "block", F.posexplode_outer(F.expr(beside)).alias("slot", "path"))
     return wide.selectExpr("tree", f"{band} as band", f"block * {WIDTH} + slot as pos", "path")
 
 
 def _copies(steps: DataFrame, nodes: DataFrame, band: int) -> DataFrame:
-    """A copy of every step for each chunk of leaves below its node; in the lowest bands that is one."""
+    """A copy of every step for each chunk of leaves below its node."""
     size = WIDTH**band
-    if size <= 1:
-        return steps.withColumn("chunk", F.expr(f"pos div {CHUNK}"))
-    below = nodes.select("tree", "pos", "leaves")
     first, last = f"pos * {size} div {CHUNK}", f"(pos * {size} + leaves - 1) div {CHUNK}"
+    below = nodes.select("tree", "pos", "leaves")
     return steps.join(below, ["tree", "pos"]).withColumn("chunk", F.explode(F.expr(f"sequence({first}, {last})"))).select(*steps.columns, "chunk")
 
 
-def build(leaves: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
-    """Steps of all bands, ``tree, subroot, leaves, top`` of every tree, and the stored tables below both.
+@dataclass
+class Tree:
+    """What is known of the levels: steps of the lowest band, steps of the others, ``tree, subroot, leaves, top`` of every tree."""
 
-    ``leaves`` has ``tree, pos, h``; positions count from 0 in each tree.
-    """
+    first: DataFrame
+    others: DataFrame
+    roots: DataFrame
+    stored: list[DataFrame]
+
+
+def build(leaves: DataFrame) -> Tree:
+    """The levels over ``leaves`` (``tree, pos, h``); positions count from 0 in each tree."""
     nodes, band = leaves.select("tree", "pos", "h", F.lit(1).cast("bigint").alias("leaves")), 0
     steps, roots, stored = [], [], []
     while True:
         blocks = store_table(_blocks(nodes))
         stored.append(blocks)
-        steps.append(_copies(_steps(blocks, band), nodes, band))
+        steps.append(_copies(_steps(blocks, band), nodes, band) if band else _steps(blocks, band))
         roots.append(blocks.where("last").select("tree", F.col("out").alias("subroot"), "leaves", F.lit(band).alias("top")))
         rest = blocks.where("not last")
         if rest.isEmpty():
             break
         nodes, band = rest.select("tree", F.col("block").alias("pos"), F.col("out").alias("h"), "leaves"), band + 1
-    joined = [functools.reduce(DataFrame.unionByName, found) for found in (steps, roots)]
-    return joined[0], joined[1], stored
+    none = steps[0].withColumn("chunk", F.lit(0).cast("bigint")).limit(0)
+    return Tree(steps[0], functools.reduce(DataFrame.unionByName, steps[1:], none), functools.reduce(DataFrame.unionByName, roots), stored)
 
 
 @contextlib.contextmanager
@@ -117,11 +125,18 @@ def whole_recursion(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def climb(leaves: DataFrame, nodes: DataFrame, kept: str, start: str, carried: list[str]) -> DataFrame:
+#: A hash in bytes after a step, and what stood beside it on the way.
+FOLD = "aggregate({path}, {h}, (a, s) -> unhex(sha2(lower(hex(concat(s.l, a, s.r))), 256)))"
+BESIDE = "aggregate({path}, cast('' as binary), (a, s) -> concat(a, s.l, s.r))"
+
+
+def climb(leaves: DataFrame, tree: Tree, nodes: DataFrame, start: str, kept: str, carried: list[str]) -> DataFrame:
     """From every row of ``leaves`` (``tree, pos, chunk, h``) to the last node above it, a stored table.
 
-    ``nodes`` has ``tree, band, pos, chunk, path, last, subroot``. ``kept`` says what to keep of the way (``n`` is
-    the node, ``c`` the climbing row), beginning with ``start``.
+    Each leaf begins with the step of its own node. ``nodes``, those above, have ``tree, band, pos, chunk, path,
+    last, subroot``; ``last`` is the step into a root, and where it is a leaf's first there is none above. ``start``
+    says what to keep of a path, ``kept`` what of a further one (``n`` is the node, ``c`` the climbing row). The nodes
+    are a fixed share of the leaves, so they are never broadcast.
     """
     own = "".join(f"{c}, " for c in carried)
     mine = "".join(f"c.{c}, " for c in carried)
@@ -130,22 +145,20 @@ def climb(leaves: DataFrame, nodes: DataFrame, kept: str, start: str, carried: l
             leaves.sparkSession.sql(
                 f"""
         with recursive climb ({own} tree, band, pos, chunk, h, kept, subroot, done) as (
-          select {own} tree, 0, pos, chunk, h, {start}, cast(null as string), false from {{leaves}}
+          select {mine} c.tree, 1, c.pos div {WIDTH}, c.chunk, {FOLD.format(path="n.path", h="c.h")}, {start}, cast(null as string), false
+          from {{leaves}} c join {{first}} n on c.tree = n.tree and c.pos = n.pos
           union all
-          select {mine} c.tree, c.band + 1, c.pos div {WIDTH}, c.chunk,
-            aggregate(n.path, c.h, (a, s) -> sha2(concat(s.l, a, s.r), 256)), {kept}, n.subroot, n.last
+          select /*+ merge(n) */ {mine} c.tree, c.band + 1, c.pos div {WIDTH}, c.chunk, {FOLD.format(path="n.path", h="c.h")}, {kept}, n.subroot, n.last
           from climb c join {{nodes}} n on c.tree = n.tree and c.band = n.band and c.pos = n.pos and c.chunk = n.chunk
           where not c.done)
         select {own} tree, h, kept, subroot from climb where done""",
                 leaves=leaves,
+                first=tree.first,
                 nodes=nodes,
             )
         )
 
 
-BESIDE = "unhex(array_join(transform(n.path, s -> concat(s.l, s.r)), ''))"
-
-
 def merkle_manifest(docs: DataFrame, columns=("doc_id", "source", "lang", "n_chars", "text"), id_col="doc_id", source_col="source") -> DataFrame:
     """One row per row of ``docs``: ``<id>, leaf, subroot, root, proof, folded_root, verified``.
 
@@ -165,28 +178,31 @@ def merkle_manifest(docs: DataFrame, columns=("doc_id", "source", "lang", "n_cha
     if placed.isEmpty():
         return _shaped(placed.select(F.col("_id"), *[F.lit("").alias(c) for c in ("leaf", "subroot", "root", "proof", "folded_root")]), id_col)
 
-    steps, trees, stored = build(placed.select("tree", "pos", F.col("_leaf").alias("h")))
+    sources = build(placed.select("tree", "pos", F.col("_leaf").alias("h")))
     # The null source's tree is "n" and those of sources start with "s": null comes first as it should.
-    trees = store_table(running_total(trees.withColumn("_one", F.lit(1)), [], ["tree"], "_one", "number").drop("_one"))
-    crown, over, more = build(trees.select(F.lit(TOP).alias("tree"), F.col("number").alias("pos"), F.col("subroot").alias("h")))
-    root = over.first().subroot  # one tree, one row
-    top = crown.join(over.select(F.col("tree"), F.col("top")), "tree").select("tree", "band", "pos", "chunk", "path", (F.col("band") == F.col("top")).alias("last"), F.lit(None).cast("string").alias("subroot"))
-    subs = trees.select(F.lit(TOP).alias("tree"), F.col("tree").alias("name"), F.col("number").alias("pos"), F.expr(f"number div {CHUNK}").alias("chunk"), F.col("subroot").alias("h"))
-    ways = climb(subs, store_table(top), "concat(c.kept, n.path)", "cast(array() as array<struct<l: string, r: string>>)", ["name"])
-    # Above a source's last band stands its way through the tree of sources, again once per chunk.
+    trees = store_table(running_total(sources.roots.withColumn("_one", F.lit(1)), [], ["tree"], "_one", "number").drop("_one"))
+    over = build(trees.select(F.lit(TOP).alias("tree"), F.col("number").alias("pos"), F.col("subroot").alias("h")))
+    root = over.roots.first()  # one tree, one row
+    # A climb ends above the last band: there, once per chunk, stands the root, or a source's way to it.
+    end = F.explode(F.expr(f"sequence(0L, (leaves - 1) div {CHUNK})")).alias("chunk")
+    above = over.others.withColumns({"last": F.lit(False), "subroot": F.lit(None).cast("string")})
+    ends = over.roots.select("tree", (F.col("top") + 1).alias("band"), F.lit(0).cast("bigint").alias("pos"), F.expr(NO_STEP).alias("path"), end, F.lit(True).alias("last"), "subroot")
+    subs = trees.select(F.lit(TOP).alias("tree"), F.col("tree").alias("name"), F.col("number").alias("pos"), F.expr(f"number div {CHUNK}").alias("chunk"), F.unhex("subroot").alias("h"))
+    ways = climb(subs, over, store_table(above.unionByName(ends)), "n.path", "concat(c.kept, n.path)", ["name"])
+
+    above = sources.others.withColumns({"last": F.lit(False), "subroot": F.lit(None).cast("string")})
     ends = trees.join(ways.select(F.col("name").alias("tree"), F.col("kept").alias("path")), "tree")
-    ends = ends.selectExpr("tree", "top + 1 as band", "0L as pos", f"explode(sequence(0L, (leaves - 1) div {CHUNK})) as chunk", "path", "true as last", "subroot")
-    steps = steps.selectExpr("tree", "band", "pos", "chunk", "path", "false as last", "cast(null as string) as subroot")
-    nodes = store_table(steps.unionByName(ends))
-
-    leaves = placed.select("_id", F.unhex("_leaf").alias("_leaf"), "tree", "pos", F.expr(f"pos div {CHUNK}").alias("chunk"), F.col("_second").alias("h"))
+    ends = ends.select("tree", (F.col("top") + 1).alias("band"), F.lit(0).cast("bigint").alias("pos"), "path", end, F.lit(True).alias("last"), "subroot")
+    nodes = store_table(above.unionByName(ends))
+    leaves = placed.select("_id", F.unhex("_leaf").alias("_leaf"), "tree", "pos", F.expr(f"pos div {CHUNK}").alias("chunk"), F.unhex("_second").alias("h"))
     # Siblings travel as bytes; at the last step only their digest is left.
-    kept = f"case when n.last then unhex(sha2(lower(hex(concat(c.kept, {BESIDE}))), 256)) else concat(c.kept, {BESIDE}) end"
-    done = climb(leaves, nodes, kept, "cast('' as binary)", ["_id", "_leaf"])
-    for used in [*stored, *more, trees, ways, nodes]:
+    beside = BESIDE.format(path="n.path")
+    kept = f"case when n.last then unhex(sha2(lower(hex(concat(c.kept, {beside}))), 256)) else concat(c.kept, {beside}) end"
+    done = climb(leaves, sources, nodes, beside, kept, ["_id", "_leaf"])
+    for used in [placed, *sources.stored, *over.stored, trees, ways, nodes]:
         drop_table(used)
-    digest = F.lower(F.hex("kept"))
-    return _shaped(done.select("_id", F.lower(F.hex("_leaf")).alias("leaf"), "subroot", F.lit(root).alias("root"), digest.alias("proof"), F.col("h").alias("folded_root")), id_col)
+    shown = {name: F.lower(F.hex(column)) for name, column in (("leaf", "_leaf"), ("proof", "kept"), ("folded_root", "h"))}
+    return _shaped(done.select("_id", shown["leaf"].alias("leaf"), "subroot", F.lit(root.subroot).alias("root"), shown["proof"].alias("proof"), shown["folded_root"].alias("folded_root")), id_col)
 
 
 def _shaped(rows: DataFrame, id_col: str) -> DataFrame:

@@ -68,25 +68,30 @@ def text_of(k):
     return None if k % 17 == 0 else "\n" if k % 13 == 0 else f"é {k}\n\nline" if k % 3 else f"no feeds {k}"
 
 
-def test_manifest_equals_a_plain_tree(spark):
-    """Sources of 1, 3, 9, 27, 81, 82 and 2,500 leaves, so trees end inside a band, at its top and above it."""
+@pytest.mark.parametrize("levels", [2, merkle.LEVELS])
+def test_manifest_equals_a_plain_tree(spark, monkeypatch, levels):
+    """Sources of 1, 3, 9, 27, 81, 82 and 900 leaves, so trees end inside a band, at its top and above it."""
+    small_bands(monkeypatch, levels, 3**levels)
     sizes = {"one": 1, "three": 3, "nine": 9, "é": 27, "full": 81, None: 82, "hot": 900}
     rows = [(k * 7 % 5003 - 40, text_of(k), None if k % 5 == 0 else "de", s, k if k % 4 else None) for s, n in sizes.items() for k in range(n)]
     assert spark_rows(spark, rows) == plain(rows)
 
 
+def small_bands(monkeypatch, levels, chunk):
+    monkeypatch.setattr(merkle, "LEVELS", levels)
+    monkeypatch.setattr(merkle, "WIDTH", 3**levels)
+    monkeypatch.setattr(merkle, "CHUNK", chunk)
+
+
 def test_upper_nodes_are_copied_by_chunk(spark, monkeypatch):
-    """With chunks of 81 leaves the hot source's upper nodes and its way to the root have many copies."""
-    monkeypatch.setattr(merkle, "CHUNK", 81)
+    """With small chunks the hot source's upper nodes and its way to the root have many copies."""
+    small_bands(monkeypatch, 4, 81)
     rows = [(k, text_of(k), "de", "hot" if k % 3 else f"s{k:04d}", k) for k in range(700)]
     assert spark_rows(spark, rows) == plain(rows)
     leaves = spark.range(700).select(F.lit("shot").alias("tree"), F.col("id").alias("pos"), F.sha2(F.col("id").cast("string"), 256).alias("h"))
-    steps, _, _ = merkle.build(leaves)
-    copies = {(r.band, r.pos): r["count"] for r in steps.groupBy("band", "pos").count().collect()}
-    assert max(copies.values()) == 1 and sum(band == 1 for band, _ in copies) == 9
-    monkeypatch.setattr(merkle, "CHUNK", 27)
-    steps, _, _ = merkle.build(leaves)
-    assert {r["count"] for r in steps.where("band = 1 and pos < 8").groupBy("pos").count().collect()} == {3}
+    small_bands(monkeypatch, 4, 27)
+    copies = {(r.band, r.pos): r["count"] for r in merkle.build(leaves).others.groupBy("band", "pos").count().collect()}
+    assert copies == {**{(1, k): 3 for k in range(8)}, (1, 8): 2}
 
 
 @pytest.mark.parametrize("extra", [False, True])
