@@ -17,11 +17,13 @@ from __future__ import annotations
 
 import functools
 import os
+from array import array
 from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,8 +33,8 @@ from sheaf.llm.common import running_total, text_or_empty
 from sheaf.session import store_table
 
 WINDOW = 4096
-#: Words that a worker remembers with their ids, in each of two generations.
-MEMORY = 400_000
+#: Words that a worker remembers with their ids.
+MEMORY = 200_000
 
 # Tokens ---------------------------------------------------------------------------------------
 
@@ -40,8 +42,9 @@ MEMORY = 400_000
 class Words:
     """Token ids of texts, as bytes of unsigned 32-bit numbers, encoded by the tokenizers library.
 
-    For vocabularies that drop white space: no token spans it, and nothing at one word's characters depends on
-    another word, so a text's ids are those of its words in turn, and a word is encoded once.
+    For vocabularies that write all letters small and drop white space: no token spans it, and nothing at one
+    word's characters depends on another word, so a text's ids are those of its words in turn, and a word is
+    encoded once. The last ``MEMORY`` to twice as many words are remembered.
     """
 
     def __init__(self, path: str):
@@ -51,27 +54,43 @@ class Words:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.new) > MEMORY:
-            self.old, self.new = self.new, {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each of these words, which are distinct."""
+        if len(self.known) > MEMORY:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
         unknown = []
         for w in words:
-            if w not in self.new:
-                if (ids := self.old.get(w)) is None:
+            if w not in known:
+                if (held := older.get(w)) is None:
                     unknown.append(w)
                 else:
-                    self.new[w] = ids
-        coded = self.library.encode_batch_fast([w.decode() for w in unknown], add_special_tokens=False)
-        for w, c in zip(unknown, coded):
-            self.new[w] = np.array(c.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
-        self.learn(set().union(*split))
-        return [b"".join([self.new[w] for w in words]) for words in split]
+                    known[w] = held
+        for w, coded in zip(unknown, self.library.encode_batch_fast(unknown, add_special_tokens=False)):
+            known[w] = array("I", coded.ids).tobytes()
+        return [known[w] for w in words]
+
+    def encode(self, texts: pa.Array, closing: int) -> list[bytes]:
+        """The ids of each text and the closing one."""
+        split = pc.ascii_split_whitespace(texts)  # the space, tab, line feed, VT, FF and CR
+        flat = split.flatten()
+        if not pc.any(pc.match_substring(flat, "<|")).as_py():  # added tokens are known by their letters' case
+            flat = pc.ascii_lower(flat)
+        coded = flat.dictionary_encode()
+        ids = [*self.ids(coded.dictionary.to_pylist()), array("I", [closing]).tobytes()]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(lengths) - lengths
+        counts = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        places = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(counts), len(ids) - 1)
+        many = lengths[places]
+        ends = np.cumsum(many)
+        taken = np.arange(many.sum()) + np.repeat(starts[places] - (ends - many), many)
+        sent = np.frombuffer(b"".join(ids), "<u4")[taken].tobytes()
+        borders = [0, *(4 * ends[np.cumsum(counts + 1) - 1]).tolist()]
+        return [sent[a:b] for a, b in zip(borders, borders[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -84,13 +103,12 @@ def token_rows(docs: DataFrame, path: str, closing: int, id_col: str, text_col:
     """``_id, n, ids``: the ids of each whole text and the closing one, four bytes each."""
     sent = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     schema = T.StructType([sent.schema["_id"], T.StructField("n", T.LongType()), T.StructField("ids", T.BinaryType())])
-    end = np.array([closing], "<u4").tobytes()
 
     def run(batches):
         words = words_of(path)
         for b in batches:
             for part in in_slices(b, 1):
-                ids = [i + end for i in words.encode(part.column(1).to_pylist())]
+                ids = words.encode(part.column(1), closing)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary())], names=schema.names)
 
     return sent.mapInArrow(run, schema)

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -97,11 +98,13 @@ def test_words_are_encoded_as_in_their_texts(monkeypatch):
     texts = STRANGE + ["".join(rng.choice("aB'sé \ń<|>Σ1_") for _ in range(60)) for _ in range(300)]
     texts += [" ".join(rng.sample(STRANGE, 5)) for _ in range(50)]
     whole_texts = library()
-    want = [np.array(whole_texts.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert packing.Words(PATH).encode(texts) == want
+    want = [np.array(whole_texts.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes() for t in texts]
+    assert packing.Words(PATH).encode(pa.array(texts), 2) == want
+    plain = [k for k, t in enumerate(texts) if "<|" not in t]
+    assert packing.Words(PATH).encode(pa.array([texts[k] for k in plain]), 2) == [want[k] for k in plain]
     monkeypatch.setattr(packing, "MEMORY", 20)
     small = packing.Words(PATH)
-    assert [small.encode([t])[0] for t in texts] == want
+    assert [small.encode(pa.array([t]), 2)[0] for t in texts] == want
 
 
 def whole(rows, texts, window):
