@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,11 @@ class Letters:
             p = (c + 5 * p) / (c.sum(1, keepdims=True) + 5)
         self.log = np.log(p).astype(np.float32).ravel()
 
+    @functools.cached_property
+    def listed(self) -> list[float]:
+        """The same numbers as Python's, which single look-ups read faster; made where they are used, never sent."""
+        return self.log.tolist()
+
 
 # Channel ----------------------------------------------------------------------------------
 
@@ -99,49 +105,113 @@ LEET = {
 STANDS, DROPPED, KEPT, TWICE_OF_MANY, ONCE_OF_MANY, ONCE_OF_TWO, WORD_END = -0.7, -0.4, -3.0, -1.2, -0.3, -2.0, -0.5
 
 
-def lattice(text: str) -> list[list[tuple[str, float]]]:
-    """For each run of one character what it may have been, with the channel's log probability.
+Way = tuple[str, float, tuple[int, ...]]
+
+
+def ways(*written: tuple[str, float]) -> list[Way]:
+    """What was written, the channel's log probability and the symbols."""
+    return [(text, cost, tuple(map(_symbol, text))) for text, cost in written]
+
+
+@functools.lru_cache(maxsize=10_000)
+def column(c: str, n: int) -> list[Way]:
+    """What a run of a character may have been; ``n`` of 3 stands for more, too.
 
     A letter is itself, once or twice if it is repeated; a sign stands for letters, was put in, or bounds words.
     """
-    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(.)\1*", text, re.DOTALL)]
-    columns = []
-    for c, n in runs:
-        if c.isalpha() and c not in LEET:
-            columns.append([(c, 0.0)] if n == 1 else [(c, ONCE_OF_TWO if n == 2 else ONCE_OF_MANY), (c * 2, 0.0 if n == 2 else TWICE_OF_MANY)])
-            continue
-        ways = [(x, STANDS) for x in LEET.get(c, "")]
-        if n > 1:
-            ways += [(x * 2, STANDS * 2) for x in LEET.get(c, "")]
-        columns.append([*ways, ("", DROPPED if not ways else DROPPED - 2), (" ", KEPT)])
-    return columns
-
-
-def decode(text: str, model: Letters, letters_apart: bool = False) -> str:
+    if c.isalpha() and c not in LEET:
+        return ways((c, 0.0)) if n == 1 else ways((c, ONCE_OF_TWO if n == 2 else ONCE_OF_MANY), (c * 2, 0.0 if n == 2 else TWICE_OF_MANY))
+    stands = [(x, STANDS) for x in LEET.get(c, "")]
+    if n > 1:
+        stands += [(x * 2, STANDS * 2) for x in LEET.get(c, "")]
+    return ways(*stands, ("", DROPPED if not stands else DROPPED - 2), (" ", KEPT))
+
+
+def lattice(text: str) -> list[list[Way]]:
+    """A column for each run of one character."""
+    return [column(m[1], min(len(m[0]), 3)) for m in _RUNS.finditer(text)]
+
+
+_RUNS = re.compile(r"(.)\1*", re.DOTALL)
+_BORDER = ways(("", 0.0), (" ", WORD_END))
+_END = ways((" ", 0.0))
+
+
+#: log p of a word of the lexicon, written whole at the start of a word: what a word list says in place of the letters.
+LISTED = -10.0
+
+
+def word_tree(words) -> dict:
+    """Words as nested dicts by letter; at a word's end the empty letter has the word."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = w
+    return tree
+
+
+def listed_words(columns: list[list[Way]], at: int, tree: dict):
+    """``end, word, cost``: the words of the tree that columns from ``at`` to before ``end`` may have been."""
+    nodes = {id(tree): (tree, 0.0)}
+    for end in range(at, len(columns)):
+        new: dict[int, tuple[dict, float]] = {}
+        for node, cost in nodes.values():
+            for written, price, _ in columns[end]:
+                to = node
+                for c in written:
+                    to = to.get(c)
+                    if to is None:
+                        break
+                if to is not None and (id(to) not in new or cost + price > new[id(to)][1]):
+                    new[id(to)] = to, cost + price
+        if not new:
+            return
+        nodes = new
+        for node, cost in nodes.values():
+            if "" in node:
+                yield end + 1, node[""], cost
+
+
+def decode(text: str | list[str], model: Letters, letters_apart: bool = False, tree: dict | None = None) -> str:
     """The likeliest original of ``text``: Viterbi over the lattice; a state is the last three symbols.
 
-    Between letters that stood apart a word may end.
+    Between letters that stood apart, and between the parts of a list, a word may end. A word of ``tree`` is a path,
+    too: where a word starts it may be taken whole for ``LISTED`` instead of its letters' cost.
     """
-    columns = lattice(text)
-    if letters_apart:
-        columns = [way for c in columns for way in (c, [("", 0.0), (" ", WORD_END)])]
-    log = model.log
+    if isinstance(text, str):
+        columns = lattice(text)
+        if letters_apart:
+            columns = [way for c in columns for way in (c, _BORDER)]
+    else:
+        columns = [way for part in text for way in (*lattice(part), _BORDER)][:-1]
+    columns.append(_END)
+    log = model.listed
     start = (BOUND * SYMBOLS + BOUND) * SYMBOLS + BOUND
-    states: dict[int, tuple[float, tuple]] = {start: (0.0, ())}
-    for ways in [*columns, [(" ", 0.0)]]:
-        new: dict[int, tuple[float, tuple]] = {}
+    ahead: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(len(columns) + 1)]
+    ahead[0][start] = 0.0, ()
+    for at, choices in enumerate(columns):
+        states, new = ahead[at], ahead[at + 1]
+        ahead[at] = None
         for state, (score, back) in states.items():
-            for written, cost in ways:
+            for written, cost, symbols in choices:
                 s, total = state, score + cost
-                for c in written:
-                    k = _symbol(c)
+                for k in symbols:
                     if k != BOUND or s != start:
-                        total += float(log[s * SYMBOLS + k])
+                        total += log[s * SYMBOLS + k]
                         s = start if k == BOUND else s * SYMBOLS % SYMBOLS**3 + k
                 if s not in new or total > new[s][0]:
                     new[s] = total, (back, written)
-        states = new
-    _, back = max(states.values(), key=lambda x: x[0])
+        if tree and start in states:
+            score, back = states[start]
+            for end, word, cost in listed_words(columns[:-1], at, tree):
+                s, total = start, score + cost + LISTED
+                for c in word[-3:]:
+                    s = s * SYMBOLS % SYMBOLS**3 + _symbol(c)
+                if s not in ahead[end] or total > ahead[end][s][0]:
+                    ahead[end][s] = total, (back, word)
+    _, back = max(ahead[-1].values(), key=lambda x: x[0])
     parts = []
     while back:
         back, written = back
@@ -156,66 +226,73 @@ _EDGES = "".join(c for c in _AROUND if c not in LEET)
 
 def _core(word: str) -> str:
     """The word without what stands around it."""
-    return re.sub(r"\${2,}$", "", word.strip(_AROUND)).strip(_AROUND)
-
+    return _MONEY.sub("", word.strip(_AROUND)).strip(_AROUND)
 
-def _hidden(core: str) -> bool:
-    """Letters among signs, or a letter several times in a row."""
-    if not re.search(r"[^\W\d_]", core):
-        return False
-    return bool(re.search(r"[^\w']|[\d_]|([^\W\d_])\1", core))
 
+_MONEY = re.compile(r"\${2,}$")
+_LETTER = re.compile(r"[^\W\d_]")
+_ODD = re.compile(r"[^\w']|[\d_]|([^\W\d_])\1")
+_ENDS = re.compile(r"^[\W_]+|[\W_]+$")
+_DOUBLED = re.compile(rb"([a-z])\1")
 
-def spaced(words: list[bytes]) -> list[str]:
-    """Letters written one by one: runs of three or more words of one character, whatever stands around it.
 
-    In a run whose words are all one letter repeated equally often, it counts once.
-    """
-    found = []
-    for run in _short(words, 12, 3):
-        chunks: list[str] = []
-        for w in [*run, b"  "]:
-            c = _bare(w)
-            if c and c == c[0] * len(c) and len(c) <= 3 and (not chunks or len(c) == len(chunks[0])):
-                chunks.append(c)
-                continue
-            if len(chunks) >= 3:
-                found.append("".join(x[0] for x in chunks))
-            chunks = [c] if c and c == c[0] * len(c) and len(c) <= 3 else []
-    return found
+def _hidden(core: str) -> bool:
+    """Letters among signs, or a letter several times in a row."""
+    return bool(_LETTER.search(core) and _ODD.search(core))
 
 
 def _bare(word: bytes) -> str:
     """A word without the signs around it, which stay where nothing else is."""
     text = word.decode("utf-8", "replace")
-    return (text.strip(_EDGES) or text)[:4] if len(text) > 1 else text
+    return text.strip(_EDGES) or text if len(text) > 1 else text
 
 
-def _short(words: list[bytes], most: int, least: int):
-    """Runs of ``least`` or more words of at most ``most`` bytes."""
-    if len(words) < least:
-        return
-    short = np.fromiter(map(len, words), np.int64, len(words)) <= most
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], short, [False]]).astype(np.int8)))
-    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
-        if b - a >= least:
-            yield words[a:b]
+#: A chunk is a word of one to three characters, signs around it apart.
+CHUNK = 3
+
+
+def chunk_runs(chunks: list[str | None]) -> list[tuple[int, int]]:
+    """From where to where neighbouring words are chunks."""
+    short = np.fromiter((c is not None for c in chunks), bool, len(chunks))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], short, [False]]).astype(np.int8))).tolist()
+    return list(zip(edges[::2], edges[1::2]))
+
+
+def spaced(chunks: list[str]) -> list[str]:
+    """Letters written one by one: three or more neighbouring chunks of one character each, repeated equally often; it counts once."""
+    found, run, size = [], [], 0
+    for c in [*chunks, ""]:
+        n = len(c) if c and c == c[0] * len(c) else 0
+        if n != size:
+            if size and len(run) >= 3:
+                found.append("".join(run))
+            run, size = [], n
+        if n:
+            run.append(c[0])
+    return found
 
 
 _PLAIN = str.maketrans({c: x[0] for c, x in LEET.items()})
 
 
-def chunked(words: list[bytes]):
-    """What two to five neighbouring words of one to three characters spell together."""
-    for run in _short(words, 9, 2):
-        chunks = [c.translate(_PLAIN) if len(c) < 4 else "" for c in map(_bare, run)]
-        for at, c in enumerate(chunks):
-            for more in chunks[at + 1 : at + 5]:
-                if not c or not more:
-                    break
-                c += more
-                if len(c) > 3:
-                    yield c.lower()
+def plain(word: str) -> bytes:
+    """The word in small letters, each sign as the first letter it stands for."""
+    return word.translate(_PLAIN).lower().encode()
+
+
+def chunked(spelled: list[bytes], sizes: list[int], wanted) -> list[tuple[int, int]]:
+    """From where to where two to five neighbouring chunks spell a word of more than three characters in ``wanted``.
+
+    ``spelled`` has the chunks in plain spelling, ``sizes`` their characters.
+    """
+    found, crc = [], zlib.crc32
+    for at in range(len(spelled) - 1):
+        name, n = crc(spelled[at]), sizes[at]
+        for end in range(at + 1, min(at + 5, len(spelled))):
+            name, n = crc(spelled[end], name), n + sizes[end]
+            if name | 1 in wanted and n > CHUNK:
+                found.append((at, end + 1))
+    return found
 
 
 # Features ---------------------------------------------------------------------------------
@@ -223,47 +300,98 @@ def chunked(words: list[bytes]):
 
 def word_features(word: str) -> list[int]:
     """Names, as numbers of 32 bits, of a word (odd) and of its beginnings (even), which inflected words share."""
-    if len(word) < 3:
+    n = len(word)
+    if n < 3:
         return []
-    beginnings = (word[:n] for n in (4, 5, 6) if len(word) >= n)
-    return [zlib.crc32(word.encode()) | 1, *(zlib.crc32(f"{b}-".encode()) & ~1 for b in beginnings)]
+    names = [zlib.crc32(word.encode()) | 1]
+    for size in (4, 5, 6):
+        if n >= size:
+            names.append(zlib.crc32(b"-", zlib.crc32(word[:size].encode())) & ~1)
+    return names
 
 
 class Reader(dict):
     """Features of tokens, as written and as restored. Maps a token to those in ``wanted`` (None: all)."""
 
-    def __init__(self, letters: Letters, wanted: dict[int, tuple[float, float]] | None = None, most: int = 400_000):
+    def __init__(self, letters: Letters, wanted: dict[int, tuple[float, float]] | None = None, most: int = 400_000, tree: dict | None = None):
         super().__init__()
-        self.letters, self.wanted, self.most = letters, wanted, most
+        self.letters, self.wanted, self.most, self.tree = letters, wanted, most, tree
+        #: Of each token in this reader its plain spelling; the chunk, if it is one; of each text that was decoded, its features.
+        self.spelled: dict[bytes, bytes] = {}
+        self.chunks: dict[bytes, str] = {}
+        self.decoded: dict[str, tuple[int, ...]] = {}
 
     def select(self, features) -> tuple[int, ...]:
-        return tuple(f for f in set(features) if self.wanted is None or f in self.wanted)
+        if self.wanted is None:
+            return tuple(set(features))
+        kept = [f for f in features if f in self.wanted]
+        return tuple(set(kept)) if kept else ()
+
+    def restored(self, text: str | list[str], letters_apart: bool = False) -> list[int]:
+        return [f for w in decode(text, self.letters, letters_apart, self.tree).split() for f in word_features(w)]
 
-    def restored(self, text: str, letters_apart: bool = False) -> list[int]:
-        return [f for w in decode(text, self.letters, letters_apart).split() for f in word_features(w)]
+    def core_features(self, core: str) -> tuple[int, ...]:
+        if (found := self.decoded.get(core)) is None:
+            found = self.decoded[core] = self.select(self.restored(core))
+        return found
 
     def __missing__(self, token: bytes) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        word = token.decode("utf-8", "replace").lower()
-        found = word_features(re.sub(r"^[\W_]+|[\W_]+$", "", word))
-        # With and without the signs at its ends that may be letters.
-        for core in {_core(word), word.strip(_EDGES)}:
-            if _hidden(core):
-                found += self.restored(core)
-        self[token] = kept = self.select(found)
+        bare = token.decode() if token.isalnum() else _bare(token)
+        if len(bare) <= CHUNK:
+            self.chunks[token] = bare
+        if token.isalpha():  # of ASCII: it has no signs at its ends and hides only what doubled letters hide
+            low = token.lower()
+            word = low.decode()
+            cores = (word,) if _DOUBLED.search(low) else ()
+            self.spelled[token] = token if low == token else low
+        else:
+            full = token.decode("utf-8", "replace").lower()
+            word = _ENDS.sub("", full)
+            # With and without the signs at its ends that may be letters.
+            cores = [core for core in {_core(full), full.strip(_EDGES)} if _hidden(core)]
+            self.spelled[token] = plain(bare)
+        kept = self.select(word_features(word))
+        if cores:
+            kept = tuple({*kept, *(f for core in cores for f in self.core_features(core))})
+        self[token] = kept
         return kept
 
+    def across(self, words: list[bytes]):
+        """Features of what neighbouring words spell together: letters one by one, chunks, and a chunk beside a longer word.
+
+        Letters one by one are all decoded. Of the others those are decoded whose plain spelling counts, and count if
+        the likeliest reading joins them.
+        """
+        chunks, spelled = list(map(self.chunks.get, words)), list(map(self.spelled.__getitem__, words))
+        wanted, crc = self.wanted, zlib.crc32
+        for a, b in chunk_runs(chunks):
+            if b - a >= 3:
+                for letters in spaced(chunks[a:b]):
+                    yield from self.restored(letters.lower(), True)
+            if not wanted:  # until it is known which words count
+                continue
+            joined = []
+            if b - a >= 2:
+                joined += [(a + i, a + k) for i, k in chunked(spelled[a:b], list(map(len, chunks[a:b])), wanted)]
+            if a and crc(spelled[a], crc(spelled[a - 1])) | 1 in wanted:
+                joined.append((a - 1, a + 1))
+            if b < len(words) and crc(spelled[b], crc(spelled[b - 1])) | 1 in wanted:
+                joined.append((b - 1, b + 1))
+            for i, k in joined:
+                yield from self.restored([_bare(w).lower() for w in words[i:k]])
+
     def read(self, text: bytes) -> set[int]:
+        if len(self) >= self.most:
+            self.clear()
+            self.spelled.clear()
+            self.chunks.clear()
+            self.decoded.clear()
         words = text.split()
         found: set[int] = set()
         for w in set(words):
             if f := self[w]:
                 found.update(f)
-        for run in set(spaced(words)):
-            found.update(self.select(self.restored(run.lower(), True)))
-        if self.wanted:  # as words alone, once it is known which ones count
-            found.update(f for c in chunked(words) if (f := zlib.crc32(c.encode()) | 1) in self.wanted)
+        found.update(self.select(self.across(words)))
         return found
 
 
@@ -281,6 +409,8 @@ class Lexicon:
 
     bias: float
     words: dict[int, tuple[float, float]]
+    #: The words themselves, of more than three letters, as the labelled rows spell them.
+    spelled: tuple[str, ...] = ()
 
     def score(self, found: set[int]) -> float:
         z = self.bias + sum(self.words[f][0] for f in found)
@@ -342,7 +472,24 @@ def train(docs: DataFrame, labels: DataFrame, usable, letters: Letters, id_col="
     # A repeated id brings more rows than the sample has ids: the limit holds for rows too.
     got = sent.mapInArrow(run, "label int, found binary").limit(limit).toArrow()
     got = sorted(zip(got.column("found").to_pylist(), got.column("label").to_pylist()))
-    return fit([np.frombuffer(f, np.uint32) for f, _ in got], np.array([x for _, x in got], float))
+    lexicon = fit([np.frombuffer(f, np.uint32) for f, _ in got], np.array([x for _, x in got], float))
+    return replace(lexicon, spelled=spelled_words(sent.select("_text"), lexicon.words))
+
+
+def spelled_words(texts: DataFrame, names) -> tuple[str, ...]:
+    """The words of more than three letters that features are named after; as many as there are names, but for equal checksums."""
+    names = frozenset(names)
+
+    def run(batches):
+        found = set()
+        for b in batches:
+            for token in {t for text in b.column(0).to_pylist() for t in text.split()}:
+                word = _ENDS.sub("", token.decode("utf-8", "replace").lower())
+                if len(word) > CHUNK and word.isalpha() and zlib.crc32(word.encode()) | 1 in names:
+                    found.add(word)
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["word"])
+
+    return tuple(sorted(r.word for r in texts.mapInArrow(run, "word string").distinct().collect())) if names else ()
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", parts: int = 5, part: int = 0) -> DataFrame:
@@ -358,7 +505,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_co
     letters = Letters(counts.column("gram").to_numpy(), counts.column("n").to_numpy())
     lexicon = train(docs, labels, ~held_out(id_col, parts, part), letters, id_col, text_col, label_col)
     # Of bounded size; what a reader has decoded stays with its worker process from task to task.
-    held = docs.sparkSession.sparkContext.broadcast((Reader(letters, lexicon.words), lexicon))
+    held = docs.sparkSession.sparkContext.broadcast((Reader(letters, lexicon.words, tree=word_tree(lexicon.spelled)), lexicon))
     sent = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).cast("binary").alias("_text"))
     schema = T.StructType([sent.schema["_id"], T.StructField("score", T.DoubleType())])
 

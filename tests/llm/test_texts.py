@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -103,6 +104,116 @@ def test_language_model_is_a_distribution_and_counts_whole_texts(spark):
     assert toxicity.gram_counts(documents(spark, [])).agg(F.sum("n")).first()[0] in (None, 3, 6)
 
 
+def spaced_letters(text):
+    words = list(map(toxicity._bare, text.encode().split()))
+    return toxicity.spaced([w if len(w) <= toxicity.CHUNK else "" for w in words])
+
+
+def all_paths(columns, log, words):
+    """The best of all paths: every way of every column, and every word where it may stand."""
+    start = (toxicity.BOUND * 28 + toxicity.BOUND) * 28 + toxicity.BOUND
+    best = [-1e9, ""]
+
+    def go(at, state, score, text):
+        if at == len(columns):
+            if score > best[0]:
+                best[:] = score, text
+            return
+        for written, cost, _ in columns[at]:
+            s, total = state, score + cost
+            for c in written:
+                k = toxicity._symbol(c)
+                if k != toxicity.BOUND or s != start:
+                    total += float(log[s * 28 + k])
+                    s = start if k == toxicity.BOUND else s * 28 % 28**3 + k
+            go(at + 1, s, total, text + written)
+        if state == start:
+            spelled = {"": 0.0}
+            for end in range(at, len(columns) - 1):
+                new = {}
+                for before, cost in spelled.items():
+                    for written, price, _ in columns[end]:
+                        if " " not in written:
+                            new[before + written] = max(new.get(before + written, -1e9), cost + price)
+                spelled = new
+                for w in words & set(spelled):
+                    s = start
+                    for c in w:
+                        s = s * 28 % 28**3 + toxicity._symbol(c)
+                    go(end + 1, s, score + toxicity.LISTED + spelled[w], text + w)
+
+    go(0, start, 0.0, "")
+    return best[1]
+
+
+def test_decoding_finds_the_best_of_all_paths(spark):
+    rng = random.Random(3)
+    model = letters("the idiot and the moron told a worthless story to the stupid clown in the trash " * 50)
+    for words in (set(), {"clown", "scum", "losers"}):
+        tree = toxicity.word_tree(words)
+        for _ in range(150):
+            text = "".join(rng.choice("cl0owns$!u|m") * rng.choice([1, 1, 1, 2, 3]) for _ in range(rng.randint(1, 6)))
+            columns = [*toxicity.lattice(text), toxicity._END]
+            assert toxicity.decode(text, model, tree=tree) == all_paths(columns, model.log, words)
+        for hidden in ("(lown", "$cuum", "l0ssers"):
+            assert toxicity.decode(hidden, model, tree=tree) == all_paths([*toxicity.lattice(hidden), toxicity._END], model.log, words)
+        for parts in (["cl", "ow", "n"], ["los", "er", "s"], ["s", "cum"]):
+            columns = [c for p in parts for c in (*toxicity.lattice(p), toxicity._BORDER)][:-1]
+            assert toxicity.decode(parts, model, tree=tree) == all_paths([*columns, toxicity._END], model.log, words)
+
+
+def obfuscated():
+    """``kind, word, hidden word``: each of ten words four times in each of ten kinds."""
+    rng = random.Random(1)
+    digits, signs = str.maketrans("oieastgb", "01345798"), str.maketrans("asitcl", "@$!+(|")
+
+    def chunks(w):
+        cuts = [0]
+        while cuts[-1] < len(w):
+            cuts.append(min(len(w), cuts[-1] + rng.randint(1, 3)))
+        return " ".join(w[a:b] for a, b in zip(cuts, cuts[1:]))
+
+    def repeated(w, n):
+        at = rng.randrange(len(w))
+        return w[:at] + w[at] * n + w[at + 1 :]
+
+    def halves(w):
+        at = rng.choice([1, 2, 3, len(w) - 3, len(w) - 2, len(w) - 1])
+        return f"{w[:at]} {w[at:]}"
+
+    kinds = {
+        "digits": lambda w: w.translate(digits), "signs": lambda w: w.translate(signs), "spaced": " ".join, "spaced digits": lambda w: " ".join(w.translate(digits)),
+        "hyphens": "-".join, "doubled": lambda w: repeated(w, 2), "tripled": lambda w: repeated(w, 3), "all doubled": lambda w: "".join(c * 2 for c in w), "chunks": chunks, "halves": halves,
+    }
+    for kind, hide in kinds.items():
+        for w in TOXIC_WORDS * 4:
+            yield kind, w, hide(w)
+
+
+TOXIC_WORDS = "idiot clown worthless loser scum garbage stupid moron trash pathetic".split()
+
+
+def test_nine_of_ten_hidden_words_of_each_kind_are_restored(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = toxicity.gram_counts(texts).toArrow()
+    model = toxicity.Letters(got.column("gram").to_numpy(), got.column("n").to_numpy())
+    names = {w: zlib.crc32(w.encode()) | 1 for w in TOXIC_WORDS}
+    reader = toxicity.Reader(model, {n: (1.0, 0.9) for n in names.values()}, tree=toxicity.word_tree(TOXIC_WORDS))
+    hits = {}
+    for kind, w, hidden in obfuscated():
+        hits.setdefault(kind, []).append(reader.read(f"the house {hidden} garden".encode()) == {names[w]})
+    assert {kind: sum(h) >= 36 for kind, h in hits.items()} == dict.fromkeys(hits, True)
+    assert not reader.read("the closer house was worth less, so a trashy looking garden".encode())
+
+
+def test_a_small_reader_reads_the_same(spark):
+    model = letters("the idiot and the moron told a story " * 50)
+    wanted = {zlib.crc32(w.encode()) | 1: (1.0, 0.9) for w in TOXIC_WORDS}
+    large, small = toxicity.Reader(model, wanted), toxicity.Reader(model, wanted, most=3)
+    for text in ("the 1d10t said", "", "id iot", "the garden", "a m o r o n", "clow n and lose r", "moron"):
+        assert large.read(text.encode()) == small.read(text.encode())
+
+
 def test_channel_restores_what_was_hidden(spark):
     model = letters("the idiot and the moron told a worthless story to the stupid clown in the trash scum " * 200)
     hidden = "1d10t m0r0n $tup1d w0rthl3ss tr@sh i.d.i.o.t s-c-u-m idiiiot stuuupid cl0wn st!upid"
@@ -110,7 +221,7 @@ def test_channel_restores_what_was_hidden(spark):
     for a, b in zip(hidden.split(), plain.split()):
         assert toxicity._hidden(toxicity._core(a)) or a == b
         assert a == "st!upid" or toxicity.decode(a, model).strip() == b
-    assert [toxicity.decode(s, model, True).strip() for s in toxicity.spaced(b"you i d i o t and a c l 0 w n".split())] == ["idiot", "a clown"]
+    assert [toxicity.decode(s, model, True).strip() for s in spaced_letters("you i d i o t and a c l 0 w n")] == ["idiot", "a clown"]
     assert toxicity.decode("worthless", model).strip() == "worthless"
 
 
@@ -155,7 +266,7 @@ def test_repeats_and_spacing_of_every_kind(spark):
     planted = ["iddiot", "scumm", "lloser", "i d i o t.", '"i d i o t"', "id iot", "ii dd ii oo tt", "the sea", "a b c"]
     got = scored(spark, planted)
     assert got[:7] == [1] * 7 and got[7:] == [0] * 2
-    assert toxicity.spaced("id\u00ef \u20ac i \u00e9 t".encode().split()) == ["\u20aci\u00e9t"]
+    assert spaced_letters("id\u00ef \u20ac i \u00e9 t") == ["\u20aci\u00e9t"]
 
 
 # BPE --------------------------------------------------------------------------------------
