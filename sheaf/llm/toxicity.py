@@ -251,9 +251,9 @@ def _bare(word: bytes) -> str:
 CHUNK = 3
 
 
-def chunk_runs(chunks: list[str | None]) -> list[tuple[int, int]]:
+def chunk_runs(words: list[bytes], chunks) -> list[tuple[int, int]]:
     """From where to where neighbouring words are chunks."""
-    short = np.fromiter((c is not None for c in chunks), bool, len(chunks))
+    short = np.fromiter(map(chunks.__contains__, words), bool, len(words))
     edges = np.flatnonzero(np.diff(np.concatenate([[False], short, [False]]).astype(np.int8))).tolist()
     return list(zip(edges[::2], edges[1::2]))
 
@@ -287,11 +287,11 @@ def chunked(spelled: list[bytes], sizes: list[int], wanted) -> list[tuple[int, i
     """
     found, crc = [], zlib.crc32
     for at in range(len(spelled) - 1):
-        name, n = crc(spelled[at]), sizes[at]
-        for end in range(at + 1, min(at + 5, len(spelled))):
-            name, n = crc(spelled[end], name), n + sizes[end]
-            if name | 1 in wanted and n > CHUNK:
-                found.append((at, end + 1))
+        name = crc(spelled[at])
+        for end, more in enumerate(spelled[at + 1 : at + 5], at + 2):
+            name = crc(more, name)
+            if name | 1 in wanted and sum(sizes[at:end]) > CHUNK:
+                found.append((at, end))
     return found
 
 
@@ -303,10 +303,12 @@ def word_features(word: str) -> list[int]:
     n = len(word)
     if n < 3:
         return []
-    names = [zlib.crc32(word.encode()) | 1]
+    sent = word.encode()
+    names = [zlib.crc32(sent) | 1]
     for size in (4, 5, 6):
         if n >= size:
-            names.append(zlib.crc32(b"-", zlib.crc32(word[:size].encode())) & ~1)
+            beginning = sent[:size] if len(sent) == n else word[:size].encode()
+            names.append(zlib.crc32(b"-", zlib.crc32(beginning)) & ~1)
     return names
 
 
@@ -362,20 +364,20 @@ class Reader(dict):
         Letters one by one are all decoded. Of the others those are decoded whose plain spelling counts, and count if
         the likeliest reading joins them.
         """
-        chunks, spelled = list(map(self.chunks.get, words)), list(map(self.spelled.__getitem__, words))
-        wanted, crc = self.wanted, zlib.crc32
-        for a, b in chunk_runs(chunks):
+        chunks, spelled, wanted, crc = self.chunks, self.spelled, self.wanted, zlib.crc32
+        for a, b in chunk_runs(words, chunks):
+            run = [chunks[w] for w in words[a:b]] if b - a > 1 else []
             if b - a >= 3:
-                for letters in spaced(chunks[a:b]):
+                for letters in spaced(run):
                     yield from self.restored(letters.lower(), True)
             if not wanted:  # until it is known which words count
                 continue
             joined = []
-            if b - a >= 2:
-                joined += [(a + i, a + k) for i, k in chunked(spelled[a:b], list(map(len, chunks[a:b])), wanted)]
-            if a and crc(spelled[a], crc(spelled[a - 1])) | 1 in wanted:
+            if run:
+                joined += [(a + i, a + k) for i, k in chunked([spelled[w] for w in words[a:b]], list(map(len, run)), wanted)]
+            if a and crc(spelled[words[a]], crc(spelled[words[a - 1]])) | 1 in wanted:
                 joined.append((a - 1, a + 1))
-            if b < len(words) and crc(spelled[b], crc(spelled[b - 1])) | 1 in wanted:
+            if b < len(words) and crc(spelled[words[b]], crc(spelled[words[b - 1]])) | 1 in wanted:
                 joined.append((b - 1, b + 1))
             for i, k in joined:
                 yield from self.restored([_bare(w).lower() for w in words[i:k]])
