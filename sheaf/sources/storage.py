@@ -6,7 +6,7 @@ import os
 import re
 import stat
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyarrow import fs
 
@@ -87,6 +87,39 @@ def remove_file(location: str) -> None:
         system.delete_file(path)
 
 
+def move_file(location: str, target: str) -> None:
+    """Give a file its last name; when it already has it, that is no error, so that a task may be repeated."""
+    system, path = open_storage(location)
+    _, to = open_storage(target)
+    system.create_dir(os.path.dirname(to), recursive=True)
+    try:
+        system.move(path, to)
+    except OSError:
+        kinds = [i.type for i in system.get_file_info([path, to])]
+        if kinds != [fs.FileType.NotFound, fs.FileType.File]:
+            raise
+
+
+CHUNK_BYTES = 8 << 20
+
+
+def chunks_of(location: str) -> Iterator[bytes]:
+    system, path = open_storage(location)
+    with system.open_input_stream(path) as f:
+        while chunk := f.read(CHUNK_BYTES):
+            yield chunk
+
+
+def write_at(location: str, at: int, chunks: Iterable[bytes]) -> None:
+    """Write into a file from byte ``at`` on, leaving its other bytes; for mounted storage alone."""
+    path = local_path(location)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(os.open(path, os.O_CREAT | os.O_WRONLY, 0o666), "wb") as f:
+        f.seek(at)
+        for chunk in chunks:
+            f.write(chunk)
+
+
 class StagedFile:
     """Write under a passing name, then rename: a repeated or lost task leaves no half file."""
 
@@ -102,3 +135,19 @@ class StagedFile:
     def commit(self) -> None:
         self.stream.close()
         self.system.move(self.passing, self.path)
+
+
+class PassingFile:
+    """A file in a run's own folder, under a name of its own: a repeated or lost task leaves nothing that counts."""
+
+    def __init__(self, folder: str, name: str | None = None):
+        self.location = f"{folder}/{name or uuid.uuid4().hex}"
+        system, path = open_storage(self.location)
+        system.create_dir(os.path.dirname(path), recursive=True)
+        self.stream = system.open_output_stream(path)
+
+    def write(self, data: bytes) -> None:
+        self.stream.write(data)
+
+    def close(self) -> None:
+        self.stream.close()

@@ -321,3 +321,60 @@ def test_the_scanned_corpus_is_stored_once_and_deleted(spark):
     gone = store_table(spark.range(7))
     drop_table(gone)
     assert kept.count() == 5 and not any(os.path.exists(f.removeprefix("file:").replace("//", "/")) for f in gone.inputFiles())
+
+
+def files_in(folder):
+    return {str(p.relative_to(folder)): p.read_bytes() for p in folder.rglob("*") if p.is_file() and not any(x[0] in "._" for x in p.relative_to(folder).parts)}
+
+
+def parts_of(spark, names, content):
+    rows = [(n, 0, 1, f"{content} {n}".encode()) for n in names]
+    return spark.createDataFrame(rows, "pack string, part_no int, n_parts int, content binary")
+
+
+def test_a_task_that_fails_leaves_the_old_pack_whole(spark, tmp_path):
+    sinks.write_packs(parts_of(spark, "abcd", "old"), str(tmp_path), "p.txt")
+    old = files_in(tmp_path)
+    bad = parts_of(spark, "abce", "new").repartition(4, "pack").withColumn(
+        "content", F.when(F.col("pack") == "c", F.raise_error(F.lit("lost")).cast("binary")).otherwise(F.col("content"))
+    )
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_packs(bad, str(tmp_path), "p.txt")
+    assert files_in(tmp_path) == old == {f"{n}/p.txt": f"old {n}".encode() for n in "abcd"}
+    assert not list(tmp_path.glob("_staged-*")) and not (tmp_path / "_pending").exists()
+    sinks.write_packs(parts_of(spark, "ae", "new"), str(tmp_path), "p.txt")
+    assert files_in(tmp_path) == {f"{n}/p.txt": f"new {n}".encode() for n in "ae"}
+
+
+@pytest.mark.parametrize("step", ["_move", "_delete"])
+def test_a_committed_run_that_was_cut_short_is_ended(spark, tmp_path, monkeypatch, step):
+    sinks.write_packs(parts_of(spark, "abc", "old"), str(tmp_path), "p.txt")
+
+    def cut(location):
+        def run(batches):
+            raise RuntimeError("lost")
+            yield
+
+        return run
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks, step, cut)
+        with pytest.raises(Exception, match="lost"):
+            sinks.write_packs(parts_of(spark, "bd", "new"), str(tmp_path), "p.txt")
+    sinks.PackFolder(spark, str(tmp_path)).recover()
+    assert files_in(tmp_path) == {f"{n}/p.txt": f"new {n}".encode() for n in "bd"}
+    assert not list(tmp_path.glob("_staged-*")) and not (tmp_path / "_pending").exists()
+
+
+@pytest.mark.parametrize("at_place", [True, False])
+def test_an_unsplit_document_is_one_file(spark, root, tmp_path, monkeypatch, at_place):
+    sections = packed(spark, root, tmp_path, "plain").sections
+    if not at_place:
+        monkeypatch.setattr(sinks, "is_local", lambda location: False)
+    whole = document(sections).encode()
+    for ranges in (5, 1):
+        got = sinks.write_file(sections, str(tmp_path / "one"), "all.txt", ranges).collect()
+        assert [tuple(r) for r in got] == [("all.txt", len(whole))]
+        assert files_in(tmp_path / "one") == {"all.txt": whole}
+    sinks.write_file(sections.limit(0), str(tmp_path / "one"), "all.txt")
+    assert files_in(tmp_path / "one") == {"all.txt": b""}
