@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from itertools import accumulate
@@ -142,6 +143,25 @@ def write_packs(parts: DataFrame, location: str, base: str) -> DataFrame:
     return folder.write(named.mapInArrow(_write_named(folder.staging), _STAGED))
 
 
+def file_digests(written: DataFrame, location: str) -> DataFrame:
+    """``file, bytes, digest`` of listed files as they are on storage now: size and MD5, read in chunks."""
+    location = qualified(written.sparkSession, location)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests = [], []
+            for name in batch.column("file").to_pylist():
+                digest, size = hashlib.md5(usedforsecurity=False), 0
+                for chunk in chunks_of(f"{location}/{name}"):
+                    digest.update(chunk)
+                    size += len(chunk)
+                sizes.append(size)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_pydict({"file": batch.column("file").cast(pa.string()), "bytes": pa.array(sizes, pa.int64()), "digest": digests})
+
+    return written.select("file").mapInArrow(run, "file string, bytes bigint, digest string")
+
+
 def _write_range(staging: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size, name = None, 0, ""

@@ -592,7 +592,7 @@ ORACLES["split_packs"] = f"""with {SPLIT}
 select source as pack, part_no, n_parts, cast(octet_length(content) as bigint) as part_bytes, md5(content) as digest from cut"""
 ORACLES["write_packs"] = f"""with {SPLIT}
 select concat(source, '/pack', case when n_parts > 1 then concat('.', part_no) else '' end, '.txt') as file,
-  cast(octet_length(content) as bigint) as bytes from cut"""
+  cast(octet_length(content) as bigint) as bytes, md5(content) as digest from cut"""
 
 ORACLES["part_filename"] = rf"""with {CORPUS}
 select rel_path, regexp_replace(rel_path, '(\.[^./]*)$', concat('.', doc_id + 1, '\1')) as file from corpus"""

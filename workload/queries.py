@@ -553,4 +553,5 @@ def part_filename(spark, sf_dir):
 @query
 def write_packs(spark, sf_dir):
     location = f"{shared_folder(spark)}/packs-{uuid.uuid4().hex}"
-    return sinks.write_packs(split_documents(spark, sf_dir), location, "pack.txt")
+    written = sinks.write_packs(split_documents(spark, sf_dir), location, "pack.txt")
+    return sinks.file_digests(written, location)
