@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import json
 
 import numpy as np
@@ -20,6 +21,8 @@ SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Distinct pieces that a worker keeps with their ids; when full it starts anew.
 MEMORY = 400_000
 NO_MERGE = np.iinfo(np.int64).max
+#: Rounds over all symbols before the pieces still unfinished go on in order of rank.
+ROUNDS = 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -53,7 +56,8 @@ class Vocabulary:
         keys = np.array([ids[a] * self.size + ids[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks = keys[order], order.astype(np.int64)
-        self.merged = np.array([ids[a + b] for a, b in pairs], np.int64)[order]
+        self.of_rank = np.array([ids[a + b] for a, b in pairs], np.int64)
+        self.merged = self.of_rank[order]
         self.known: dict[str, tuple[str, bytes]] = {}
 
     # Merging --------------------------------------------------------------------------
@@ -63,13 +67,21 @@ class Vocabulary:
 
         All pieces lie in one flat array of symbols. A round looks every neighbouring pair up among the
         sorted pair keys, finds the lowest rank of each piece and merges all its occurrences from the left.
-        Pieces without a pair left are set aside, so a round costs what is still being merged.
+        Pieces without a pair left are set aside, so a round costs what is still being merged. A long piece
+        has as many rounds as it has ranks; what ``ROUNDS`` do not finish, ``finish`` does.
         """
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(pieces)
         flat = self.of_byte[np.frombuffer(b"".join(pieces), np.uint8)]
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         owner = np.repeat(np.arange(len(pieces)), lengths)
+        rounds = 0
         while len(flat):
+            if (rounds := rounds + 1) > ROUNDS:
+                flat, owner = self.finish(flat, owner)
+                first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+                for a, b in zip(first, np.append(first[1:], len(flat))):
+                    out[owner[a]] = flat[a:b]
+                break
             inside = owner[1:] == owner[:-1]
             key = np.where(inside, flat[:-1] * self.size + flat[1:], -1)
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -100,6 +112,59 @@ class Vocabulary:
             flat, owner = flat[stay], owner[stay]
         return out
 
+    def finish(self, flat: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols that are left of all pieces when nothing can be merged any more, and their pieces.
+
+        A round takes the lowest rank of all pieces, which is the lowest of each that has it, and merges all its pairs from
+        the left. Places are kept by the rank of their pair, and only the pairs beside a merge are looked up
+        again, so a round costs what it merges and all rounds together what the pieces' symbols are.
+        """
+        n = len(flat)
+        symbol, alive = flat.copy(), np.ones(n, bool)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.full(n, NO_MERGE)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def look_up(places: np.ndarray) -> None:
+            places = places[after[places] < n]
+            right = after[places]
+            key = np.where(owner[places] == owner[right], symbol[places] * self.size + symbol[right], -1)
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = np.where(self.keys[at] == key, self.ranks[at], NO_MERGE)
+            rank[places] = found
+            order = np.argsort(found, kind="stable")
+            places, found = places[order], found[order]
+            borders = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else []
+            for a, b, r in zip(borders, [*borders[1:], len(found)], found[borders].tolist() if len(found) else []):
+                if r == NO_MERGE:
+                    break
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(places[a:b])
+
+        look_up(np.arange(n))
+        while queue:
+            r = heapq.heappop(queue)
+            hits = np.unique(np.concatenate(waiting.pop(r)))
+            hits = hits[rank[hits] == r]
+            if not len(hits):
+                continue
+            # Pairs that overlap are one symbol repeated: every second one merges.
+            nth = np.arange(len(hits))
+            run = np.append(True, after[hits[:-1]] != hits[1:])
+            hits = hits[(nth - np.maximum.accumulate(np.where(run, nth, 0))) % 2 == 0]
+            gone = after[hits]
+            symbol[hits] = self.of_rank[r]
+            alive[gone], rank[gone], rank[hits] = False, NO_MERGE, NO_MERGE
+            after[hits] = after[gone]
+            inner = hits[after[hits] < n]
+            before[after[inner]] = inner
+            left = before[hits]
+            look_up(np.concatenate([left[left >= 0], hits]))
+        return symbol[alive], owner[alive]
+
     # Texts ----------------------------------------------------------------------------
 
     def pieces(self, text: str) -> list[str]:

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -281,6 +282,26 @@ def awkward_texts():
     return texts + [f"a{chr(c)} {chr(c)}1" for c in random.Random(2).sample([c for c in range(0x110000) if not 0xD800 <= c < 0xE000], 3000)]
 
 
+@pytest.mark.parametrize("rounds", [0, 3, bpe.ROUNDS])
+def test_long_words_of_many_letters_equal_the_library(monkeypatch, rounds):
+    """After any number of rounds the rest goes on in order of rank with the same tokens."""
+    monkeypatch.setattr(bpe, "ROUNDS", rounds)
+    rng, library, known = random.Random(5), Tokenizer.from_file(BPE), bpe.Vocabulary(BPE)
+    parts = ["ab", "the", "ing", "é", "東京", "=", "-", " ", "1", "zz", "Q"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(300))).replace(" ", rng.choice(["", " "])) for _ in range(60)]
+    texts += ["".join(rng.choices(letters, k=20_000)) for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", "acgt", "ab", "=-")]
+    known.digests(texts)  # all pieces in one flat array
+    assert [known.encode(t) for t in texts] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_word_of_a_million_letters(spark):
+    began = time.time()
+    word = "".join(random.Random(6).choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000))
+    got = bpe.encode_digests(documents(spark, [(1, word)]), BPE).first()
+    assert time.time() - began < 90
+    assert got.n_tokens == len(Tokenizer.from_file(BPE).encode(word, add_special_tokens=False).ids)
+
+
 def test_tokens_equal_the_library(spark):
     library = Tokenizer.from_file(BPE)
     texts = awkward_texts()
