@@ -9,6 +9,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,8 +217,10 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def in_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
-    """Slices of a batch that hold about ``most`` bytes of the text in ``column``, one row at least."""
-    sizes = np.cumsum([len(x) if x else 0 for x in batch.column(column).to_pylist()]) // most
+    """Slices of a batch that hold about ``most`` bytes of ``column`` (texts, bytes or lists), one row at least."""
+    values = batch.column(column)
+    lengths = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+    sizes = np.cumsum(lengths.fill_null(0).to_numpy(zero_copy_only=False)) // most
     borders = np.flatnonzero(np.append(True, np.diff(sizes) > 0)) if len(sizes) else np.empty(0, int)
     for a, b in zip(borders, np.append(borders[1:], batch.num_rows)):
         yield batch.slice(int(a), int(b - a))

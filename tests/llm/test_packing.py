@@ -95,7 +95,7 @@ STRANGE = [
 
 def test_words_are_encoded_as_in_their_texts(monkeypatch):
     rng = random.Random(7)
-    texts = STRANGE + ["".join(rng.choice("aB'sé \ń<|>Σ1_") for _ in range(60)) for _ in range(300)]
+    texts = STRANGE + ["".join(rng.choice("aB'sé \ń<|>Σ1_.,-!İβ") for _ in range(60)) for _ in range(300)]
     texts += [" ".join(rng.sample(STRANGE, 5)) for _ in range(50)]
     whole_texts = library()
     want = [np.array(whole_texts.encode(t, add_special_tokens=False).ids + [2], "<u4").tobytes() for t in texts]
