@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from sheaf import fixed_values as fv
 from sheaf.functions.text import rows_of
+from sheaf.operators.ranks import with_rank
+
 
 def touched_files(commits: DataFrame) -> DataFrame:
     return commits.select("hash", rows_of("files").alias("path")).where("path is not null")
@@ -45,3 +47,8 @@ def with_change_freq(files: DataFrame, freq: DataFrame, path: str = "rel_path")
 def order_by_change_freq(files: DataFrame, freq: DataFrame, path: str = "rel_path") -> DataFrame:
     """Most changed files first, ties by path; without any history this is path order."""
     return with_change_freq(files, freq, path).orderBy(F.desc("n_changes"), path)
+
+
+def rank_by_change_freq(files: DataFrame, freq: DataFrame, path: str = "rel_path") -> DataFrame:
+    """The rows of ``order_by_change_freq`` with their ``rank`` in that order, 1 for the most changed file."""
+    return with_rank(with_change_freq(files, freq, path), [F.desc("n_changes"), F.asc(path)])

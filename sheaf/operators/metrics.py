@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sheaf import fixed_values as fv
 from sheaf.functions.text import count_chars, count_lines, human_size
 from sheaf.functions.tokens import estimate_tokens
+from sheaf.operators.ranks import with_rank
 from sheaf.operators.status import kept
 
 
@@ -63,5 +64,11 @@ def token_listing(metrics: DataFrame, threshold: int = 0) -> DataFrame:
     return metrics.where(F.col("tokens") >= threshold).select("rel_path", "tokens").orderBy("rel_path")
 
 
+def token_ranks(metrics: DataFrame) -> DataFrame:
+    """``rel_path, tokens, rank`` of all files in the order of ``top_files``."""
+    ranked = with_rank(metrics.select("rel_path", "tokens", "chars"), [F.desc("tokens"), F.desc("chars"), F.asc("rel_path")])
+    return ranked.select("rel_path", "tokens", "rank")
+
+
 def with_human_size(df: DataFrame, size: str = "bytes") -> DataFrame:
     return df.withColumn("human_size", human_size(size))

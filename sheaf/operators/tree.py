@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheaf.functions.text import ancestors, base_name, parent_dir, rows_of
+from sheaf.operators.ranks import with_rank
 
 
 def tree_nodes(files: DataFrame, path: str = "rel_path") -> DataFrame:
@@ -45,3 +46,8 @@ def tree_lines(nodes: DataFrame) -> DataFrame:
 
 def tree_render(files: DataFrame, path: str = "rel_path") -> DataFrame:
     return tree_lines(tree_nodes(files, path)).orderBy("sort_key")
+
+
+def tree_numbered(files: DataFrame, path: str = "rel_path") -> DataFrame:
+    """``sort_key, line, line_no``: the lines of the tree with their numbers, from 1."""
+    return with_rank(tree_lines(tree_nodes(files, path)), [F.asc("sort_key")], "line_no")

@@ -41,6 +41,11 @@ select concat('lang=', lang, '/source=', source) as dir, cast(sum(strlen(text) +
   cast(sum(length(text) - length(replace(text, chr(10), '')) + 1) as bigint) as lines, cast(0 as bigint) as skipped
 from documents group by all"""
 
+ORACLES["file_source_read"] = """
+with l as (select concat('lang=', lang, '/source=', source) as dir, unnest(string_split(text, chr(10))) as line from documents)
+select dir, count(*) as lines, cast(sum(cast(concat('0x', md5(line)[1:8]) as bigint)) as bigint) as digest
+from l where line <> '' group by 1"""
+
 ORACLES["select_manifest"] = f"""
 with docs as (select doc_id, {views.REL_PATH} as rel_path from documents),
 labelled as (select docs.*, quality, toxic from docs join labels using (doc_id)),
@@ -376,6 +381,9 @@ union all select 'totals', 3, concat('  tokens:  ~', tokens) from totals
 union all select 'totals', 4, concat('  bytes:   ', bytes, ' (', case when bytes >= 1048576 then printf('%.2f MB', bytes / 1048576)
   when bytes >= 1024 then printf('%.2f KB', bytes / 1024) else concat(bytes, ' B') end, ')') from totals"""
 ORACLES["token_listing"] = f"with {CORPUS}, {METRICS} select rel_path, tokens from metrics where tokens >= 500"
+ORACLES["token_ranks"] = f"""
+with {CORPUS}, {METRICS}
+select rel_path, tokens, row_number() over (order by tokens desc, chars desc, rel_path) as rank from metrics"""
 ORACLES["human_size"] = """
 with p as (select l_partkey, cast(sum(cast(round(l_extendedprice * l_quantity) as bigint)) as bigint) as size from lineitem group by 1),
 s as (select l_partkey, unnest([size, size // 2000, size * 4096]) as bytes from p)
@@ -394,6 +402,9 @@ ORACLES["order_by_change_freq"] = f"""
 with f as (select {views.COMMIT_PATH} as rel_path, count(*) as n from lineitem where l_orderkey in (select hash from ({RECENT} 100)) group by 1),
 p as (select {views.PART_PATH} as rel_path from part)
 select rel_path, cast(coalesce(n, 0) as bigint) as n_changes from p left join f using (rel_path)"""
+ORACLES["rank_by_change_freq"] = f"""
+with o as ({ORACLES['order_by_change_freq']})
+select rel_path, n_changes, row_number() over (order by n_changes desc, rel_path) as rank from o"""
 
 ADDRESSES = f"a as (select page_id, trim({views.ADDRESS}) as a from pages)"
 ORACLES["is_remote_url"] = f"""with {ADDRESSES}
@@ -433,6 +444,8 @@ lines as (select concat(array_to_string(list_transform(s[:-2], lambda x: concat(
 ORACLES["tree_nodes"] = f"""with {CORPUS}, {tree_sql('corpus')}
 select path, array_to_string(s[:-2], '/') as parent, s[-1] as name, cast(len(s) as bigint) as depth, is_dir from nodes"""
 ORACLES["tree_render"] = f"with {CORPUS}, {tree_sql('corpus')} select sort_key, line from lines"
+ORACLES["tree_numbered"] = f"""
+with {CORPUS}, {tree_sql('corpus')} select row_number() over (order by replace(sort_key, '|', chr(1))) as line_no, line from lines"""
 ORACLES["tree_full"] = f"""
 with {CORPUS}, left_over as ({kept_sql(CORPUS, q.IGNORES, True, True)}), {tree_sql('left_over')} select sort_key, line from lines"""
 

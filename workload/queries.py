@@ -16,7 +16,7 @@ from sheaf.operators import clean, history, metrics, render, select, split, stat
 from sheaf.operators import secrets as secret_ops
 from sheaf.plans import pack
 from sheaf.session import shared_folder
-from sheaf.sources import commit_log, files, sinks, tables
+from sheaf.sources import commit_log, file_source, files, sinks, tables
 from workload import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,19 @@ def scan_corpus_files(spark, sf_dir):
     )
 
 
+@query
+def file_source_read(spark, sf_dir):
+    """The same tree through the data source, with a path filter that it takes; contents by a digest of their lines."""
+    root = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    docs = views.table(spark, sf_dir, "documents").select("lang", "source", "text")
+    docs.write.partitionBy("lang", "source").option("maxRecordsPerFile", 2000).text(root)
+    file_source.register(spark)
+    found = spark.read.format(file_source.NAME).load(root).where(F.col("rel_path").contains("/part-") & F.col("rel_path").startswith("lang="))
+    lines = found.select(text.parent_dir("rel_path").alias("dir"), F.explode(F.split(F.col("raw").cast("string"), "\n", -1)).alias("line"))
+    digest = F.conv(F.substring(F.md5(F.col("line").cast("binary")), 1, 8), 16, 10).cast("long")
+    return lines.where("line <> ''").groupBy("dir").agg(long(F.count("*"), "lines"), long(F.sum(digest), "digest"))
+
+
 @query
 def select_manifest(spark, sf_dir):
     labels = views.table(spark, sf_dir, "labels")
@@ -345,6 +358,11 @@ def token_listing(spark, sf_dir):
     return metrics.token_listing(metrics.file_metrics(views.corpus(spark, sf_dir)), 500)
 
 
+@query
+def token_ranks(spark, sf_dir):
+    return metrics.token_ranks(metrics.file_metrics(views.corpus(spark, sf_dir)))
+
+
 @query
 def human_size(spark, sf_dir):
     parts = views.table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
@@ -373,6 +391,12 @@ def order_by_change_freq(spark, sf_dir):
     return history.order_by_change_freq(views.parts(spark, sf_dir).select("rel_path"), freq)
 
 
+@query
+def rank_by_change_freq(spark, sf_dir):
+    freq = history.change_freq(views.commits(spark, sf_dir), views.commit_files(spark, sf_dir), 0)
+    return history.rank_by_change_freq(views.parts(spark, sf_dir).select("rel_path"), freq)
+
+
 @query
 def is_remote_url(spark, sf_dir):
     pages = views.table(spark, sf_dir, "pages").selectExpr("page_id", f"{views.ADDRESS} as address")
@@ -398,6 +422,11 @@ def tree_render(spark, sf_dir):
     return tree.tree_render(views.documents(spark, sf_dir)).select(F.replace("sort_key", F.lit("\0"), F.lit("|")).alias("sort_key"), "line")
 
 
+@query
+def tree_numbered(spark, sf_dir):
+    return tree.tree_numbered(views.documents(spark, sf_dir)).select("line_no", "line")
+
+
 @query
 def tree_full(spark, sf_dir):
     """The tree of everything the rules leave, whatever the includes select for content."""
