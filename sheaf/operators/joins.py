@@ -2,24 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
 
 
+def salt_of(column: str, salts: int = SALTS) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
+
+
+def salts_asked(column: str, salts: int = SALTS) -> Column:
+    """The aggregate of a key's rows that tells which of its salts occur, a bit for each."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), salt_of(column, salts)))
+
+
 def salted_lookup(
-    rows: DataFrame, dimension: DataFrame, on: str, how: str = "left", spread: str | None = None, salts: int = SALTS
+    rows: DataFrame,
+    dimension: DataFrame,
+    on: str,
+    how: str = "left",
+    spread: str | None = None,
+    salts: int = SALTS,
+    asked: str | None = None,
 ) -> DataFrame:
     """Join ``rows`` with a ``dimension`` that has few rows per key.
 
     The rows of a key are spread over ``salts`` partitions by the hash of ``spread``
     and the dimension is repeated as often, so a hot key is dealt to that many tasks;
-    adaptive execution splits what is still skewed then. No side is hinted for broadcast; adaptive execution may still choose it
-    from measured sizes.
+    adaptive execution splits what is still skewed then. ``asked`` names a column of the dimension
+    with the ``salts_asked`` of each key; only these copies are made then, no more than there are rows.
+
+    The join is a shuffled one by hint. Spark's estimates take an ``explode``, here or in the rows, for no growth and
+    sizes on disk for sizes in memory, so by them it would send many times its broadcast threshold through the driver.
     """
     salt = "_salt"
-    spread_by = spread or on
-    left = rows.withColumn(salt, F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    right = dimension.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [on, salt], how).drop(salt)
+    left = rows.withColumn(salt, salt_of(spread or on, salts))
+    copies = F.sequence(F.lit(0), F.lit(salts - 1))
+    if asked is not None:
+        copies = F.filter(copies, lambda s: F.call_function("shiftright", F.col(asked), s).bitwiseAND(F.lit(1)) == 1)
+    right = dimension.withColumn(salt, F.explode(copies))
+    if asked is not None:
+        right = right.drop(asked)
+    return left.join(right.hint("merge"), [on, salt], how).drop(salt)

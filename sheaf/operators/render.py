@@ -22,7 +22,7 @@ from sheaf import fixed_values as fv
 from sheaf.functions import markup
 from sheaf.functions.markup import text_concat
 from sheaf.operators.history import touched_files
-from sheaf.operators.joins import salted_lookup
+from sheaf.operators.joins import salted_lookup, salts_asked
 from sheaf.operators.status import kept
 from sheaf.operators.tree import tree_lines, tree_nodes
 
@@ -167,10 +167,11 @@ def commit_rows(commits: DataFrame, files: DataFrame, style: str) -> DataFrame:
     if style in ("markdown", "plain"):
         parts = ("- `", F.col("hash"), "` ") if style == "markdown" else (F.col("hash"), " ")
         return rows(commits, HEAD, text_concat(*parts, F.col("date"), " — ", first_line, "\n"))
-    first = files.groupBy("hash").agg(F.min("path").alias("first_path"))
-    known = commits.join(first, "hash", "left")
+    first = files.groupBy("hash").agg(F.min("path").alias("first_path"), salts_asked("path").alias("asked"))
+    # both sides grow with the log; sizes on disk are no measure of what a broadcast takes in the driver
+    known = commits.join(first.hint("merge"), "hash", "left")
     listed = files.groupBy("hash", "path").agg(F.count("*").cast("int").alias("times"))
-    touched = salted_lookup(listed, known.select(*where, "first_path"), on="hash", how="inner", spread="path")
+    touched = salted_lookup(listed, known.select(*where, "first_path", "asked"), "hash", "inner", "path", asked="asked")
     is_first = F.col("path") == F.col("first_path")
     has_files = F.col("first_path").isNotNull()
     if style == "json":
