@@ -309,13 +309,17 @@ def _json_text(text: str | Column) -> Column:
 def _json_list(items: DataFrame, place: int, name: str) -> list[DataFrame]:
     """``"name": [...]`` from rows ``k_num, k_str, k_tie, body, begins, ends``, or nothing without rows.
 
-    The three keys must name an item: paths may repeat over several roots, absolute paths do not.
+    The three keys must name an item: paths may repeat over several roots, absolute paths do not. The list's
+    first row must begin an item and its last row end one, so that only such rows are looked at for them.
     """
-    keyed = _ends(items.withColumn("key", F.struct("k_num", "k_str", "k_tie")), "key")
+    keyed = items.withColumn("key", F.struct("k_num", "k_str", "k_tie"))
+    last = keyed.where("ends").agg(F.max("key").alias("key")).withColumn("is_last", F.lit(True))
+    keyed = keyed.join(F.broadcast(last), "key", "left")
     indent = F.when(F.col("begins"), "    ").otherwise("")
     after = F.when(F.col("is_last"), "\n").when(F.col("ends"), ",\n").otherwise("")
     rows = _rows(keyed, place + 1, text_concat(indent, F.col("body"), after), F.col("k_num"), F.col("k_str"), F.col("k_tie"))
-    return [_if_any(items, place, f',\n  "{name}": [\n'), rows, _if_any(items, place + 2, "  ]")]
+    begun = items.where("begins")
+    return [_if_any(begun, place, f',\n  "{name}": [\n'), rows, _if_any(begun, place + 2, "  ]")]
 
 
 def _json_sections(corpus, tree, totals, log, o: Options) -> list[DataFrame]:

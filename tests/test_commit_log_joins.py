@@ -1,9 +1,13 @@
 """Joins of a commit log stay shuffled however small the tables are on disk, and find every file."""
 
+import json
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from sheaf.operators.joins import salted_lookup, salts_asked
-from sheaf.operators.render import HEAD, TOUCHED, commit_rows
+from sheaf.operators.render import HEAD, Options, TOUCHED, assemble_sections, commit_rows, in_order
 
 HASH = "concat('c', id)"
 
@@ -46,3 +50,17 @@ def test_only_the_asked_copies_are_made(spark, log):
     found = salted_lookup(files, asked, "hash", "inner", "path", asked="asked")
     assert found.count() == files.count()
     assert asked.selectExpr("max(bit_count(asked)) as n").first().n == 16
+
+
+def test_json_log_in_a_document_joins_only_for_its_rows(spark, log):
+    commits, files = log
+    listed = commits.join(files.groupBy("hash").agg(F.collect_list("path").alias("files")), "hash", "left")
+    listed = listed.withColumn("ts", F.timestamp_seconds("ts"))
+    corpus = spark.createDataFrame([], "abs_path string, rel_path string, bytes bigint, is_binary boolean, content string, skip_reason string")
+    totals = spark.range(1).selectExpr("0L as files", "0L as chars", "0L as tokens", "0L as bytes")
+    sections = assemble_sections(corpus, totals, Options(style="json", tree=False, files=False), log=listed)
+    told = json.loads("".join(r.body for r in in_order(sections).collect()))["git_log"]
+    assert [c["hash"] for c in told] == [f"c{i}" for i in reversed(range(60))]
+    assert len(told[-1]["files"]) == 403 and "files" not in told[-2]
+    # the files are looked up once, not again for the list's ends
+    assert len(re.findall(r"Join \[hash#\d+, _salt#\d+\]", planned(sections))) == 1
