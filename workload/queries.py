@@ -527,7 +527,7 @@ def assembled(style: str) -> None:
         corpus = two_roots(spark, sf_dir)
         totals = metrics.corpus_totals(metrics.file_metrics(corpus))
         commits, touched = told_commits(spark, sf_dir)
-        log = commits.join(touched.groupBy("hash").agg(F.collect_list("path").alias("files")), "hash", "left")
+        log = commits.join(touched.groupBy("hash").agg(F.collect_list("path").alias("files")).hint("merge"), "hash", "left")
         options = render.Options(style=style, generated_at=GENERATED, header="a < b", instruction="do it", diffs={"work_tree": DIFF})
         body = F.col("body")
         if style == "json":  # files are compared as parsed values, with what stands around them
