@@ -38,6 +38,7 @@ BLOCK_BYTES = 128 << 20
 FAN_IN = 64
 GROUP = 512
 _PIECES_PER_BATCH = 32 << 20
+_SCAN = 1 << 20
 
 _SUMMARY = "pack string, block int, nbytes bigint, first_end bigint, last_end bigint"
 _TABLE = "pack string, node bigint, upto array<bigint>, leads_to array<bigint>, cuts array<bigint>"
@@ -184,10 +185,13 @@ def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
         yield i, j, data[offsets[i] : offsets[j]]
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[bytes]]]:
-    """One item per pack and block: its first row without the body, and its bytes in order."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, bytearray]]:
+    """One item per pack and block: its first row without the body, and its bytes in order.
+
+    A block is held once: it grows in one buffer, and callers let go of it before they ask for the next.
+    """
     head: dict | None = None
-    chunks: list[bytes] = []
+    block = bytearray()
     last_seq = -1
     for batch in batches:
         if not batch.num_rows:
@@ -198,23 +202,25 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[b
             row = others.slice(i, 1).to_pylist()[0]
             if head is None or (head["pack"], head["block"]) != (row["pack"], row["block"]):
                 if head is not None:
-                    yield head, chunks
-                head, chunks, last_seq = row, [], -1
+                    yield head, block
+                head, block, last_seq = row, bytearray(), -1
             if seq[i] <= last_seq or np.any(np.diff(seq[i:j]) <= 0):
                 raise RuntimeError("rows of a block arrived out of order")
             last_seq = seq[j - 1]
-            chunks.append(data.tobytes())
+            block += memoryview(data)
     if head is not None:
-        yield head, chunks
+        yield head, block
 
 
-def _line_ends(data: bytes) -> np.ndarray:
-    return np.flatnonzero(np.frombuffer(data, np.uint8) == 10).astype(np.int64) + 1
+def _line_ends(data: bytes | bytearray) -> np.ndarray:
+    """Positions behind newlines; the comparison takes a byte for each byte, so it goes by slices."""
+    view = np.frombuffer(data, np.uint8)
+    found = [np.flatnonzero(view[i : i + _SCAN] == 10) + (i + 1) for i in range(0, len(view), _SCAN)]
+    return np.concatenate([np.empty(0, np.int64), *found])
 
 
 def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for head, chunks in _stretches(batches):
-        data = b"".join(chunks)
+    for head, data in _stretches(batches):
         has_line = b"\n" in data
         yield pa.RecordBatch.from_pydict(
             {
@@ -225,6 +231,7 @@ def _summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "last_end": pa.array([data.rfind(b"\n") + 1 if has_line else None], pa.int64()),
             }
         )
+        del data
 
 
 def _layout(summary: DataFrame, group: int = GROUP) -> DataFrame:
@@ -280,8 +287,9 @@ def _layout(summary: DataFrame, group: int = GROUP) -> DataFrame:
 
 def _tabulate(limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for head, chunks in _stretches(batches):
-            ends = _line_ends(b"".join(chunks)) + head["offset"]
+        for head, data in _stretches(batches):
+            ends = _line_ends(data) + head["offset"]
+            del data
             table = _Lines(head["line_start"], ends, limit).table(lowest=0)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_pydict(
@@ -384,8 +392,7 @@ def _cut(limit: int):
         return made
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for head, chunks in _stretches(batches):
-            data = b"".join(chunks)
+        for head, data in _stretches(batches):
             offset, end = head["offset"], head["offset"] + len(data)
             rows: list[tuple[int, int, bytes]] = []
             held = 0
@@ -394,12 +401,13 @@ def _cut(limit: int):
             for stop, following in [*cuts, (head["total"], head["total"])]:
                 lo, hi = max(start, offset), min(stop, end)
                 if lo < hi:
-                    rows.append((number, lo, data[lo - offset : hi - offset]))
+                    rows.append((number, lo, bytes(memoryview(data)[lo - offset : hi - offset])))
                     held += hi - lo
                     if held >= _PIECES_PER_BATCH:
                         yield _pieces(head, rows)
                         rows, held = [], 0
                 start, number = following, number + 1
+            del data
             if rows:
                 yield _pieces(head, rows)
 
