@@ -19,8 +19,8 @@ from sheaf.llm.common import text_or_empty
 
 #: How byte-level vocabularies split text before merging (a fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Distinct pieces that a worker keeps with their ids; when full it starts anew.
-MEMORY = 400_000
+#: Distinct pieces after which a worker starts a new set of those it keeps with their ids; the set before stays for look-up.
+MEMORY = 80_000
 NO_MERGE = np.iinfo(np.int64).max
 #: Rounds over all symbols before the pieces still unfinished go on in order of rank.
 ROUNDS = 64
@@ -60,6 +60,7 @@ class Vocabulary:
         self.of_rank = np.array([ids[a + b] for a, b in pairs], np.int64)
         self.merged = self.of_rank[order]
         self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
 
     # Merging --------------------------------------------------------------------------
 
@@ -178,11 +179,12 @@ class Vocabulary:
         return found
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces not seen before, together."""
-        new = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list(pieces)
+        """Encode the pieces not seen lately, together. Pieces that occur again and again stay, those seen once go with their set."""
+        if len(self.known) > MEMORY:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        known.update([(p, older[p]) for p in pieces if p not in known and p in older])
+        new = [p for p in pieces if p not in known]
         ids = self.merge([b"" if p in self.added else p.encode() for p in new])
         for p, i in zip(new, ids):
             tokens = [self.added[p]] if p in self.added else i.tolist()
@@ -256,7 +258,7 @@ def _mapped(rows: DataFrame, path: str, id_col: str, text_col: str | None, work,
 
         known = vocabulary(path)
         for b in batches:
-            for part in in_slices(b, 1):
+            for part in in_slices(b, 1, 1 << 20):
                 made = work(known, part.column(1).to_pylist())
                 arrays = [pa.array([r[i] for r in made], to_arrow_type(t)) for i, (_, t) in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=schema.names)

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,23 +79,11 @@ def width(metadata: int) -> int:
     return WORD_SLOTS + (len(STATISTICS) + metadata) * (BINS + 1)
 
 
-_slots: dict[bytes, int] = {}
-
-
-def _slot(word: bytes) -> int:
-    found = _slots.get(word)
-    if found is None:
-        if len(_slots) > 300_000:
-            _slots.clear()
-        found = _slots[word] = zlib.crc32(word) % WORD_SLOTS
-    return found
-
-
 def features(text: bytes, metadata: list[float | None]) -> tuple[np.ndarray, np.ndarray]:
     """Slots and values of a whole text: distinct words share a norm of one; every statistic and metadatum is one bin of its own range."""
     words = text.lower().split()
-    distinct = set(words)
-    slots = np.fromiter({_slot(w) for w in distinct}, np.int32)
+    distinct, crc = set(words), zlib.crc32
+    slots = np.fromiter({crc(w) % WORD_SLOTS for w in distinct}, np.int32)
     figures = statistics(text, words, distinct)
     bins = [int(np.searchsorted(e, x)) for e, x in zip(STATISTICS.values(), figures)]
     # Metadata are numbers: bins of their logarithm, the last one for a null.
@@ -104,11 +93,10 @@ def features(text: bytes, metadata: list[float | None]) -> tuple[np.ndarray, np.
     return np.concatenate([slots, own]).astype(np.int32), np.concatenate([values, np.full(len(bins), 0.3, np.float32)])
 
 
-def _rows(batch, at: int):
-    """Features of a batch whose text is column ``at`` and whose later columns are metadata."""
-    columns = [batch.column(i).to_pylist() for i in range(at, batch.num_columns)]
-    for text, *metadata in zip(*columns):
-        yield features(text, metadata)
+def _rows(texts: pa.Array, *metadata: pa.Array):
+    """Features of texts and the columns of their metadata."""
+    for text, *figures in zip(texts.to_pylist(), *[m.to_pylist() for m in metadata]):
+        yield features(text, figures)
 
 
 # Model ------------------------------------------------------------------------------------
@@ -192,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, usable, id_col="doc_id", text_col=
 
     def run(batches):
         for b in batches:
-            rows = list(_rows(b, 1))
+            rows = list(_rows(*b.columns[1:]))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([s.tobytes() for s, _ in rows], pa.binary()), pa.array([v.tobytes() for _, v in rows], pa.binary())],
                 names=["label", "slots", "values"],
@@ -209,22 +197,28 @@ def _metadata(docs: DataFrame, names) -> list:
     return [F.col(c).cast("double").alias(f"_m{i}") for i, c in enumerate(names)]
 
 
-def score(docs: DataFrame, model: Machine, text_col: str = "text", metadata_cols=("n_chars",), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` and ``score`` (0 to 1) of every row. A null text scores as an empty one; every row gets a score."""
+def score(docs: DataFrame, model: Machine, text_col: str | int = "text", metadata_cols=("n_chars",), keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns ``keep`` and ``score`` (0 to 1) of every row. A null text scores as an empty one; every row gets a score.
+
+    A number as ``text_col`` is the place of a string field in the first kept column: the text is sent once.
+    """
     kept = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
-    sent = docs.select(*kept, text_or_empty(text_col).cast("binary").alias("_text"), *_metadata(docs, metadata_cols))
+    inside, n = isinstance(text_col, int), len(keep)
+    text = [] if inside else [text_or_empty(text_col).cast("binary").alias("_text")]
+    sent = docs.select(*kept, *_metadata(docs, metadata_cols), *text)
     held = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    names = [*(f"_k{i}" for i in range(n)), "score"]
 
     def run(batches):
+        step = 512
         for b in batches:
-            columns = [b.column(i) for i in range(len(keep))]
-            step = 512
             for at in range(0, b.num_rows, step):
                 part = b.slice(at, step)
-                columns = [part.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(held.value.score(list(_rows(part, len(keep)))), pa.float64())], names=[*(f"_k{i}" for i in range(len(keep))), "score"])
+                columns, metadata = part.columns[:n], part.columns[n : n + len(metadata_cols)]
+                texts = pc.fill_null(columns[0].field(text_col).cast(pa.large_binary()), b"") if inside else part.columns[-1]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(held.value.score(list(_rows(texts, *metadata))), pa.float64())], names=names)
 
-    schema = T.StructType([*(sent.schema[f"_k{i}"] for i in range(len(keep))), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*(sent.schema[f"_k{i}"] for i in range(n)), T.StructField("score", T.DoubleType())])
     return sent.mapInArrow(run, schema).toDF(*keep, "score")
 
 
@@ -252,6 +246,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col="text", metadata_cols
     metadata_cols = tuple(c for c in metadata_cols if c in docs.columns)
     id_col = options.pop("id_col", "doc_id")
     model = train(docs, labels, ~held_out(id_col, 3, 1), id_col, text_col, metadata_cols=metadata_cols, **options)
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text"), *_metadata(docs, metadata_cols))
-    scored = score(packed, model, "_text", [f"_m{i}" for i in range(len(metadata_cols))], ("_row",))
+    packed = docs.select(F.struct("*").alias("_row"), *_metadata(docs, metadata_cols))
+    # A text is as large as all else of its row: it goes to Python as a part of the row, not once more beside it.
+    if docs.schema[text_col].dataType == T.StringType():
+        text = docs.columns.index(text_col)
+    else:
+        packed, text = packed.withColumn("_text", F.col("_row")[text_col]), "_text"
+    scored = score(packed, model, text, [f"_m{i}" for i in range(len(metadata_cols))], ("_row",))
     return scored.where("score >= 0.5").select("_row.*")

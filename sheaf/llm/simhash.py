@@ -159,7 +159,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = store_table(fingerprints(docs, id_col, text_col))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
     distinct = store_table(prints.groupBy("_fp").agg(F.min(order).alias("_first")))
-    edges = near_edges(distinct, radius)
+    edges = store_table(near_edges(distinct, radius))  # else their tasks would each hold two Python workers
     roots = components(edges if links is None else edges.union(links))
     rooted = distinct.join(roots, distinct["_fp"] == roots["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
     groups = rooted.groupBy("_root").agg(F.min("_first").alias("_least"))
