@@ -129,10 +129,24 @@ def column(c: str, n: int) -> list[Way]:
 
 def lattice(text: str) -> list[list[Way]]:
     """A column for each run of one character."""
-    return [column(m[1], min(len(m[0]), 3)) for m in _RUNS.finditer(text)]
+    return [column(c, min(len(run), 3)) for run, c in _RUNS.findall(text)]
+
+
+_RUNS = re.compile(r"((.)\2*)", re.DOTALL)
+
+
+def readings(core: str, most: int = 16) -> list[str] | None:
+    """All that ``lattice`` says a word of letters may have been, if these are ``most`` words or fewer; None if it has signs or more readings."""
+    if not core.isalpha() or "µ" in core:
+        return None
+    found = [""]
+    for run, c in _RUNS.findall(core):
+        found = [w + c for w in found] if len(run) == 1 else [w + x for w in found for x in (c, c + c)]
+        if len(found) > most:
+            return None
+    return found
 
 
-_RUNS = re.compile(r"(.)\1*", re.DOTALL)
 _BORDER = ways(("", 0.0), (" ", WORD_END))
 _END = ways((" ", 0.0))
 
@@ -194,7 +208,15 @@ def decode(text: str | list[str], model: Letters, letters_apart: bool = False, t
     for at, choices in enumerate(columns):
         states, new = ahead[at], ahead[at + 1]
         ahead[at] = None
-        for state, (score, back) in states.items():
+        if len(choices) == 1 and len(choices[0][2]) == 1 and choices[0][2][0] != BOUND:  # a letter that is itself
+            written, cost, (k,) = choices[0]
+            for state, (score, back) in states.items():
+                total = score + cost + log[state * SYMBOLS + k]
+                s = state * SYMBOLS % SYMBOLS**3 + k
+                if s not in new or total > new[s][0]:
+                    new[s] = total, (back, written)
+            choices = ()
+        for state, (score, back) in states.items() if choices else ():
             for written, cost, symbols in choices:
                 s, total = state, score + cost
                 for k in symbols:
@@ -226,7 +248,8 @@ _EDGES = "".join(c for c in _AROUND if c not in LEET)
 
 def _core(word: str) -> str:
     """The word without what stands around it."""
-    return _MONEY.sub("", word.strip(_AROUND)).strip(_AROUND)
+    word = word.strip(_AROUND)
+    return _MONEY.sub("", word).strip(_AROUND) if word.endswith("$$") else word
 
 
 _MONEY = re.compile(r"\${2,}$")
@@ -238,15 +261,18 @@ _DOUBLED = re.compile(rb"([a-z])\1")
 
 def _hidden(core: str) -> bool:
     """Letters among signs, or a letter several times in a row."""
-    return bool(_LETTER.search(core) and _ODD.search(core))
+    return bool(_ODD.search(core) and _LETTER.search(core))
 
 
-def _bare(word: bytes) -> str:
+def _unsigned(text: str) -> str:
     """A word without the signs around it, which stay where nothing else is."""
-    text = word.decode("utf-8", "replace")
     return text.strip(_EDGES) or text if len(text) > 1 else text
 
 
+def _bare(word: bytes) -> str:
+    return _unsigned(word.decode("utf-8", "replace"))
+
+
 #: A chunk is a word of one to three characters, signs around it apart.
 CHUNK = 3
 
@@ -273,11 +299,12 @@ def spaced(chunks: list[str]) -> list[str]:
 
 
 _PLAIN = str.maketrans({c: x[0] for c, x in LEET.items()})
+_SIGNS = re.compile("[" + re.escape("".join(LEET)) + "]")
 
 
 def plain(word: str) -> bytes:
     """The word in small letters, each sign as the first letter it stands for."""
-    return word.translate(_PLAIN).lower().encode()
+    return (word.translate(_PLAIN) if _SIGNS.search(word) else word).lower().encode()
 
 
 def chunked(spelled: list[bytes], sizes: list[int], wanted) -> list[tuple[int, int]]:
@@ -329,30 +356,64 @@ class Reader(dict):
         kept = [f for f in features if f in self.wanted]
         return tuple(set(kept)) if kept else ()
 
+    def named(self, word: str, sent: bytes) -> tuple[int, ...]:
+        """What ``select`` leaves of the features of a word (``sent`` as bytes), told without making a list of all."""
+        n, wanted, crc = len(word), self.wanted, zlib.crc32
+        if wanted is None:
+            return self.select(word_features(word))
+        if n < 3:
+            return ()
+        kept = [name] if (name := crc(sent) | 1) in wanted else []
+        if n >= 4:
+            plain, beginning = len(sent) == n, 0
+            for size in (4, 5, 6) if n >= 6 else (4, 5) if n == 5 else (4,):
+                if plain:
+                    beginning = crc(sent[size - 1 : size], beginning) if size > 4 else crc(sent[:4])
+                else:
+                    beginning = crc(word[:size].encode())
+                if (name := crc(b"-", beginning) & ~1) in wanted:
+                    kept.append(name)
+        return tuple(set(kept)) if kept else ()
+
     def restored(self, text: str | list[str], letters_apart: bool = False) -> list[int]:
         return [f for w in decode(text, self.letters, letters_apart, self.tree).split() for f in word_features(w)]
 
     def core_features(self, core: str) -> tuple[int, ...]:
         if (found := self.decoded.get(core)) is None:
-            found = self.decoded[core] = self.select(self.restored(core))
+            # Where no reading of a word counts, the likeliest doesn't either.
+            few = readings(core) if self.wanted is not None else None
+            if few is None or any(self.named(w, w.encode()) for w in few):
+                found = self.select(self.restored(core))
+            else:
+                found = ()
+            self.decoded[core] = found
         return found
 
     def __missing__(self, token: bytes) -> tuple[int, ...]:
-        bare = token.decode() if token.isalnum() else _bare(token)
-        if len(bare) <= CHUNK:
-            self.chunks[token] = bare
+        cores: tuple[str, ...] = ()
         if token.isalpha():  # of ASCII: it has no signs at its ends and hides only what doubled letters hide
-            low = token.lower()
-            word = low.decode()
-            cores = (word,) if _DOUBLED.search(low) else ()
-            self.spelled[token] = token if low == token else low
+            sent = token.lower()
+            word = sent.decode()
+            if len(token) <= CHUNK:
+                self.chunks[token] = token.decode()
+            if _DOUBLED.search(sent):
+                cores = (word,)
+            self.spelled[token] = token if sent == token else sent
         else:
-            full = token.decode("utf-8", "replace").lower()
-            word = _ENDS.sub("", full)
+            text = token.decode("utf-8", "replace")
+            bare, full = _unsigned(text), text.lower()
+            if len(bare) <= CHUNK:
+                self.chunks[token] = bare
+            word = full if full[0].isalnum() and full[-1].isalnum() else _ENDS.sub("", full)
+            sent = word.encode()
             # With and without the signs at its ends that may be letters.
-            cores = [core for core in {_core(full), full.strip(_EDGES)} if _hidden(core)]
+            core, other = _core(full), full.strip(_EDGES)
+            if _hidden(core):
+                cores = (core,)
+            if other != core and _hidden(other):
+                cores += (other,)
             self.spelled[token] = plain(bare)
-        kept = self.select(word_features(word))
+        kept = self.named(word, sent)
         if cores:
             kept = tuple({*kept, *(f for core in cores for f in self.core_features(core))})
         self[token] = kept
@@ -366,14 +427,17 @@ class Reader(dict):
         """
         chunks, spelled, wanted, crc = self.chunks, self.spelled, self.wanted, zlib.crc32
         for a, b in chunk_runs(words, chunks):
-            run = [chunks[w] for w in words[a:b]] if b - a > 1 else []
+            run = [chunks[w] for w in words[a:b]] if b - a > 1 else ()
             if b - a >= 3:
                 for letters in spaced(run):
                     yield from self.restored(letters.lower(), True)
             if not wanted:  # until it is known which words count
                 continue
             joined = []
-            if run:
+            if b - a == 2:
+                if crc(spelled[words[a + 1]], crc(spelled[words[a]])) | 1 in wanted and len(run[0]) + len(run[1]) > CHUNK:
+                    joined.append((a, b))
+            elif run:
                 joined += [(a + i, a + k) for i, k in chunked([spelled[w] for w in words[a:b]], list(map(len, run)), wanted)]
             if a and crc(spelled[words[a]], crc(spelled[words[a - 1]])) | 1 in wanted:
                 joined.append((a - 1, a + 1))
@@ -390,9 +454,8 @@ class Reader(dict):
             self.decoded.clear()
         words = text.split()
         found: set[int] = set()
-        for w in set(words):
-            if f := self[w]:
-                found.update(f)
+        for f in filter(None, map(self.__getitem__, set(words))):
+            found.update(f)
         found.update(self.select(self.across(words)))
         return found
 
