@@ -100,16 +100,21 @@ def line_numbers(text: str | Column) -> Column:
 
 
 def truncate_base64(text: str | Column) -> Column:
+    """One pass over the text finds the runs; only a text with several of them is read again for their lengths."""
     c = col(text)
     run = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{60,}+={0,2}+"  # a run always matches from its first byte
-    pieces = F.split(c, run, -1)
-    matches = F.regexp_extract_all(c, F.lit(run), F.lit(0))
 
-    def note(m: Column) -> Column:
-        return F.concat(F.lit("[base64 omitted, "), F.char_length(m).cast("string"), F.lit(" chars]"))
+    def note(length: Column) -> Column:
+        return F.concat(F.lit("[base64 omitted, "), length.cast("string"), F.lit(" chars]"))
 
-    shortened = F.array_join(F.zip_with(pieces, matches, lambda p, m: F.concat(p, F.coalesce(note(m), F.lit("")))), "")
-    return F.when(c.rlike(run), shortened).otherwise(c)
+    def shortened(pieces: Column) -> Column:
+        first, second = F.get(pieces, F.lit(0)), F.get(pieces, F.lit(1))
+        one = F.concat(first, note(F.char_length(c) - F.char_length(first) - F.char_length(second)), second)
+        matches = F.regexp_extract_all(c, F.lit(run), F.lit(0))
+        notes = F.zip_with(pieces, matches, lambda p, m: F.concat(p, F.coalesce(note(F.char_length(m)), F.lit(""))))
+        return F.when(F.size(pieces) == 1, c).when(F.size(pieces) == 2, one).otherwise(F.array_join(notes, ""))
+
+    return once(F.split(c, run, -1), shortened)
 
 
 def _starts_with_any(words: list[str]) -> str:
@@ -120,18 +125,27 @@ def _starts_with_any(words: list[str]) -> str:
 _SPANS = "array<struct<first:int,last:int>>"
 
 
-def _compress_brace_lines(rows: Column, signature: Column) -> Column:
+def _compress_brace_lines(rows: Column, language: Column) -> Column:
     """Fold over the lines; the state grows only where a block closes.
 
+    ``language`` is a place in ``BRACE_SIGNATURES``: their patterns are literals, which are compiled once and not
+    for every line, and are only asked about lines that can open a block.
+
     ``depth`` is the brace depth of the open block (0 outside), ``start`` the line
     behind the signature, ``spans`` the line ranges to replace by the elision mark.
     """
 
+    def signed(x: Column) -> Column:
+        found = F.lit(None).cast("boolean")
+        for i, (_, words) in enumerate(fv.BRACE_SIGNATURES):
+            found = F.when(language == i, x.rlike(_starts_with_any(words))).otherwise(found)
+        return found
+
     def facts(x: Column) -> Column:
         comment = x.rlike(rf"\A[{fv.UNICODE_SPACE}]*+(?:/[/*]|\*)")
         return F.struct(
             (count_text(x, "{") - count_text(x, "}")).alias("net"),
-            (~comment & F.rlike(x, signature)).alias("signature"),
+            (F.contains(x, F.lit("{")) & signed(x) & ~comment).alias("signature"),
         )
 
     def state(depth: Column, start: Column, spans: Column, n: Column) -> Column:
@@ -179,12 +193,12 @@ def _between(rows: Column, first: Column, last: Column) -> Column:
 def compress_braces(path: str | Column, text: str | Column) -> Column:
     """Keep what stands outside braces and signature lines; bodies become one mark."""
     ext = file_ext(path)
-    signature = F.lit(None).cast("string")
-    for extensions, words in fv.BRACE_SIGNATURES:
-        signature = F.when(ext.isin(extensions), _starts_with_any(words)).otherwise(signature)
-    parts = F.struct(lines(text).alias("rows"), signature.alias("signature"))
+    language = F.lit(None).cast("int")
+    for i, (extensions, _) in enumerate(fv.BRACE_SIGNATURES):
+        language = F.when(ext.isin(extensions), i).otherwise(language)
+    parts = F.struct(lines(text).alias("rows"), language.alias("language"))
     every = [e for extensions, _ in fv.BRACE_SIGNATURES for e in extensions]
-    compressed = once(parts, lambda p: _compress_brace_lines(p["rows"], p["signature"]))
+    compressed = once(parts, lambda p: _compress_brace_lines(p["rows"], p["language"]))
     return F.when(ext.isin(every), compressed).otherwise(col(text))
 
 
