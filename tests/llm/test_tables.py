@@ -61,6 +61,23 @@ def test_components_equal_union_find(spark):
     assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_few_edges_take_one_task_and_many_take_rounds(spark, monkeypatch):
+    """A round of shuffles has as many tasks for few edges as for many, and the driver holds something of each."""
+    rng = random.Random(6)
+    pairs = [(rng.randint(-400, 400), rng.randint(-400, 400)) for _ in range(300)] + [(k, k + 1) for k in range(1000, 1100)]
+    edges = spark.createDataFrame(pairs, "a bigint, b bigint").repartition(7)
+    stored = []
+    store = common.store_table
+    monkeypatch.setattr(common, "store_table", lambda df: (stored.append(df._jdf.queryExecution().executedPlan().toString()), store(df))[1])
+    few = collected(common.components(edges))
+    assert len(stored) == 2 and "Exchange" not in stored[1]
+    want = groups(pairs, {n for p in pairs for n in p})
+    assert dict(few) == {n: r for n, r in want.items() if n != r}
+    stored.clear()
+    assert collected(common.components(edges, block=0)) == few
+    assert len(stored) > 2 and all("Exchange" in x for x in stored)
+
+
 def test_running_total_splits_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(common, "BLOCK_ROWS", 20)
     rng = random.Random(2)
