@@ -108,11 +108,12 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> D
     Every pair within the radius meets in a bucket. Buckets of one are dropped before Python sees them.
     The members of a bucket are dealt to blocks, and every two blocks are one piece of work, so that no task
     holds a whole bucket; a piece returns a spanning forest of its links, never all pairs.
+    The join is a shuffled one by hint: Spark takes the explode for no growth and would send all its rows through the driver.
     """
     rows = prints.select("_fp", F.explode(bucket_keys(F.col("_fp"), covering_masks(BITS, radius))).alias("_key"))
     shared = rows.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     blocks = F.ceil(F.col("_n") / block).cast("int")
-    members = rows.join(shared, "_key").select("_key", "_fp", blocks.alias("_blocks"))
+    members = rows.join(shared.hint("merge"), "_key").select("_key", "_fp", blocks.alias("_blocks"))
     own = F.pmod(F.xxhash64("_fp"), F.col("_blocks")).cast("int")
     members = members.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     # side -1: a piece within one block, where all pairs count.
@@ -156,15 +157,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``first_hash`` is the ``text_hash`` of the row that stands for the component. ``links`` (``a, b``) connects
     further fingerprints.
     """
+    # Stored tables are joined by hint: their size on disk is no measure of what a broadcast takes in the driver.
     prints = store_table(fingerprints(docs, id_col, text_col))
     order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
     distinct = store_table(prints.groupBy("_fp").agg(F.min(order).alias("_first")))
     edges = store_table(near_edges(distinct, radius))  # else their tasks would each hold two Python workers
     roots = components(edges if links is None else edges.union(links))
-    rooted = distinct.join(roots, distinct["_fp"] == roots["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
+    rooted = distinct.join(roots.hint("merge"), distinct["_fp"] == roots["node"], "left").select("_fp", "_first", F.coalesce("root", "_fp").alias("_root"))
     groups = rooted.groupBy("_root").agg(F.min("_first").alias("_least"))
     named = rooted.join(groups, "_root").select(F.col("_fp").alias("_of"), "_least")
-    return prints.join(named, F.col("_fp") == F.col("_of")).select(
+    return prints.join(named.hint("merge"), F.col("_fp") == F.col("_of")).select(
         F.col("_id").alias(id_col),
         F.col("_hash").alias("text_hash"),
         F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"),
