@@ -23,7 +23,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     An empty table gives no rows; other columns are ignored, whatever their names.
 
     The hashes travel, not the texts. Only rows whose 128-bit hash occurs twice have their texts
-    joined again and grouped by hash and bytes, so a collision splits its group.
+    joined again and grouped by hash and bytes, so a collision splits its group. The stored hashes are joined by a
+    shuffle, by hint: Spark's estimate of them is no measure of what a broadcast takes in the driver.
     """
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     bytes_ = normalised(F.col("_text"))
@@ -38,7 +39,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rank = F.min(F.struct((-F.col("_points")).alias("p"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id")))
     groups = hashed.groupBy("_hash", "_sha").agg(F.count(F.lit(1)).alias("_n"), rank.alias("_first"))
     repeated = hashed.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_hash")
-    members = hashed.join(repeated, "_hash").select(F.col("_id").alias("_member"), "_hash").distinct()
+    members = hashed.join(repeated.hint("merge"), "_hash").select(F.col("_id").alias("_member"), "_hash").distinct()
     compared = (
         rows.join(members, F.col("_id").eqNullSafe(F.col("_member")))
         .select("_hash", normalised(F.col("_text")).alias("_bytes"))
@@ -49,7 +50,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     classes = groups.join(compared, ["_hash", "_sha"], "left").select("_hash", "_sha", "_first", F.coalesce("_same", "_n").alias("_size"))
     return (
-        hashed.join(classes, ["_hash", "_sha"])
+        hashed.join(classes.hint("merge"), ["_hash", "_sha"])
         .select(
             F.col("_id").alias(id_col),
             F.col("_first.id").alias("keep_id"),

@@ -210,12 +210,15 @@ def prefix_rows(texts: DataFrame, counts: np.ndarray, block: int = BLOCK) -> Dat
 
 
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``a, b, fa, fb``: those of the pairs of texts that are near, and their fingerprints."""
+    """``a, b, fa, fb``: those of the pairs of texts that are near, and their fingerprints.
+
+    Here and below stored tables are joined by a shuffle, by hint: near texts take little on disk and much in a broadcast.
+    """
     pairs = store_table(pairs.distinct())
     nodes = pairs.select(F.col("a").alias("_hash")).union(pairs.select("b")).distinct()
     used = store_table(texts.join(nodes, "_hash", "left_semi").dropDuplicates(["_hash"]))
     one, two = (used.select(F.col("_hash").alias(f"_h{k}"), F.col("_text").alias(f"_t{k}")) for k in "ab")
-    met = pairs.join(one, F.col("a") == F.col("_ha")).join(two, F.col("b") == F.col("_hb")).select("a", "b", "_ta", "_tb")
+    met = pairs.join(one.hint("merge"), F.col("a") == F.col("_ha")).join(two.hint("merge"), F.col("b") == F.col("_hb")).select("a", "b", "_ta", "_tb")
 
     def run(batches):
         for batch in batches:
@@ -253,10 +256,10 @@ def near_text_edges(docs: DataFrame, text_col: str = "text", block: int = BLOCK)
     rows = store_table(by_piece(prefix_rows(texts, shingle_counts(texts), block), _shared, _PIECE))
     nodes = rows.select(F.col("_node").alias("_hash")).distinct()
     marked = texts.join(nodes, "_hash", "left_semi").dropDuplicates(["_hash"]).mapInArrow(marks, "_of bigint, _marks binary")
-    rows = store_table(rows.join(marked, F.col("_node") == F.col("_of")).drop("_of"))
+    rows = store_table(rows.join(marked.hint("merge"), F.col("_node") == F.col("_of")).drop("_of"))
     first = store_table(verified(texts, by_piece(rows, _first_mates, "a bigint, b bigint")))
     roots = components(first.select("a", "b"))
-    rooted = rows.join(roots, F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node")).drop("node", "root")
+    rooted = rows.join(roots.hint("merge"), F.col("_node") == F.col("node"), "left").withColumn("_root", F.coalesce("root", "_node")).drop("node", "root")
     other = store_table(verified(texts, by_piece(rooted, _other_mates, "a bigint, b bigint")))
     return first.union(other).select(F.col("fa").alias("a"), F.col("fb").alias("b"))
 

@@ -5,10 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sheaf.llm import common, simhash
+from sheaf.llm import common, exact_dedup, near_texts, simhash
 
-#: Joins of which no side may be broadcast: by bucket, fingerprint or node.
-GROWING = re.compile(r"BroadcastHashJoin \[(_key|_fp|a)#")
+#: Joins of which no side may be broadcast: by bucket, fingerprint, node or pair. (Distinct hashes of pairs are measured first, behind a shuffle.)
+GROWING = re.compile(r"BroadcastHashJoin \[(_key|_fp|_node|_h[ab]|[ab])#")
 
 
 def plan_of(df) -> str:
@@ -24,7 +24,7 @@ def plans(monkeypatch):
         store = module.store_table
         monkeypatch.setattr(module, "store_table", lambda df: (found.append(plan_of(df)), store(df))[1])
 
-    for module in (common, simhash):
+    for module in (common, exact_dedup, near_texts, simhash):
         watch(module)
     return found
 
@@ -41,9 +41,18 @@ def test_buckets_of_exploded_fingerprints_are_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin [_key" in plan and "Broadcast" not in plan
 
 
-def test_fingerprint_groups_broadcast_nothing_that_grows(docs):
+def test_near_copies_broadcast_nothing_that_grows(docs, plans):
+    stay = near_texts.drop_near_texts(docs)
+    assert stay.count() == 40
+    assert any("SortMergeJoin [_node" in p for p in plans) and any("SortMergeJoin [b#" in p for p in plans)
+    assert not [m[0] for p in plans for m in GROWING.finditer(p)]
+
+
+def test_fingerprint_groups_and_exact_copies_broadcast_nothing_that_grows(docs):
     plan = plan_of(simhash.simhash_groups(docs))
     assert "SortMergeJoin [_fp" in plan and not GROWING.search(plan)
+    plan = plan_of(exact_dedup.exact_dedup(docs))
+    assert "SortMergeJoin [_hash" in plan and not re.search(r"BroadcastHashJoin \[_hash#\d+\]", plan)
 
 
 def test_rounds_of_components_broadcast_no_edges(spark, plans):
