@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from sheaf import fixed_values as fv
 from sheaf.functions import markup
 from sheaf.functions.markup import text_concat
 from sheaf.operators.history import touched_files
-from sheaf.operators.joins import salted_lookup, salts_asked
+from sheaf.operators.joins import SALT, salted_lookup, salts_asked, spread_rows
 from sheaf.operators.status import kept
 from sheaf.operators.tree import tree_lines, tree_nodes
 
@@ -149,52 +150,88 @@ def render_summary(totals: DataFrame, options: Options) -> DataFrame:
 HEAD, TOUCHED, TAIL = range(3)
 
 
-def commit_rows(commits: DataFrame, files: DataFrame, style: str) -> DataFrame:
-    """Rendered commits as rows ``ts, hash, step, path, body``: a head, its files by path, a tail.
+#: Parts made of a log's two tables: styles of one log are made of one plan, for only then are its shuffles taken for equal.
+_parts: WeakKeyDictionary[DataFrame, WeakKeyDictionary[DataFrame, dict[bool, DataFrame]]] = WeakKeyDictionary()
 
-    ``commits`` has ``hash, author, date, message, ts`` and ``files`` has ``hash, path``. A commit is
-    never gathered into one value, so one that touches very many files is only many rows. XML and JSON
-    name author and files; Markdown and plain text are one row per commit.
-    """
-    where = ("ts", "hash")
 
-    def rows(df: DataFrame, step: int, body: Column, path: Column | None = None) -> DataFrame:
-        return df.select(
-            *where, F.lit(step).alias("step"), (F.lit("") if path is None else path).alias("path"), body.alias("body")
-        )
+def _commit_parts(commits: DataFrame, files: DataFrame, style: str) -> DataFrame:
+    """``commit_rows`` before they are rendered: what the bodies are made of, the same for all styles with files and for all without."""
+    with_files = style not in ("markdown", "plain")
+    made = _parts.setdefault(commits, WeakKeyDictionary()).setdefault(files, {})
+    if with_files not in made:
+        made[with_files] = _parts_with_files(commits, files) if with_files else _parts_without(commits)
+    return made[with_files]
 
-    first_line = F.substring_index("message", "\n", 1)
-    if style in ("markdown", "plain"):
-        parts = ("- `", F.col("hash"), "` ") if style == "markdown" else (F.col("hash"), " ")
-        return rows(commits, HEAD, text_concat(*parts, F.col("date"), " — ", first_line, "\n"))
-    first = files.groupBy("hash").agg(F.min("path").alias("first_path"), salts_asked("path").alias("asked"))
+
+def _parts_without(commits: DataFrame) -> DataFrame:
+    first_line = F.substring_index("message", "\n", 1).alias("message")
+    return commits.select("ts", "hash", F.lit(HEAD).alias("step"), F.lit("").alias("path"), "date", first_line)
+
+
+def _parts_with_files(commits: DataFrame, files: DataFrame) -> DataFrame:
+    """Files travel once to meet their commits; equal ones are counted there."""
+    spread = spread_rows(files.select("hash", "path"), "hash", "path")
+    first = spread.groupBy("hash").agg(F.min("path").alias("first_path"), salts_asked(SALT).alias("asked"))
     # both sides grow with the log; sizes on disk are no measure of what a broadcast takes in the driver
     known = commits.join(first.hint("merge"), "hash", "left")
-    listed = files.groupBy("hash", "path").agg(F.count("*").cast("int").alias("times"))
-    touched = salted_lookup(listed, known.select(*where, "first_path", "asked"), "hash", "inner", "path", asked="asked")
-    is_first = F.col("path") == F.col("first_path")
-    has_files = F.col("first_path").isNotNull()
+    listed = spread.groupBy("hash", SALT, "path").agg(F.count("*").cast("int").alias("times"))
+    touched = salted_lookup(listed, known.select("ts", "hash", "first_path", "asked"), "hash", "inner", "path", asked="asked")
+    # a commit with a first path is asked for; naming both lets all readers of ``first`` share its shuffle
+    has_files = F.col("first_path").isNotNull() & F.col("asked").isNotNull()
+    told = ("author", "date", "message")
+    ends = known.withColumn("step", F.explode(F.array(F.lit(HEAD), F.lit(TAIL)))).select(
+        "ts", "hash", "step", F.lit("").alias("path"), *[F.when(F.col("step") == HEAD, F.col(c)).alias(c) for c in told],
+        F.lit(None).cast("int").alias("times"), has_files.alias("opens"),
+    )
+    listing = touched.select(
+        "ts", "hash", F.lit(TOUCHED).alias("step"), "path", *[F.lit(None).cast(commits.schema[c].dataType).alias(c) for c in told],
+        "times", (F.col("path") == F.col("first_path")).alias("opens"),
+    )
+    return ends.unionByName(listing)
+
+
+def _told(parts: DataFrame, style: str) -> DataFrame:
+    """``_commit_parts`` rendered, in the order that they have."""
+    if style in ("markdown", "plain"):
+        named = ("- `", F.col("hash"), "` ") if style == "markdown" else (F.col("hash"), " ")
+        return parts.select("ts", "hash", "step", "path", text_concat(*named, F.col("date"), " — ", F.col("message"), "\n").alias("body"))
+    opens = F.col("opens")  # the list of files: for a file whether it is the first, else whether there is one
     if style == "json":
         text = lambda c: F.when(F.col(c) != "", F.col(c)).alias(c)
         opened = F.regexp_replace(F.to_json(F.struct("hash", text("author"), text("date"), text("message"))), r"\}\z", "")
-        head = F.concat(opened, F.when(has_files, ',"files":[').otherwise(""))
+        head = F.concat(opened, F.when(opens, ',"files":[').otherwise(""))
         names = F.array_join(F.array_repeat(_json_text(F.col("path")), F.col("times")), ",")
-        entry = F.concat(F.when(is_first, "").otherwise(","), names)
-        tail = F.when(has_files, "]}").otherwise("}")
+        entry = F.concat(F.when(opens, "").otherwise(","), names)
+        tail = F.when(opens, "]}").otherwise("}")
     else:
         head = text_concat(
             '    <commit hash="', markup.xml_attr("hash"), '">\n      <author>', markup.xml_text("author"),
             "</author>\n      <date>", markup.xml_text("date"), "</date>\n      <message>", markup.xml_text("message"),
-            "</message>\n", F.when(has_files, "      <files>\n").otherwise(""),
+            "</message>\n", F.when(opens, "      <files>\n").otherwise(""),
         )
         entry = F.repeat(text_concat("        <file>", markup.xml_text("path"), "</file>\n"), F.col("times"))
-        tail = F.concat(F.when(has_files, "      </files>\n").otherwise(""), F.lit("    </commit>\n"))
-    return _union([rows(known, HEAD, head), rows(touched, TOUCHED, entry, F.col("path")), rows(known, TAIL, tail)])
+        tail = F.concat(F.when(opens, "      </files>\n").otherwise(""), F.lit("    </commit>\n"))
+    body = F.when(F.col("step") == HEAD, head).when(F.col("step") == TOUCHED, entry).otherwise(tail)
+    return parts.select("ts", "hash", "step", "path", body.alias("body"))
+
+
+def commit_rows(commits: DataFrame, files: DataFrame, style: str) -> DataFrame:
+    """Rendered commits as rows ``ts, hash, step, path, body``: a head, its files by path, a tail.
+
+    ``commits`` has ``hash, author, date, message, ts`` and ``files`` has ``hash, path``. A commit is
+    never gathered into one value, so one that touches very many files is only many rows. XML and JSON
+    name author and files; Markdown and plain text are one row per commit.
+    """
+    return _told(_commit_parts(commits, files, style), style)
 
 
 def render_commit_log(commits: DataFrame, files: DataFrame, style: str = "xml") -> DataFrame:
-    """``commit_rows`` in the order of the document, latest commit first."""
-    return commit_rows(commits, files, style).orderBy(F.desc("ts"), "hash", "step", "path")
+    """``commit_rows`` in the order of the document, latest commit first.
+
+    Bodies are written after the sort: what is sorted is narrow, and styles of the same log in one query are sorted once.
+    """
+    parts = _commit_parts(commits, files, style).orderBy(F.desc("ts"), "hash", "step", "path")
+    return _told(parts, style)
 
 
 # --- whole documents --------------------------------------------------------------------
